@@ -1,6 +1,589 @@
-"""All registered queries of the library proper, and their SQL."""
+"""All registered queries of the library proper over the driver's tables, and their SQL where SQL can say it.
+
+Roles of the tables: ``documents`` are files and chunks, ``benchmark`` the questions, ``labels`` the label
+bridge, ``conversations`` the chat history, ``events`` the question log, ``embeddings`` the vectors, and
+``pages`` the web sources. Every query works on whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.functions import codes as C
+from tessera.functions import text as T
+from tessera.functions import vectors as V
+from tessera.operators import analytics, answers, chunking, context, documents, labels, retrieval
+from tessera.plans import ingest as I
+from tessera.plans import search as S
+from tessera.sources import files
+from tessera.sources.tables import load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Parts of the SQL -----------------------------------------------------------------------------------
+NORM = "trim(regexp_replace(strip_accents(lower({0})), '\\s+', ' ', 'g'))"
+TOKENS = "regexp_extract_all(lower({0}), '[а-яёa-z0-9]{{3,}}')"
+BOOK = "source AS book, lang AS section"
+
+
+def _docs(spark, d):
+    return load(spark, d, "documents")
+
+
+def _questions(spark, d):
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _bridge(spark, d):
+    """labels as a bridge: a row for each of the two kinds, with its ancestors."""
+    x = load(spark, d, "labels").select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("ns"), F.concat(F.lit(p), F.col(n).cast("string")).alias("code")) for n, p in (("quality", "10.2"), ("toxic", "20.3"))])).alias("l"))
+    return x.select("doc_id", "l.ns", "l.code", C.breadcrumbs(F.col("l.code")).alias("path"), (0.8 + F.pmod(F.col("doc_id"), F.lit(20)) / 100.0).alias("conf"))
+
+
+BRIDGE = """bridge AS (SELECT doc_id, 'quality' AS ns, '10.2' || quality AS code, ['10', '10.2' || quality] AS path, 0.8 + (doc_id % 20) / 100.0 AS conf FROM labels
+ UNION ALL SELECT doc_id, 'toxic', '20.3' || toxic, ['20', '20.3' || toxic], 0.8 + (doc_id % 20) / 100.0 FROM labels)"""
+
+
+# Documents ------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, md5({NORM.format('text')}) AS doc_hash FROM documents")
+def doc_normalized_hash(spark, d):
+    return documents.normalized_hash(_docs(spark, d))
+
+
+@query(f"SELECT doc_hash, count(*) AS n_copies, min(doc_id) AS first_id FROM (SELECT doc_id, md5({NORM.format('text')}) AS doc_hash FROM documents) GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    return documents.exact_duplicates(_docs(spark, d))
+
+
+@query(f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
+def token_stats(spark, d):
+    return documents.token_stats(_docs(spark, d))
+
+
+_KEYWORD = "(?:^|[^\\pL\\pN_])([а-яёА-ЯЁa-zA-Z]{4,})(?:$|[^\\pL\\pN_])"
+
+
+@query("""
+WITH p AS (SELECT doc_id, string_split_regex(text, '[^\\pL\\pN\\pM_]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(list_filter(ws, lambda x: regexp_full_match(x, '[а-яёА-ЯЁa-zA-Z]{4,}'))) AS word FROM p)
+SELECT d.doc_id, length(d.text)::INT AS total_chars, coalesce(n, 0)::INT AS total_words, (length(d.text) - length(replace(d.text, chr(10), '')) + 1)::INT AS total_lines, coalesce(avg_len, 0.0) AS avg_word_length
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(word)) / count(*) AS avg_len FROM w GROUP BY 1) USING (doc_id)""")
+def text_stats(spark, d):
+    return documents.text_stats(_docs(spark, d))
+
+
+@query("""
+WITH p AS (SELECT doc_id, list_filter(string_split_regex(text, '[^\\pL\\pN\\pM_]+'), lambda x: regexp_full_match(x, '[а-яёА-ЯЁa-zA-Z]{4,}')) AS ws FROM documents),
+w AS (SELECT doc_id, lower(unnest(ws)) AS word, unnest(range(len(ws))) AS pos FROM p),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM n)
+SELECT doc_id, list(word ORDER BY rank)[1:10] AS keywords FROM r WHERE rank <= 20 AND n >= 4 GROUP BY doc_id""")
+def doc_keywords(spark, d):
+    return documents.keywords(_docs(spark, d))
+
+
+@query("""SELECT doc_id, least(10 + CASE WHEN regexp_matches(text, '(?m)^\\s*[-•*]\\s+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)```|^\\s{4,}\\S') THEN 3 ELSE 0 END
+ + CASE WHEN length(text) - length(replace(text, '|', '')) > 5 THEN 3 ELSE 0 END, 20) / 10.0::DOUBLE AS importance FROM documents""")
+def importance_score(spark, d):
+    return documents.importance(_docs(spark, d))
+
+
+@query("""SELECT doc_id, nullif(regexp_extract(left(text, 1000), '(?i)v([\\d.]+)', 1), '') AS version,
+ CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN regexp_extract(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN regexp_extract(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') ELSE nullif(regexp_extract(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}'), '') END AS date,
+ CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN 'dd.mm.yyyy' WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN 'yyyy-mm-dd' WHEN regexp_matches(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}') THEN 'dd/mm/yyyy' END AS date_format,
+ NULL::VARCHAR AS doc_type FROM documents""")
+def version_date_extract(spark, d):
+    return documents.metadata(_docs(spark, d))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+k AS (SELECT *, lag({NORM.format('line')}) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k WHERE pos = 0 OR before IS DISTINCT FROM {NORM.format('line')} GROUP BY doc_id""")
+def dup_line_collapse(spark, d):
+    return documents.collapsed_lines(_docs(spark, d))
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n+')) AS para, unnest(range(len(string_split_regex(text, '\\n\\s*\\n+')))) AS pos FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {NORM.format('para')} ORDER BY pos) AS n FROM p)
+SELECT doc_id, string_agg(para, chr(10) || chr(10) ORDER BY pos) AS text FROM k WHERE trim(para) = '' OR length(para) >= 200 OR n = 1 GROUP BY doc_id""")
+def boilerplate_paragraphs(spark, d):
+    return documents.without_boilerplate(_docs(spark, d))
+
+
+@query()
+def clean_documents(spark, d):
+    return documents.cleaned(_docs(spark, d)).select("doc_id", "text")
+
+
+# Retrieval ------------------------------------------------------------------------------------------
+
+_BM25 = """
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({tq}) AS term FROM benchmark),
+d AS (SELECT doc_id, {td} AS t FROM documents),
+w AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM d),
+tf AS (SELECT term, doc_id, max(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))), 6) AS score
+      FROM tf JOIN df USING (term) JOIN q USING (term), w GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM s) WHERE rnk <= {k}"""
+
+
+@query(_BM25.format(tq=TOKENS.format("text"), td=TOKENS.format("text"), k=10))
+def lexical_topk(spark, d):
+    return retrieval.lexical(_questions(spark, d), _docs(spark, d), 10)
+
+
+@query()
+def websearch_match(spark, d):
+    words = F.slice(T.tokens(F.col("text")), 1, 4)
+    q = _questions(spark, d).select("query_id", F.concat(words[0], F.lit(" or "), words[1], F.lit(" -"), words[2]).alias("text"))
+    return retrieval.websearch(q, _docs(spark, d))
+
+
+_UNIT = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
+
+
+@query(f"""WITH e AS ({_UNIT}), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a, e b WHERE a.vec_id % 50 = 0)
+SELECT query_id, doc_id, similarity, round(similarity * (0.8 + 0.2 * 1.0), 6) AS score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rnk FROM s) WHERE rnk <= 10""")
+def vector_topk(spark, d):
+    e = load(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return retrieval.vector(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 10)
+
+
+@query(f"""WITH e AS ({_UNIT}), s AS (SELECT b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim, a.label = b.label AS same FROM e a, e b WHERE a.vec_id = 0 AND b.vec_id <> 0),
+n AS (SELECT * FROM s ORDER BY 1 - sim - CASE WHEN same THEN 0.05 ELSE 0.0 END, doc_id LIMIT 20),
+r AS (SELECT doc_id, round(sim + CASE WHEN same THEN 0.1 ELSE 0 END + 0.15, 6) AS score FROM n ORDER BY score DESC, doc_id LIMIT 10)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rnk FROM r""")
+def similar_docs(spark, d):
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.col("label").alias("book"), F.lit("all").alias("section"))
+    return retrieval.similar(e, 0)
+
+
+@query("""WITH f AS (SELECT vec_id, list_transform(list_resize(embedding::DOUBLE[], 80, 0.0), lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE x END) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM f)
+SELECT vec_id, len(v)::INT AS dim, round(list_sum(CASE WHEN n > 0 AND abs(n - 1) > 1e-3 THEN list_transform(v, lambda x: x / n) ELSE v END), 5) AS total FROM n""")
+def vector_repair(spark, d):
+    x = load(spark, d, "embeddings").select("vec_id", V.repair(F.col("embedding"), 80).alias("v"))
+    return x.select("vec_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+
+
+_TRGM = """
+WITH qg AS (SELECT query_id, list_distinct(flatten(list_transform(list_filter(string_split_regex({n}, '[^\\pL\\pN\\pM_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM (SELECT item_id AS query_id, left(text, 60) AS text FROM benchmark) WHERE length(text) >= 3),
+dg AS (SELECT doc_id, list_distinct(flatten(list_transform(list_filter(string_split_regex({n}, '[^\\pL\\pN\\pM_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM documents),
+b AS (SELECT query_id, doc_id, max(nq) AS nq, max(nd) AS nd, count(*) AS n FROM (SELECT query_id, len(g) AS nq, unnest(g) AS t FROM qg) JOIN (SELECT doc_id, len(g) AS nd, unnest(g) AS t FROM dg) USING (t) GROUP BY 1, 2),
+s AS (SELECT query_id, doc_id, round(n / (nq + nd - n), 6) AS score FROM b)
+SELECT query_id, doc_id, score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM s {where}) WHERE rnk <= {k}"""
+
+
+@query(_TRGM.format(n=NORM.format("text"), where="", k=10))
+def trigram_topk(spark, d):
+    return retrieval.trigram(_questions(spark, d).withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 10)
+
+
+@query(_TRGM.format(n=NORM.format("text"), where="WHERE score >= 0.3", k=60))
+def trigram_threshold(spark, d):
+    return retrieval.trigram(_questions(spark, d).withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 60, 0.3)
+
+
+def _lists(spark, d):
+    q = _questions(spark, d)
+    lex = retrieval.lexical(q, _docs(spark, d), 100).select("query_id", F.lit("fts").alias("signal"), "doc_id", "score")
+    tri = retrieval.trigram(q.withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 60).select("query_id", F.lit("trgm").alias("signal"), "doc_id", "score")
+    return retrieval.ranked(lex.unionByName(tri))
+
+
+_RRF = f"""
+WITH l AS (SELECT query_id, 'fts' AS signal, doc_id, rnk FROM ({_BM25.format(tq=TOKENS.format("text"), td=TOKENS.format("text"), k=100)})
+           UNION ALL SELECT query_id, 'trgm', doc_id, rnk FROM ({_TRGM.format(n=NORM.format("text"), where="", k=60)}))
+SELECT query_id, doc_id, round(sum(CASE signal WHEN 'fts' THEN 0.35 ELSE 0.15 END / (60 + rnk)), 9) AS fused, count(*) AS n_signals FROM l GROUP BY 1, 2"""
+
+
+@query(_RRF)
+def rrf_fusion(spark, d):
+    return retrieval.rrf(_lists(spark, d))
+
+
+@query()
+def rrf_gated(spark, d):
+    q, lists = _questions(spark, d), _lists(spark, d)
+    x = lists.select("query_id", "doc_id").distinct().join(_docs(spark, d).select("doc_id", F.substring("text", 1, retrieval.HEAD_CHARS).alias("t")), "doc_id").join(q, "query_id")
+    overlaps = x.select("query_id", "doc_id", T.overlap(T.tokens(T.normalize(F.col("text"))), T.tokens(F.col("t"))).alias("overlap"))
+    return retrieval.gated(lists, q, overlaps)
+
+
+@query()
+def pool_topup(spark, d):
+    lists = _lists(spark, d)
+    return retrieval.topped_up(retrieval.rrf(lists.where("rnk <= 5")), lists, 20)
+
+
+def _candidates(spark, d):
+    l = _lists(spark, d)  # noqa: E741
+    wide = l.groupBy("query_id", "doc_id").pivot("signal", ["fts", "trgm"]).agg(F.max("score"))
+    return wide.select("query_id", "doc_id", F.lit(None).cast("double").alias("vec"), "fts", "trgm", F.lit(None).cast("double").alias("rerank"), F.lit(1.0).alias("importance"))
+
+
+_FINAL = f"""
+WITH f AS ({_BM25.format(tq=TOKENS.format("text"), td=TOKENS.format("text"), k=100)}), t AS ({_TRGM.format(n=NORM.format("text"), where="", k=60)}),
+c AS (SELECT query_id, doc_id, f.score AS fts, t.score AS trgm FROM f FULL JOIN t USING (query_id, doc_id)),
+m AS (SELECT *, max(coalesce(fts, 0)) OVER (PARTITION BY query_id) AS mf, max(coalesce(trgm, 0)) OVER (PARTITION BY query_id) AS mt FROM c),
+w AS (SELECT *, CASE WHEN mf > 0.01 THEN 0.25 ELSE 0 END AS wf, CASE WHEN mt > 0.01 THEN 0.10 ELSE 0 END AS wt FROM m)
+SELECT query_id, doc_id, round(CASE WHEN wf + wt > 1e-9 THEN (wf * coalesce(fts, 0) / (mf + 1e-9) + wt * coalesce(trgm, 0) / (mt + 1e-9)) / (wf + wt) ELSE 0 END, 5) AS score FROM w"""
+
+
+@query(_FINAL)
+def final_score(spark, d):
+    return retrieval.final_scores(_candidates(spark, d), digits=5).select("query_id", "doc_id", "score")
+
+
+@query()
+def label_boost(spark, d):
+    scored = retrieval.final_scores(_candidates(spark, d), digits=5).select("query_id", "doc_id", "score")
+    wanted = _questions(spark, d).select("query_id", F.lit("quality").alias("ns"), F.lit("10").alias("code"))
+    return retrieval.label_boost(scored, _bridge(spark, d), wanted)
+
+
+@query()
+def mmr_diversify(spark, d):
+    e = load(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    top = retrieval.vector(q.withColumnRenamed("query_vec", "vec"), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 50)
+    pool = top.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("group")), "doc_id").join(q, "query_id")
+    return retrieval.mmr(pool.select("query_id", "doc_id", F.col("rnk").alias("pos"), "vec", "query_vec", "group"), 10)
+
+
+@query("SELECT item_id AS query_id, n AS n_tokens, CASE WHEN n <= 2 THEN 0.35 WHEN n <= 4 THEN 0.25 ELSE 0.15 END::DOUBLE AS min_score FROM (SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[а-яёa-z0-9]{3,}')))::INT AS n FROM benchmark)")
+def adaptive_min_score(spark, d):
+    n = F.size(T.tokens(F.col("text")))
+    return _questions(spark, d).select("query_id", n.alias("n_tokens"), T.adaptive_min_score(n).alias("min_score"))
+
+
+@query()
+def query_expansion(spark, d):
+    synonyms = spark.createDataFrame([("the", "a"), ("and", "plus"), ("de*", "von")], "key string, synonym string")
+    return retrieval.expanded(_questions(spark, d), synonyms)
+
+
+@query()
+def typo_correction(spark, d):
+    q = _questions(spark, d)
+    typed = q.withColumn("text", F.regexp_replace("text", r"(\w{4})\w(\w{3,})", "$1$2"))
+    return retrieval.typos_fixed(typed, retrieval.vocabulary(q.select("text")))
+
+
+@query()
+def hybrid_search(spark, d):
+    q = _questions(spark, d)
+    chunks = _chunks(spark, d).withColumn("emb", S.embedder()(F.concat(F.lit("passage: "), "text")))
+    return S.search(q, chunks, S.embedder(), top_k=10, expand=False, context_window=1).select("query_id", "rnk", "id", "score", "rerank", "text")
+
+
+@query()
+def question_answers(spark, d):
+    chunks = _chunks(spark, d).withColumn("emb", S.embedder()(F.concat(F.lit("passage: "), "text")))
+    return S.answer(_questions(spark, d), chunks, embed=S.embedder(), expand=False)
+
+
+# Chunks and context -----------------------------------------------------------------------------------
+
+
+def _chunks(spark, d):
+    """Lines of documents as chunks of their document."""
+    x = _docs(spark, d).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("trim(text) <> ''")
+    return x.select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.col("source").alias("book"), F.col("lang").alias("section"), F.col("pos").alias("page"), "text", F.lit(1.0).alias("importance_score"), F.lit(False).alias("is_parent"), F.col("doc_id").alias("parent_group"), F.col("pos").alias("child_index"), F.col("lang").alias("parent_title"))
+
+
+CHUNKS = "chunks AS (SELECT doc_id * 100000 + pos AS id, source AS book, lang AS section, pos AS page, text, doc_id AS parent_group, pos AS child_index FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(text) <> '')"
+
+
+@query(f"WITH {CHUNKS} SELECT id, lag(text) OVER w AS before, lead(text) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY parent_group ORDER BY child_index, id)")
+def context_neighbors(spark, d):
+    return context.neighbours(_chunks(spark, d))
+
+
+@query()
+def section_split(spark, d):
+    return chunking.sections(_docs(spark, d))
+
+
+@query()
+def chunk_pack(spark, d):
+    return chunking.chunks(_docs(spark, d))
+
+
+@query()
+def chunk_pack_tokens(spark, d):
+    return chunking.chunks(_docs(spark, d), mode="tokens")
+
+
+@query()
+def chunk_table(spark, d):
+    return I.chunk_table(_docs(spark, d))
+
+
+@query(f"""WITH {CHUNKS}, g AS (SELECT parent_group, book, section, min(page)::INT AS page, string_agg(text, chr(10) || chr(10) ORDER BY page, text) AS t FROM chunks GROUP BY 1, 2, 3)
+SELECT parent_group AS book, section, page, left(t, 800) AS text FROM g""")
+def parent_synthesis(spark, d):
+    c = _chunks(spark, d).select(F.col("parent_group").alias("doc_id"), F.col("section").alias("section_title"), "page", "text", F.col("importance_score").alias("importance"))
+    return chunking.parents(c).select("book", "section", "page", "text")
+
+
+@query(f"""WITH {CHUNKS}, o AS (SELECT id, parent_group, page, CASE WHEN page - lag(page) OVER w <= 1 THEN 0 ELSE 1 END AS opens FROM chunks WINDOW w AS (PARTITION BY parent_group ORDER BY page, id))
+SELECT id, (sum(opens) OVER (PARTITION BY parent_group ORDER BY page, id))::BIGINT AS island FROM o""")
+def page_islands(spark, d):
+    return answers.islands(_chunks(spark, d), ["parent_group"]).select("id", "island")
+
+
+@query()
+def page_text(spark, d):
+    return files.pages_text(load(spark, d, "pages"))
+
+
+# Labels -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BRIDGE} SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM bridge WHERE ns = 'quality' AND code = '10.20') USING (doc_id)")
+def label_filter_eq(spark, d):
+    return labels.having(_docs(spark, d), _bridge(spark, d), "quality", code="10.20").select("doc_id", "source")
+
+
+@query(f"WITH {BRIDGE} SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM bridge WHERE ns = 'toxic' AND list_contains(path, '20')) USING (doc_id)")
+def label_filter_prefix(spark, d):
+    return labels.having(_docs(spark, d), _bridge(spark, d), "toxic", prefix="20").select("doc_id", "source")
+
+
+@query(f"WITH {BRIDGE} SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM bridge WHERE ns = 'quality') USING (doc_id)")
+def untagged_docs(spark, d):
+    return labels.untagged(_docs(spark, d), _bridge(spark, d), "quality").select("doc_id")
+
+
+@query(f"WITH {BRIDGE} SELECT d.doc_id FROM documents d LEFT JOIN bridge b ON d.doc_id = b.doc_id WHERE b.ns IS NULL OR b.ns <> 'quality'")
+def untagged_docs_compat(spark, d):
+    return labels.untagged(_docs(spark, d), _bridge(spark, d), "quality", compat=True).select("doc_id")
+
+
+@query(f"WITH {BRIDGE} SELECT doc_id, string_agg(ns || ':' || code, ',' ORDER BY ns, code) AS labels FROM bridge GROUP BY 1")
+def label_rollup(spark, d):
+    return labels.rollup(_bridge(spark, d)).select("doc_id", F.array_join(F.transform("labels", lambda x: F.concat_ws(":", x.ns, x.code)), ",").alias("labels"))
+
+
+@query(f"WITH {BRIDGE} SELECT doc_id, ns, code, round(max(conf), 6) AS conf FROM (SELECT doc_id, ns, code, conf FROM bridge UNION ALL SELECT doc_id, ns, code, 0.9 FROM bridge) GROUP BY 1, 2, 3")
+def label_conf_merge(spark, d):
+    b = _bridge(spark, d).drop("path")
+    return labels.attached(b.unionByName(b.withColumn("conf", F.lit(0.9)))).withColumn("conf", F.round("conf", 6))
+
+
+@query(f"""WITH {BRIDGE} SELECT doc_id, ns, code, round(max(conf), 6) AS conf FROM (SELECT doc_id, ns, CASE WHEN swap THEN '30.1' ELSE code END AS code, CASE WHEN swap THEN 0.93 ELSE conf END AS conf FROM
+(SELECT doc_id, CASE ns WHEN 'quality' THEN 'okpd' ELSE ns END AS ns, code, conf, ns = 'quality' AND conf >= 0.85 AND conf < 0.9 AND doc_id % 2 = 0 AS swap FROM bridge)) GROUP BY 1, 2, 3""")
+def retag_band(spark, d):
+    b = _bridge(spark, d).drop("path").withColumn("ns", F.when(F.col("ns") == "quality", "okpd").otherwise(F.col("ns"))).withColumn("conf", F.round("conf", 6))
+    g = load(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", F.lit("30.1").alias("code"), F.lit(0.93).alias("conf"))
+    return labels.retagged(b, g).withColumn("conf", F.round("conf", 6))
+
+
+@query("""SELECT id, line, code, array_to_string(list_transform(range(1, 4), lambda i: array_to_string(string_split(code, '.')[1:i], '.')), '/') AS path FROM
+(SELECT l_orderkey AS id, l_linenumber AS line, lpad((10 + l_partkey % 80)::VARCHAR, 2, '0') || '.' || lpad((l_suppkey % 90)::VARCHAR, 2, '0') || '.' || (l_linenumber)::VARCHAR AS code FROM lineitem)""")
+def code_breadcrumbs(spark, d):
+    x = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.concat_ws(".", F.lpad((10 + F.col("l_partkey") % 80).cast("string"), 2, "0"), (F.col("l_suppkey") % 90).cast("string"), F.col("l_linenumber").cast("string")).alias("raw"))
+    code = C.canonical_code(F.col("raw"))
+    return x.select("id", "line", code.alias("code"), F.array_join(C.breadcrumbs(code), "/").alias("path"))
+
+
+@query("""WITH i AS (SELECT s_suppkey AS id, lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') || '.' || lpad((s_nationkey)::VARCHAR, 2, '0') || '.' || lpad((s_suppkey % 7)::VARCHAR, 2, '0') AS code FROM supplier),
+h AS (SELECT DISTINCT lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') AS code, 1 AS level FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT DISTINCT lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') || '.' || lpad((s_nationkey)::VARCHAR, 2, '0'), 2 FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT i.id, i.code, arg_max(h.code, h.level) AS ancestor, max(h.level)::INT AS level FROM i LEFT JOIN h ON h.code = left(i.code, 2) OR h.code = left(i.code, 5) OR h.code = i.code GROUP BY 1, 2""")
+def nearest_valid_ancestor(spark, d):
+    s = load(spark, d, "supplier")
+    top, mid = F.lpad((10 + F.col("s_suppkey") % 80).cast("string"), 2, "0"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")
+    items = s.select(F.col("s_suppkey").alias("id"), F.concat_ws(".", top, mid, F.lpad((F.col("s_suppkey") % 7).cast("string"), 2, "0")).alias("code"))
+    h = s.where("s_suppkey % 3 <> 0").select(top.alias("code"), F.lit(1).alias("level")).unionByName(s.where("s_suppkey % 2 = 0").select(F.concat_ws(".", top, mid).alias("code"), F.lit(2).alias("level"))).distinct()
+    return labels.nearest_ancestors(items, h)
+
+
+@query()
+def extract_labels(spark, d):
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Болт ГОСТ Р "), F.col("p_size") + 7000, F.lit("-2018, ОКПД2: 24."), F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0"), F.lit(".31 DIN "), F.col("p_size"), F.lit(" "), F.col("p_name")).alias("text"))
+    return labels.extracted(rows)
+
+
+@query(f"""WITH {BRIDGE} SELECT n_docs, n_tagged, n_labels, n_sure, n_unsure, round(n_tagged / n_docs, 6) AS share_tagged, round(n_sure / n_labels, 6) AS share_sure FROM (SELECT count(*) AS n_docs FROM documents), (SELECT count(DISTINCT doc_id) AS n_tagged, count(*) AS n_labels, count(*) FILTER (round(conf, 6) >= 0.9) AS n_sure, count(*) FILTER (round(conf, 6) < 0.9) AS n_unsure FROM bridge)""")
+def tagging_report(spark, d):
+    return labels.tagging_report(_bridge(spark, d).withColumn("conf", F.round("conf", 6)), _docs(spark, d))
+
+
+@query(f"WITH {BRIDGE} SELECT code, count(*) AS n, round(avg(conf), 6) AS avg_conf FROM bridge GROUP BY 1 ORDER BY n DESC, code LIMIT 20")
+def guess_groups(spark, d):
+    return labels.guess_groups(_bridge(spark, d))
+
+
+# Analytics --------------------------------------------------------------------------------------------
+
+
+def _log(spark, d):
+    return load(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("p"), F.col("event_id")).alias("public_id"), "user_id", F.col("event_type").alias("session_id"), "ts", (F.get_json_object("props", "$.k").cast("double") / 100).alias("confidence"), F.col("value").alias("processing_time"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 5 + 1).alias("rating"), (F.col("event_id") % 10 == 3).alias("is_hide"))
+
+
+LOG = "log AS (SELECT event_id AS id, user_id, event_type AS session_id, ts, (props->>'$.k')::DOUBLE / 100 AS confidence, value AS processing_time, CASE WHEN event_id % 4 = 0 THEN event_id % 5 + 1 END AS rating, event_id % 10 = 3 AS is_hide FROM events)"
+
+
+@query(f"WITH {LOG} SELECT session_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS message_count, round(avg(confidence), 6) AS avg_confidence, round(avg(processing_time), 6) AS avg_grounding FROM log GROUP BY 1")
+def session_rollup(spark, d):
+    return analytics.sessions(_log(spark, d).withColumn("grounding", F.col("processing_time")).withColumn("seq", F.col("id")))
+
+
+@query(f"WITH {LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS n FROM log) SELECT session_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) FILTER (n > 1) AS message_count, round(avg(confidence) FILTER (n > 1), 6) AS avg_confidence, round(avg(processing_time) FILTER (n > 1), 6) AS avg_grounding FROM n GROUP BY 1")
+def session_rollup_compat(spark, d):
+    return analytics.sessions(_log(spark, d).withColumn("grounding", F.col("processing_time")).withColumn("seq", F.col("id")), compat=True)
+
+
+@query(f"""WITH {LOG}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n_events FROM s GROUP BY user_id, s""")
+def sessionized(spark, d):
+    return analytics.sessionized(_log(spark, d))
+
+
+@query("SELECT md5(event_type || '_' || user_id) AS user_hash, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS query_count FROM events GROUP BY 1")
+def user_rollup(spark, d):
+    return analytics.users(load(spark, d, "events").select(F.col("event_type").alias("domain"), F.col("user_id").cast("string").alias("computer_name"), "ts"))
+
+
+@query(f"WITH {LOG} SELECT user_id, id, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS pos FROM log WHERE NOT is_hide) WHERE pos <= 3")
+def recent_history(spark, d):
+    return analytics.history(_log(spark, d), "user_id", 3).select("user_id", "id", "pos")
+
+
+@query(f"WITH {LOG} SELECT id FROM log WHERE NOT is_hide AND session_id <> 'click'")
+def hidden_filter(spark, d):
+    gone = spark.range(1).select(F.lit("click").alias("session_id"))
+    return analytics.visible(analytics.hidden(_log(spark, d), gone)).select("id")
+
+
+@query(f"WITH {LOG} SELECT count(*) AS n, round(avg(processing_time), 6) AS avg_time, round(median(processing_time), 6) AS median_time, count(rating) AS n_rated, round(avg(rating), 6) AS avg_rating FROM (SELECT * FROM log ORDER BY ts DESC, id DESC LIMIT 5000)")
+def latency_stats(spark, d):
+    return analytics.stats(_log(spark, d))
+
+
+@query(f"""WITH {LOG}, f AS (SELECT ref, arg_max(rating, ts) AS rating FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'p' || (event_id % 500) ELSE (event_id % 500)::VARCHAR END AS ref, event_id % 5 + 1 AS rating, ts FROM events WHERE event_type = 'view') GROUP BY 1)
+SELECT id, coalesce(a.rating, b.rating) AS feedback_rating FROM log LEFT JOIN f a ON a.ref = 'p' || id LEFT JOIN f b ON b.ref = id::VARCHAR""")
+def feedback_latest(spark, d):
+    e = load(spark, d, "events").where("event_type = 'view'")
+    ref = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("p"), F.col("event_id") % 500)).otherwise((F.col("event_id") % 500).cast("string"))
+    f = e.select(ref.alias("ref"), (F.col("event_id") % 5 + 1).alias("rating"), F.lit(None).cast("string").alias("comment"), "ts")
+    return analytics.with_feedback(_log(spark, d), f).select("id", "feedback_rating")
+
+
+@query("SELECT event_type AS action_type, count(*) AS n, count(DISTINCT user_id) AS n_sessions, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
+def action_log(spark, d):
+    return analytics.actions(load(spark, d, "events").select(F.col("event_type").alias("action_type"), F.col("user_id").alias("session_id"), F.col("ts").alias("created_at")))
+
+
+def _chat_log(spark, d):
+    return load(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question"), (F.col("turn") / 10.0).alias("confidence"), F.length("text").cast("double").alias("processing_time"), F.col("conv_id").alias("ts"))
+
+
+_PHRASES = """
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 2) AS t, length(text)::DOUBLE AS pt FROM conversations WHERE role = 'user'),
+p AS (SELECT conv_id, turn, pt, array_to_string(t[i:i+2], ' ') AS topic, 1.5 AS weight FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM w)
+ UNION ALL SELECT conv_id, turn, pt, array_to_string(t[i:i+1], ' '), 1.0 FROM (SELECT *, unnest(range(1, len(t))) AS i FROM w)
+ UNION ALL SELECT conv_id, turn, pt, x, 0.5 FROM (SELECT *, unnest(list_filter(t, lambda x: length(x) > 5)) AS x FROM w)),
+topics AS (SELECT topic, count(*) AS hits, sum(weight)::DOUBLE AS total_weight, round(avg(turn / 10.0), 6)::DOUBLE AS avg_confidence, round(avg(pt), 6) AS avg_processing_time, max(conv_id) AS last_used FROM p GROUP BY 1)"""
+
+
+@query(_PHRASES + " SELECT * FROM topics")
+def phrase_topics(spark, d):
+    return analytics.topics(_chat_log(spark, d))
+
+
+@query(_PHRASES + " SELECT * FROM topics ORDER BY total_weight DESC, last_used DESC, topic LIMIT 15")
+def top_topics(spark, d):
+    return analytics.top_topics(analytics.topics(_chat_log(spark, d)))
+
+
+@query()
+def suggestions(spark, d):
+    log = load(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question"), F.timestamp_seconds(F.col("conv_id")).alias("ts"))
+    return analytics.suggestions(log, analytics.topics(_chat_log(spark, d)), "the")
+
+
+# Answers and chat ---------------------------------------------------------------------------------------
+
+
+def _hits(spark, d):
+    h = retrieval.lexical(_questions(spark, d), _docs(spark, d), 10)
+    top = F.max("score").over(W.partitionBy("query_id"))
+    return h.withColumn("score", F.round(F.col("score") / top, 6)).join(_docs(spark, d).select("doc_id", F.col("source").alias("book"), F.col("lang").alias("section"), "text"), "doc_id").select("query_id", "rnk", F.col("doc_id").alias("id"), "book", "section", F.lit(1).alias("page"), "text", "score", (F.col("doc_id") % 5 == 0).alias("is_parent"))
+
+
+HITS = f"hits AS (SELECT h.query_id, h.rnk, doc_id AS id, d.source AS book, d.lang AS section, d.text, round(h.score / max(h.score) OVER (PARTITION BY h.query_id), 6) AS score, doc_id % 5 = 0 AS is_parent FROM ({_BM25.format(tq=TOKENS.format('text'), td=TOKENS.format('text'), k=10)}) h JOIN documents d USING (doc_id))"
+
+
+@query(f"""WITH {HITS}, a AS (SELECT query_id, avg(score) FILTER (rnk <= 5) AS m, max(score) FILTER (rnk = 1) AS t, count(*) FILTER (score > 0.5) AS g FROM hits GROUP BY 1)
+SELECT item_id AS query_id, round(least(m * 0.3 + t * 0.3 + least(g / 5, 1) * 0.2 + least(length(text) / 1000, 1) * 0.1, 1), 5) AS confidence FROM benchmark JOIN a ON item_id = query_id""")
+def confidence_score(spark, d):
+    a = _questions(spark, d).select("query_id", F.col("text").alias("answer"), F.lit(None).cast("double").alias("grounding"))
+    return answers.confidence(_hits(spark, d), a, digits=5)
+
+
+@query(f"""WITH {HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, book, section ORDER BY is_parent, score DESC, rnk) AS n FROM hits),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_parent, score DESC, rnk) AS pos FROM n WHERE n = 1)
+SELECT query_id, pos::INT AS pos, book, section, 1 AS page, score AS relevance, is_parent FROM p WHERE pos <= 8""")
+def citations(spark, d):
+    return answers.citations(_hits(spark, d))
+
+
+@query()
+def grounding_score(spark, d):
+    a = _questions(spark, d).select("query_id", F.col("text").alias("answer"))
+    return answers.grounding(a, _hits(spark, d))
+
+
+@query()
+def context_assembly(spark, d):
+    return answers.context(_hits(spark, d))
+
+
+@query(f"""WITH {HITS} SELECT query_id, string_agg(rnk || '. ' || book || ' - ' || section || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY rnk) AS answer FROM hits WHERE rnk <= 5 GROUP BY 1""")
+def extractive_answer(spark, d):
+    return answers.extractive(_hits(spark, d))
+
+
+@query("""WITH h AS (SELECT conv_id, turn, role, left(text, 8000) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''),
+n AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER w AS used FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, role, text FROM n WHERE n <= 28 AND used <= 3000""")
+def prompt_budget(spark, d):
+    return answers.packed_prompt(load(spark, d, "conversations"), 3000)
+
+
+@query("""WITH q AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(lower(text), '[а-яёa-z0-9]{3,}')) AS tok FROM conversations WHERE role = 'user'),
+l AS (SELECT *, lag(tok) OVER w AS ltok, turn % 3 AS book, lag(turn % 3) OVER w AS lbook FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN ltok IS NOT NULL THEN round(len(list_intersect(tok, ltok)) / greatest(len(tok), 1), 6) END AS overlap, coalesce(len(tok) > 0 AND book <> lbook AND len(list_intersect(tok, ltok)) / greatest(len(tok), 1) < 0.25, false) AS shift FROM l""")
+def topic_shift(spark, d):
+    return answers.topic_shifts(load(spark, d, "conversations").where("role = 'user'").withColumn("book", F.col("turn") % 3))
+
+
+@query()
+def context_query(spark, d):
+    return answers.context_queries(load(spark, d, "conversations").where("role = 'user'"))
+
+
+@query("SELECT conv_id, turn, 'general' AS question_type, trim(text) = '' OR (regexp_matches(trim(text), '(?i)^(hi|hello|hey)\\b') AND len(regexp_extract_all(regexp_replace(trim(text), '(?i)^(hi|hello|hey)\\b', ''), '[A-Za-z0-9]+')) <= 1) AS smalltalk FROM conversations")
+def question_type(spark, d):
+    return load(spark, d, "conversations").select("conv_id", "turn", T.question_type(F.col("text")).alias("question_type"), T.is_smalltalk(F.col("text")).alias("smalltalk"))
