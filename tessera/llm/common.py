@@ -70,6 +70,15 @@ def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python ``rows`` at a time: a batch is held off the heap on both sides.
+
+    Sets the session's Arrow batch size, unless it is set below that already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

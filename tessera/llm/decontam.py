@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, fresh
+from .common import Table, fresh, small_batches
 from .fmindex import SEPARATOR, FMIndex
 
 #: Word bytes (0-9, a-z, all beyond ASCII) stay, A-Z become lower case, all others become a space.
@@ -142,6 +142,7 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str
     item ids are left out. Ids of documents are taken to be unique if there are several blocks
     (their spans meet by id).
     """
+    small_batches(spark)
     n = benchmark.where("item_id IS NOT NULL").count()
     blocks = max(1, -(-n // block_items))
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))

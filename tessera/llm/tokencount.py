@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .encode import CHUNK, CHUNKS_KEPT, _Memo
 
 #: GPT-2's published pre-tokenizer pattern (a fixed value).
@@ -107,6 +108,7 @@ def _counts(path: str):
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit for every row; null and empty texts have 0. No shuffle."""
+    small_batches(docs.sparkSession)
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), size.alias("n_bytes"))
     return rows.mapInArrow(_counts(tokenizer), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
