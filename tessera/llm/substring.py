@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table
+from .common import Table, small_batches
 from .windows import Hasher, Windows, mix, slices
 
 ROWS = 2
@@ -122,9 +122,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_filter(docs: DataFrame, size: int, bits: int) -> list[np.ndarray]:
     """The merged sketch's "more than once" bits, a bitmap for each of its rows."""
-    each = docs.select("text").mapInArrow(_sketch(size, bits), _SEGMENTS).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = each.select("group", "segment", "once", "more").repartition("segment", "group").sortWithinPartitions("group", "segment").mapInArrow(_merge, _SEGMENTS)
-    merged = some.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, _SEGMENTS).select("segment", "more")
+    each = docs.select("text").mapInArrow(_sketch(size, bits), _SEGMENTS)
+    tasks = docs.rdd.getNumPartitions()
+    if tasks > 256:  # many sketches merge in two levels, the first by groups of tasks
+        each = each.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))).select("group", "segment", "once", "more")
+        each = each.repartition("segment", "group").sortWithinPartitions("group", "segment").mapInArrow(_merge, _SEGMENTS)
+    merged = each.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, _SEGMENTS).select("segment", "more")
     row_bytes = 1 << max(bits - 3, 0)
     per, out = -(-row_bytes // _SEGMENT), [np.zeros(row_bytes, np.uint8) for _ in range(ROWS)]
     for r in merged.toLocalIterator():  # at most ROWS x 2^max_bits bits
@@ -172,7 +175,7 @@ def _candidates(size: int, bits: int, filters, held: int):
     return run
 
 
-def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, max_bits: int = 28, held: int = 1_500_000) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, max_bits: int = 28, held: int = 500_000) -> DataFrame:
     """(doc_id, spans): merged [lo, hi) of words under windows that also start in a document of smaller id.
 
     Rows with a null id or text neither remove nor lose words. Rows of one id are one document: a
@@ -213,6 +216,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     Null and empty texts have no words and come out empty. The spans are broadcast only if their
     measured size is below ``broadcast_bytes``; otherwise texts and spans meet in a shuffle.
     """
+    small_batches(spark)
     spans = Table(spark, repeats(spark, docs, id_col, text_col, **kw), "repeats").df
     size = spans.agg(F.sum(F.size("spans").cast("long") * 16 + 64)).first()[0] or 0
     side = spans.withColumnRenamed("doc_id", "s_id")

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LONG = 512
 _U = np.uint64
 
@@ -29,11 +29,16 @@ def _table(seed: int) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(b"%d.%d" % (seed, b), digest_size=8).digest() for b in range(256)), dtype=np.uint64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(p: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, p, dtype=np.uint64)
-    if n:
+    """p^0 .. p^(n-1), kept for the next call."""
+    if len(_POWERS.get(int(p), ())) < n:
+        out = np.full(max(n, 1 << 16), p, dtype=np.uint64)
         out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+        _POWERS[int(p)] = np.cumprod(out, dtype=np.uint64, out=out)
+    return _POWERS[int(p)][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and where each row starts (n + 1 offsets); null rows are empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
@@ -57,6 +62,24 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+class Polynomial:
+    """64-bit hashes of byte runs [first, last) of a buffer."""
+
+    def __init__(self, seed: int):
+        self.table, self.p = _table(seed), _odd(seed)
+        self.p_inv = _U(pow(int(self.p), -1, 1 << 64))
+
+    def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        run = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.take(self.table, data, out=run[1:])
+        run[1:] *= _powers(self.p, len(data))
+        np.cumsum(run, out=run)
+        h = (run[last] - run[first]) * _powers(self.p_inv, len(data))[first]
+        for i in np.flatnonzero(last - first > _LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8, salt=int(self.p).to_bytes(8, "little")).digest(), "little")
+        return mix(h)
+
+
 @dataclass
 class Windows:
     """The windows of a batch in order: their rows, word positions and hashes."""
@@ -69,15 +92,14 @@ class Windows:
 class Hasher:
     def __init__(self, size: int, seeds: tuple[int, ...] = (1,)):
         self.size = size
-        self.of = [(_table(s), _odd(s), _odd(s + 1000)) for s in seeds]
-        self.inverse = [(_U(pow(int(p), -1, 1 << 64)), _U(pow(int(q), -1, 1 << 64))) for _, p, q in self.of]
+        self.of = [(Polynomial(s), _odd(s + 1000)) for s in seeds]
 
     def __call__(self, column: pa.Array) -> Windows:
-        data, starts = _texts(column)
+        data, starts = texts(column)
         none = Windows(np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.uint64) for _ in self.of])
         if not len(data):
             return none
-        word = ~_SPACE[data]
+        word = ~SPACE[data]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
         cuts = starts[(starts > 0) & (starts < len(data))]  # a text's first byte begins a word, the byte before it ends one
@@ -94,22 +116,16 @@ class Hasher:
         row = np.repeat(np.arange(len(n)), n)
         pos = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
         at = pos + np.repeat(np.cumsum(counts) - counts, n)  # the window's first word
-        long = np.flatnonzero(last - first > _LONG)
         hashes = []
-        for (table, p, q), (p_inv, q_inv) in zip(self.of, self.inverse, strict=True):
-            run = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(table[data] * _powers(p, len(data)), out=run[1:])
-            w = (run[last] - run[first]) * _powers(p_inv, len(data))[first]
-            for i in long:
-                w[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8, salt=int(q).to_bytes(8, "little")).digest(), "little")
-            w = mix(w)
+        for word_hash, q in self.of:
+            w = word_hash(data, first, last)
             run = np.zeros(len(w) + 1, dtype=np.uint64)
             np.cumsum(w * _powers(q, len(w)), out=run[1:])
-            hashes.append(mix((run[at + self.size] - run[at]) * _powers(q_inv, len(w) + 1)[at]))
+            hashes.append(mix((run[at + self.size] - run[at]) * _powers(_U(pow(int(q), -1, 1 << 64)), len(w) + 1)[at]))
         return Windows(row, pos, hashes)
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Parts of a batch with about ``most`` bytes of text each (a longer text is a part of its own)."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
     part = np.cumsum(sizes) // most
