@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .encode import encoder
 
 
@@ -28,19 +29,21 @@ def _pieces(path: str, end_id: int, longest: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        encode = encoder(path).batch
         for b in batches:
+            every, cut = encode(b.column(1))
+            raw, cut = every.tobytes(), (4 * cut).tolist()
             doc, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                all_ids, at = encode(t.as_py()) + end, 0
-                n, i = len(all_ids) // 4, i.as_py()
-                for k in lengths(n, longest):
-                    part = all_ids[4 * at : 4 * (at + k)]
-                    for to, x in ((doc, i), (start, at), (length, k), (crc, zlib.crc32(part)), (total, n)):
+            for k, i in enumerate(b.column(0).to_pylist()):
+                all_ids, at = raw[cut[k] : cut[k + 1]] + end, 0
+                n = len(all_ids) // 4
+                for size in lengths(n, longest):
+                    part = all_ids[4 * at : 4 * (at + size)]
+                    for to, x in ((doc, i), (start, at), (length, size), (crc, zlib.crc32(part)), (total, n)):
                         to.append(x)
                     if with_ids:
                         ids.append(part)
-                    at += k
+                    at += size
             cols = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
@@ -57,6 +60,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest has to be a power of two")
+    small_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_pieces(tokenizer, end_id, longest, with_ids), schema)
     return rows.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), (F.length(F.bin("length")) - 1).alias("bucket"))

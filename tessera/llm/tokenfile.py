@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, new_path
+from .common import Table, new_path, small_batches
 from .encode import encoder
 
 #: Fixed values of the public formats.
@@ -140,9 +140,11 @@ def _open(uri: str):
 
 def _encode(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).ids, end_id.to_bytes(4, "little")
+        encode, end = encoder(path).batch, end_id.to_bytes(width, "little")
         for b in batches:
-            ids = [np.frombuffer(encode(t.as_py()) + end, "<u4").astype(f"<u{width}").tobytes() for t in b.column(1)]
+            every, cut = encode(b.column(1))
+            raw, cut = every.astype(f"<u{width}").tobytes(), (width * cut).tolist()
+            ids = [raw[lo:hi] + end for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["doc_id", "bucket", "ids"])
 
     return run
@@ -187,6 +189,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     have their end id only; null ids come first; rows of one id go by their ids' bytes. An empty
     table writes no file. ``file_bytes`` is of text.
     """
+    small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     width = 2 if max(_vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

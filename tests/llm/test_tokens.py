@@ -25,7 +25,17 @@ def whole(path, text):
 def test_chunks_give_the_ids_of_whole_texts(path):
     encoder, lib = Encoder(path, kept=50), Tokenizer.from_file(path)
     for t in X.texts():
-        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+        assert encoder.ids(t).tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_batches_and_a_full_table():
+    import pyarrow as pa
+
+    lib, encoder = Tokenizer.from_file(BYTE), Encoder(BYTE, kept=200)
+    texts = X.texts()[:20] * 2
+    for _ in range(3):
+        ids, cut = encoder.batch(pa.array(texts, pa.string()), most=500)
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 _LIB = {p: Tokenizer.from_file(p) for p in (BYTE, WORD)}
@@ -38,7 +48,7 @@ _ODD = st.lists(st.sampled_from([*" \n\t\r\x0b\x0c\x1c\x85\xa0  　ab'stlreZ
 @given(_ODD)
 def test_odd_texts(text):
     for p in (BYTE, WORD):
-        assert np.frombuffer(_ENC[p].ids(text), "<u4").tolist() == _LIB[p].encode(text, add_special_tokens=False).ids
+        assert _ENC[p].ids(text).tolist() == _LIB[p].encode(text, add_special_tokens=False).ids
     assert _COUNT.count(text) == len(_LIB[BYTE].encode(text, add_special_tokens=False).ids)
 
 
