@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tessera.functions import codes as C
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import analytics, answers, chunking, context, documents, labels, retrieval
+from tessera.operators import analytics, answers, chunking, classify, context, documents, labels, retrieval
+from tessera.operators import classify_tables as R
 from tessera.plans import ingest as I
 from tessera.plans import search as S
 from tessera.sources import files
@@ -435,6 +436,26 @@ def guess_groups(spark, d):
     return labels.guess_groups(_bridge(spark, d))
 
 
+def _items(spark, d):
+    """Parts named as a factory names them: form, size, grade, standard."""
+    pick = lambda words, k: F.array(*map(F.lit, words))[F.col("p_partkey") % k]
+    grades = ["сталь 45", "12Х18Н10Т", "АМг6", "Латунь Л63", "09Г2С", "Inconel 718", "ВТ6", "", "Ст3", "Св-08Г2С", "х/к", "припой ПОС-61"]
+    standards = ["ГОСТ 7798-70", "DIN 933", "ISO 4014", "", "ГОСТ Р 58144-2018"]
+    return load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", pick([*R.FORMS, "Наконечник"], 28), F.concat(F.col("p_size"), F.lit("x"), F.col("p_partkey") % 900 + 10), pick(grades, 12), pick(standards, 5)).alias("text"))
+
+
+@query()
+def classify_items(spark, d):
+    return classify.classified(_items(spark, d)).select("doc_id", "text", "code", "conf", "desc", "info.form", "info.size", "info.width", "info.material", "info.material_code")
+
+
+@query()
+def tag_items(spark, d):
+    items = _items(spark, d).withColumn("section", F.lit("items"))
+    guesses = classify.classified(items.select("doc_id", "text")).select("doc_id", "code", "conf")
+    return labels.tagged(items, guesses)[0]
+
+
 # Analytics --------------------------------------------------------------------------------------------
 
 

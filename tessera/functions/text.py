@@ -239,19 +239,21 @@ def strip_quotes(x: Column) -> Column:
     return F.array_join(F.transform(F.split(x, "\n"), line), "\n")
 
 
+def _keyed(parts: Column) -> Column:
+    """One struct of an array's parts and their normalized forms, inside an array of one: made once, used often."""
+    return F.transform(F.array(parts), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: normalize(x)).alias("k")))
+
+
 def collapse_lines(x: Column) -> Column:
     """Without lines whose normalized form is that of the line before."""
-    lines = F.split(x, "\n")
-    keep = F.filter(lines, lambda s, i: (i == 0) | ~normalize(s).eqNullSafe(normalize(F.get(lines, i - 1))))
-    return F.array_join(keep, "\n")
+    keep = lambda s: F.filter(s.p, lambda _, i: (i == 0) | ~F.get(s.k, i).eqNullSafe(F.get(s.k, i - 1)))
+    return F.transform(_keyed(F.split(x, "\n")), lambda s: F.array_join(keep(s), "\n"))[0]
 
 
 def drop_repeated_paragraphs(x: Column, short: int = 200) -> Column:
     """Repeated paragraphs under ``short`` characters stay once, at their first place."""
-    paras = F.split(x, r"\n\s*\n+")
-    keys = F.transform(paras, lambda p: normalize(p))
-    keep = F.filter(paras, lambda p, i: (F.trim(p) == "") | (F.length(p) >= short) | (F.array_position(keys, normalize(p)) == i + 1))
-    return F.array_join(keep, "\n\n")
+    keep = lambda s: F.filter(s.p, lambda p, i: (F.trim(p) == "") | (F.length(p) >= short) | (F.array_position(s.k, F.get(s.k, i)) == i + 1))
+    return F.transform(_keyed(F.split(x, r"\n\s*\n+")), lambda s: F.array_join(keep(s), "\n\n"))[0]
 
 
 def clean(x: Column, keep_paragraphs: bool = False) -> Column:

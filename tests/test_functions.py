@@ -152,3 +152,19 @@ def test_chunks_cover_the_text(text):
         assert all(w in "".join(got) or len(w) > 3000 for w in text.split())
         assert have or not text.split()
         assert all(len(c) <= chunking.CHAR_CAP for c in got) or split is chunking.pack_chars
+
+
+@pytest.mark.parametrize(
+    "text,code,conf",
+    [
+        ("Болт М10х40", "25.94.11.110", 0.85), ("привет", "UNSURE", 0.2), (None, "UNSURE", 0.2), ("Сталь 45", "UNSURE", 0.4),
+        ("Лист АМг6 2x1200", "24.42.24", 0.90), ("Проволока Св-08Г2С 1.2", "24.34.13.120", 0.95), ("Припой ПОС-61", "24.43.24", 0.88),
+        ("подшипник игольчатый", "28.15.10.128", 0.96), ("Клапан DN 50 фланцевый", "28.14.12", 0.92), ("изделие ГОСТ 7376-89", "UNSURE", 0.4),
+        ("вещь DIN 933", "25.94.11.110", 0.92), ("Лента Л63 0.5x700", "24.44.24.110", 0.95), ("Круг Д16", "24.42.22", 0.90), ("наконечник", "25.99.29", 0.80),
+    ],
+)
+def test_classifier(spark, text, code, conf):
+    from tessera.operators import classify
+
+    r = classify.classified(spark.createDataFrame([(text,)], "text string")).first()
+    assert (r["code"], r["conf"]) == (code, conf), r
