@@ -107,7 +107,7 @@ def importance_score(spark, d):
     return documents.importance(_docs(spark, d))
 
 
-@query("""SELECT doc_id, nullif(regexp_extract(left(text, 1000), '(?i)v([\\d.]+)', 1), '') AS version,
+@query("""SELECT doc_id, coalesce(nullif(regexp_extract(left(text, 1000), '(?i)v([\\d.]+)', 1), ''), nullif(regexp_extract(left(text, 1000), '(?i)Version\\s*([\\d.]+)', 1), '')) AS version,
  CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN regexp_extract(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN regexp_extract(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') ELSE nullif(regexp_extract(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}'), '') END AS date,
  CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN 'dd.mm.yyyy' WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN 'yyyy-mm-dd' WHEN regexp_matches(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}') THEN 'dd/mm/yyyy' END AS date_format,
  NULL::VARCHAR AS doc_type FROM documents""")
