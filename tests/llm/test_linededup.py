@@ -2,7 +2,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup
+import corpus_pipeline
+from tessera.llm import linededup, queries
+
+from . import fixtures as X
 
 
 
@@ -29,3 +32,31 @@ def test_copies_do_not_make_a_bucket_large(spark):
     pairs, many = linededup.candidates(spark, keyed)
     assert {(r["a"], r["b"]) for r in pairs.collect()} == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
     assert many.count() == 0
+
+
+def grams(line, w=9):
+    return {line[i : i + w] for i in range(max(1, len(line) - w + 1))}
+
+
+def test_query_takes_shingles_at_every_character(spark, tmp_path):
+    """One edit in lines without spaces and in short lines, against brute force; the stage keeps the same lines."""
+    rng = random.Random(4)
+    name = lambda n, of="abcdefghij0123456789{}:,|": "".join(rng.choice(of) for _ in range(n))
+    lines = ["abc", "123456789", "1234567890", "né" * 60, "🎉" * 12 + "b", "東京都の天気は晴れです。明日も晴れです"]
+    for k in range(14):
+        base = name(150) if k % 2 else " ".join(name(6, "abcdefghij") for _ in range(16))
+        at = rng.randrange(20, 80)
+        lines += [base, base[:at] + "X" + base[at:]]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", F.size(linededup.shingles(F.col("line"), linededup.EVERY)).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: len(grams(x)) for i, x in enumerate(lines)}
+    docs = [(i, "\n".join(lines[i::5])) for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    flat = [(i, k, x) for i, t in docs for k, x in enumerate(t.split("\n"))]
+    sets = [grams(x[2]) for x in flat]
+    root = X.components(len(flat), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    want = {x[:2]: (flat[root[i]][:2], root[i] == i) for i, x in enumerate(flat)}
+    found = queries.op8_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["line_no"]): ((r["keep_doc_id"], r["keep_line_no"]), r["kept"]) for r in found} == want
+    assert sum(k for _, k in want.values()) <= len(lines) - 14
+    left = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sum(len(r["text"].split("\n")) for r in left) == sum(k for _, k in want.values())
