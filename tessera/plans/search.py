@@ -30,7 +30,7 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     back = lambda d, s: d.select(F.col("query_id.query_id").alias("query_id"), F.lit(s).alias("signal"), "doc_id", "score")
     lists = back(retrieval.lexical(v, body, retrieval.DEPTH["fts"]), "fts")
     grams = v.where(retrieval.wants_trigrams(F.col("text")))
-    lists = lists.unionByName(back(retrieval.trigram(grams, body.select("doc_id", F.substring("text", 1, retrieval.HEAD_CHARS).alias("text")), retrieval.DEPTH["trgm"]), "trgm"))
+    lists = lists.unionByName(back(retrieval.trigram(grams, body, retrieval.DEPTH["trgm"]), "trgm"))
     if embed is not None:
         qv = v.select("query_id", embed(F.concat(F.lit("query: "), "text")).alias("vec"))
         near = retrieval.vector(qv, chunks.select(F.col("id").alias("doc_id"), F.col("emb").alias("vec"), F.col("importance_score").alias("importance")), retrieval.DEPTH["vec"])
