@@ -1,21 +1,20 @@
 """Product items to codes: material, form and standards found by patterns, then a decision list.
 
-All of it is one expression in the JVM. Rules are rows of ``classify_tables``; lookups of standards are
-map literals, the ordered grades a chain of conditions of which the first that matches counts.
+Forms, grades, signs and rules are rows of ``classify_tables``. Each step binds what it finds as columns
+(``functions.binding``), and the next one reads only these: the plan grows with the rows, not with their
+product. All of it runs in the JVM and moves no row.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import codes as C
+from tessera.functions.binding import bound
 from tessera.operators import classify_tables as R
 
 _U = "(?iuU)"
-_STRINGS = "array<string>"
 
 
 def _has(x: Column, pattern: str) -> Column:
@@ -26,55 +25,73 @@ def _part(x: Column, pattern: str, group: int = 1, flags: str = _U) -> Column:
     return F.nullif(F.regexp_extract(x, flags + pattern, group), F.lit(""))
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(table.items()))), key)
+def _sql(value: str) -> str:
+    return "r'" + value.replace("'", "''") + "'"
+
+
+def _lookup(table: dict[str, str], key: str) -> Column:
+    return F.expr(f"try_element_at(map({', '.join(_sql(v) for row in table.items() for v in row)}), {key})")
+
+
+def _first(conditions: list[str]) -> Column:
+    """The number (from 1) of the first condition that holds; null if none does."""
+    return F.expr(f"CASE {' '.join(f'WHEN {c} THEN {k}' for k, c in enumerate(conditions, 1))} END")
+
+
+def _nth(values: list[str], number: str) -> Column:
+    """The value with this number; only that one is evaluated."""
+    return F.expr(f"CASE {number} {' '.join(f'WHEN {k} THEN {v}' for k, v in enumerate(values, 1))} END")
 
 
 def form(x: Column) -> Column:
     """The form that a text begins with, in capitals; a strip named anywhere is a band."""
     first = F.upper(_part(x, rf"^({'|'.join(R.FORMS)})\b"))
-    return F.coalesce(first, F.when(_has(x, r"\bштрипс\w*\b"), "ЛЕНТА"))
+    return F.coalesce(first, F.when(_has(x, R.SIGNS["strip"]), "ЛЕНТА"))
+
 
+def with_material(items: DataFrame, x: Column) -> DataFrame:
+    """``items`` with ``material`` and ``material_code``: the grade after the last slash (or anywhere).
 
-def material(x: Column) -> Column:
-    """struct(name, code) of the grade after the last slash (or anywhere); the code is null for grades of no list."""
-    part = F.element_at(F.split(x, "/"), -1)
-    found = []
-    for pattern, code, name in R.GRADES:
-        head, group, tail = name.partition("$1")
-        said = F.concat(F.lit(head), F.regexp_extract(part, _U + pattern, 1), F.lit(tail)) if group else F.lit(name)
-        found.append(F.when(_has(part, pattern), F.struct(said.alias("name"), F.lit(code).alias("code"))))
-    steel = _part(part, r"\b(Ст\.?\s*\d+\w*)\b")
-    found.append(F.when(steel.isNotNull(), F.struct(steel.alias("name"), F.lit("24.10.61").alias("code"))))
-    for pattern in R.OTHER_GRADES:
-        g = _part(part, pattern, 1, "(?uU)")
-        found.append(F.when(g.isNotNull(), F.struct(g.alias("name"), F.lit(None).cast("string").alias("code"))))
-    return F.coalesce(*found)
+    The code is null for grades of no list."""
+    d = bound(items, _part=F.element_at(F.split(x, "/"), -1))
+    part = F.col("_part")
+    d = bound(d, _grade=_first([f"_part RLIKE {_sql(_U + p)}" for p, _, _ in R.GRADES]))
+    name = _nth([f"replace({_sql(n)}, '$1', regexp_extract(_part, {_sql(_U + p)}, 1))" if "$1" in n else _sql(n) for p, _, n in R.GRADES], "_grade")
+    steel = F.when(F.col("_grade").isNull(), _part(part, r"\b(Ст\.?\s*\d+\w*)\b"))
+    d = bound(d, _name=name, _steel=steel)
+    other = F.when(F.coalesce("_name", "_steel").isNull(), F.coalesce(*[_part(part, p, 1, "(?uU)") for p in R.OTHER_GRADES]))
+    code = _nth([_sql(c) for _, c, _ in R.GRADES], "_grade")
+    d = bound(d, material=F.coalesce("_name", "_steel", other), material_code=F.coalesce(code, F.when(F.col("_steel").isNotNull(), "24.10.61")))
+    return d.drop("_part", "_grade", "_name", "_steel")
 
 
 def _family(name: Column, code: Column) -> Column:
     up, code = F.upper(name), F.coalesce(code, F.lit(""))
-    any_of = lambda words: F.greatest(*[up.contains(w) for w in words])
-    return (
-        F.when(code.startswith("24.42") | any_of(["АМГ", "АМЦ", "АД", "АК", "Д16", "В95", "1561", "1163", "6061", "6063", "7075"]), "AL")
-        .when(code.startswith("24.44") | any_of(["ЛАТУН", "БРОНЗ", "МЕДЬ", "М1", "М2", "М3", "Л63", "Л68", "ЛС59"]), "CU")
-        .when(code.startswith("24.45") | any_of(["INCONEL", "HASTELLOY", "MONEL", "ХН", "ЭИ", "ЭП"]), "NI")
-        .when(up.contains("AISI") | up.rlike(r"\b1\.\d{4}\b") | up.rlike(r"\d+[ХX]\d+[НH]\d+"), "SS")
-        .when(any_of(["ЛЕГИРОВАН", "ПРУЖИН", "ПОДШИПНИК", "ХН", "ХГСА"]), "FEA")
-        .otherwise("FE")
-    )
+    out = F.when(name.isNull(), None)
+    for family, begins, words in R.FAMILIES:
+        holds = up.rlike("|".join(words))
+        if begins:
+            holds = holds | code.startswith(begins)
+        if family == "SS":
+            holds = holds | up.rlike(R.STAINLESS)
+        out = out.when(holds, family)
+    return out.otherwise("FE")
 
 
 def _number(x: Column) -> Column:
     return F.replace(x, F.lit(","), F.lit("."))
 
 
-def info(items: DataFrame, text_col: str = "text") -> DataFrame:
-    """``items`` with ``info``: struct(form, size, length, thickness, width, gost, tu, ost, din, iso, material,
-    material_code, surface, heat_treatment, coating)."""
-    x = F.coalesce(F.col(text_col), F.lit(""))
-    d = items.withColumn("_form", form(x)).withColumn("_mat", material(x))
-    t = F.col("_form")
+#: What is found in a text, in the order of ``info``.
+INFO = ["form", "size", "length", "thickness", "width", "gost", "tu", "ost", "din", "iso", "material", "material_code", "surface", "heat_treatment", "coating"]
+
+
+def found(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``items`` with a column ``_<name>`` for each name of ``INFO``."""
+    d = bound(items, _x=F.coalesce(F.col(text_col), F.lit("")))
+    x = F.col("_x")
+    d = with_material(bound(d, _t=form(x)), x)
+    t = F.col("_t")
     dim = r"(\d+(?:[.,]\d+)?)\s*[xх×]\s*(\d+(?:[.,]\d+)?)"
     thread = t.isin("БОЛТ", "ВИНТ", "ГАЙКА", "ШПИЛЬКА")
     flat = t.isin("ПЛИТА", "ЛИСТ", "ПОЛОСА", "ЛЕНТА")
@@ -91,16 +108,38 @@ def info(items: DataFrame, text_col: str = "text") -> DataFrame:
     fields = {
         "form": t, "size": size, "length": F.when(thread, _part(x, r"М(\d+)(?:[xх](\d+))?", 2)), "thickness": thick, "width": F.coalesce(said, wide),
         "gost": F.array_distinct(F.regexp_extract_all(x, F.lit(C.GOST), 2)), "tu": _part(x, r"ТУ\s*([\d\-\.]+)"), "ost": F.trim(_part(x, r"ОСТ\s*([\d\s\-]+)")),
-        "din": _part(x, r"DIN\s*(\d+)"), "iso": _part(x, r"ISO\s*(\d+(?:[-\.]\d+)?)"), "material": F.col("_mat.name"), "material_code": F.col("_mat.code"),
+        "din": _part(x, r"DIN\s*(\d+)"), "iso": _part(x, r"ISO\s*(\d+(?:[-\.]\d+)?)"), "material": F.col("material"), "material_code": F.col("material_code"),
         "surface": _has(x, r"\b(?:шлифован|полирован|матов)\w*\b"), "heat_treatment": _has(x, r"\b(?:закален|отожжен|норм(?:ализ)?)\w*\b"),
         "coating": _has(x, r"\b(?:оцинкован|хромирован|никелирован|кадмирован)\w*\b"),
     }
-    return d.withColumn("info", F.struct(*[c.alias(n) for n, c in fields.items()])).drop("_form", "_mat")
+    return bound(d, **{f"_{n}": fields[n] for n in INFO}).select(*items.columns, *[f"_{n}" for n in INFO])
 
 
-def _is(code, conf, desc) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(C.canonical_code(lit(code)).alias("code"), lit(conf).cast("double").alias("conf"), lit(desc).alias("desc"))
+def info(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``items`` with ``info``: a struct of ``INFO``."""
+    return found(items, text_col).select(*items.columns, F.struct(*[F.col(f"_{n}").alias(n) for n in INFO]).alias("info"))
+
+
+def facts(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``found`` and the columns that the rules of ``classify_tables`` read."""
+    d = found(items, text_col)
+    x, gost = F.coalesce(F.col(text_col), F.lit("")), F.col("_gost")
+    named = {n: F.col(f"_{n}") for n in ("form", "material", "material_code", "din", "iso")}
+    number = F.try_element_at(F.filter(gost, lambda g: g.isin(*R.GOST_CODES)), F.lit(1))
+    d = bound(d, **named, **{n: _has(x, p) for n, p in R.SIGNS.items()}, gost_number=number, width_said=F.col("_width").try_cast("double"), narrow=F.array_contains(gost, "4986"), cold_standard=F.array_contains(gost, "19904"), hot_standard=F.array_contains(gost, "19903"))
+    t = F.col("form")
+    d = bound(d, family=F.when(t.isNotNull(), _family(F.col("material"), F.col("material_code"))), gost_code=_lookup(R.GOST_CODES, "gost_number"), din_code=_lookup(R.DIN_CODES, "din"), iso_code=_lookup(R.ISO_CODES, "split(iso, '[-.]')[0]"), form_code=_lookup(R.FORM_CODES, "form"))
+    family = F.col("family")
+    base = F.coalesce(*[F.when(family.isin(f, *(["FEA"] if f == "FE" else [])), _lookup(codes, "form")) for f, codes in R.FAMILY_FORMS.items()])
+    name = _lookup(R.FAMILY_NAMES, "family")
+    sql = {
+        "cold": "cold_word OR cold_standard", "hot": "hot_word OR hot_standard", "kind": "lower(form)", "width": "nullif(width_said, 0.0)",
+        "band": "coalesce(family IS NOT NULL AND form = 'ЛЕНТА', false)", "sheet": "coalesce(family IS NOT NULL AND form IN ('ЛИСТ', 'ПЛИТА'), false)",
+        "sheet_conf": "CASE WHEN width_said < 600 AND width_said <> 0 THEN 0.75 ELSE 0.90 END",
+    }
+    d = bound(d, base=base, family_name=name, metal=F.when(family == "FEA", "сталь").otherwise(name), **{n: F.expr(e) for n, e in sql.items()})
+    depth = lambda c: F.coalesce(F.size(F.split(c, r"\.")), F.lit(0))
+    return bound(d, deeper=F.coalesce(depth(F.col("material_code")) > depth(F.col("base")), F.lit(False)))
 
 
 def classified(items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -109,65 +148,7 @@ def classified(items: DataFrame, text_col: str = "text") -> DataFrame:
     The rules in their order: bearings, pipe fittings, form and material together, solder, material
     alone (unsure), standards, form alone, special cases.
     """
-    d = info(items, text_col)
-    x, low = F.coalesce(F.col(text_col), F.lit("")), F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    t, mat, mcode = F.col("info.form"), F.col("info.material"), F.col("info.material_code")
-    fam = _family(mat, mcode)
-    d = d.withColumn("_fam", F.when(t.isNotNull() & mat.isNotNull(), fam))
-    fam = F.col("_fam")
-    base = F.coalesce(*[F.when(fam.isin(*names), _lookup(table, t)) for names, table in ((["AL"], R.FAMILY_FORMS["AL"]), (["CU"], R.FAMILY_FORMS["CU"]), (["SS"], R.FAMILY_FORMS["SS"]), (["NI"], R.FAMILY_FORMS["NI"]), (["FE", "FEA"], R.FAMILY_FORMS["FE"]))])
-    d = d.withColumn("_base", base).withColumn("_w", F.col("info.width").try_cast("double"))
-    base, w = F.col("_base"), F.nullif(F.col("_w"), F.lit(0.0))
-    depth = lambda c: F.coalesce(F.size(F.split(c, r"\.")), F.lit(0))
-    gost = F.col("info.gost")
-    cold = _has(x, r"\b(?:х/к|хк|холоднокатан\w*)\b") | F.array_contains(gost, "19904")
-    hot = _has(x, r"\b(?:г/к|гк|горячекатан\w*)\b") | F.array_contains(gost, "19903")
-    by_cold, strip = cold | ~hot, _has(x, r"\bштрипс\w*\b")
-    name = F.coalesce(_lookup(R.FAMILY_NAMES, fam), F.lit("сталь"))
-    kind, steel = F.lower(t), F.when(fam == "FEA", "сталь").otherwise(name)
-    said = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    soft = fam.isin("AL", "CU")
-    soft_code = lambda al, cu: F.when(fam == "AL", al).otherwise(cu)
-    both = fam.isNotNull()
-    band, sheet = both & (t == "ЛЕНТА"), both & t.isin("ЛИСТ", "ПЛИТА")
-    solder = low.contains("припой") | _has(x, r"\bПОС[КС]?(?:[-\s]?\d{2}(?:-\d{1,2})?)?\b")
-    iso_number = F.regexp_extract(F.col("info.iso"), r"^(\d+)", 1)
-    known = F.filter(F.transform(gost, lambda g: F.struct(g.alias("g"), _lookup(R.GOST_CODES, g).alias("c"))), lambda s: s.c.isNotNull())
-    first_gost = F.get(known, F.lit(0))
-    d = d.withColumn("_gost", first_gost)
-    tool = low.contains("модельная оснастка")
-    tip = low.contains("наконечник")
-    rules = [
-        (_has(x, r"\bподшипник\w*\b.*\b(NA\d|NK\d|HK\d|RNA\d|NKI\d|NKIS\d)\b"), _is("28.15.10.128", 0.94, "подшипник игольчатый (серии NA/NK/HK/…)")),
-        (_has(x, r"\bподшипник\w*\s*(?:качени[яй]\s*)?(?:ролик\w*\s*)?игольчат\w*"), _is("28.15.10.128", 0.96, "подшипник игольчатый")),
-        (_has(x, r"\b(?:игольчат\w*\s*ролик\w*|ролик\w*\s*игольчат\w*)\b"), _is("28.15.31.120", 0.95, "ролики игольчатые (детали подшипников)")),
-        (_has(x, r"\b(?:вентил\w*|клапан\w*|задвижк\w*|кран\w*)\b") & _has(x, r"\b(?:DN|Д[Уу]|ДУ)\s*\d+\b|резьб\w+|муфтов\w+|фланцев\w+|трубопровод\w+"), _is("28.14.12", 0.92, "трубопроводная арматура (вентиль/клапан/задвижка/кран)")),
-        (both & mcode.isNotNull() & (depth(C.canonical_code(mcode)) > depth(base)), _is(mcode, 0.95, said(kind, " из ", mat))),
-        (both & base.isNotNull() & ~t.isin("ЛЕНТА", "ЛИСТ", "ПЛИТА"), _is(base, 0.90, said(kind, " (", name, ")"))),
-        (band & soft & (w >= 600), _is(soft_code("24.42.24.110", "24.44.24.110"), 0.95, said("лист ", steel, " ≥600 мм"))),
-        (band & soft & (w < 600), _is(soft_code("24.42.24.120", "24.44.24.120"), 0.96, said("полоса/лента ", steel, " <600 мм"))),
-        (band & soft, _is(soft_code("24.42.24.120", "24.44.24.120"), 0.88, said("лента ", steel, " (толщ. >0,2 мм), ширина не указана"))),
-        (band & (fam == "NI"), _is("24.45.24", 0.93, "лента/лист Ni-сплав (24.45.24)")),
-        (band & (w >= 600) & by_cold, _is(F.when(fam == "SS", "24.10.42.000").otherwise("24.10.41.000"), F.when(cold, 0.94).otherwise(0.90), said("лист х/к ≥600 мм (", steel, ")"))),
-        (band & (w >= 600), _is(F.when(fam == "SS", "24.10.33.000").otherwise("24.10.31.000"), 0.94, said("лист г/к ≥600 мм (", steel, ")"))),
-        (band & (w < 600), _is("24.32.10.000", F.when(cold | strip | F.array_contains(gost, "4986"), 0.96).otherwise(0.90), said("узкая лента/штрипс <600 мм (", steel, ")"))),
-        (band, _is("24.32.10.000", 0.88, said("лента (", steel, "), ширина не указана"))),
-        (sheet & fam.isin("AL", "CU", "NI"), _is(base, 0.90, said(kind, " ", steel))),
-        (sheet, _is(F.when(fam == "SS", F.when(by_cold, "24.10.42.000").otherwise("24.10.33.000")).when(by_cold, "24.10.41.000").otherwise("24.10.31.000"), F.when(F.col("_w") >= 600, 0.90).otherwise(0.75), said(kind, " (", steel, ")"))),
-        (solder & (t == "ПРОВОЛОКА"), _is("24.43.24.130", 0.94, "припой, проволока")),
-        (solder & t.isin("ПРУТОК", "КРУГ"), _is("24.43.24.110", 0.94, "припой, пруток")),
-        (solder & t.isin("ЛЕНТА", "ПРОФИЛЬ", "ПОЛОСА", "ТРУБА"), _is("24.43.24.120", 0.92, "припой, лента/профиль")),
-        (solder, _is("24.43.24", 0.88, "припой (форма не указана)")),
-        (mat.isNotNull() & t.isNull(), _is("UNSURE", 0.40, said("Определён материал: ", mat, ". Форма не указана — код зависит от формы (лист/пруток/лента/проволока/труба)."))),
-        (F.col("_gost").isNotNull(), _is(F.col("_gost.c"), 0.93, said("ГОСТ ", F.col("_gost.g")))),
-        (_lookup(R.DIN_CODES, F.col("info.din")).isNotNull(), _is(_lookup(R.DIN_CODES, F.col("info.din")), 0.92, said("DIN ", F.col("info.din")))),
-        (_lookup(R.ISO_CODES, iso_number).isNotNull(), _is(_lookup(R.ISO_CODES, iso_number), 0.92, said("ISO ", F.col("info.iso")))),
-        (_lookup(R.FORM_CODES, t).isNotNull(), _is(_lookup(R.FORM_CODES, t), 0.85, kind)),
-        (tool & low.contains("дерево"), _is("16.29.14", 0.80, "модельная оснастка деревянная")),
-        (tool, _is("25.73.60", 0.80, "модельная оснастка")),
-        (tip & low.contains("латунь"), _is("24.44.13", 0.85, "наконечник латунный")),
-        (tip, _is("25.99.29", 0.80, "наконечник")),
-    ]
-    found = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), r) for c, r in rules], _is("UNSURE", 0.20, "не удалось классифицировать"))
-    d = d.withColumn("_r", found)
-    return d.select(*items.columns, F.col("_r.code").alias("code"), F.col("_r.conf").alias("conf"), F.col("_r.desc").alias("desc"), "info")
+    d = bound(facts(items, text_col), _rule=_first([c for c, _, _, _ in R.RULES]))
+    at = lambda k: _nth([r[k] for r in R.RULES], "_rule")
+    d = bound(d, code=C.canonical_code(at(1)), conf=at(2).cast("double"), desc=at(3))
+    return d.select(*items.columns, "code", "conf", "desc", F.struct(*[F.col(f"_{n}").alias(n) for n in INFO]).alias("info"))

@@ -1,6 +1,7 @@
-"""Fixed values of the item classifier: forms, standards, material grades and codes by form.
+"""Fixed values of the item classifier: forms, standards, material grades, codes by form, signs and rules.
 
-Grades are tried in this order and the first that matches counts, so the order is part of the values.
+All of them are values that results depend on, stated as they are. Grades and rules are tried in this
+order and the first that matches counts, so the order is part of the values.
 """
 
 FORMS = ["Плита", "Лист", "Круг", "Пруток", "Лента", "Полоса", "Профиль", "Швеллер", "Двутавр", "Уголок", "Балка", "Труба", "Квадрат", "Шестигранник", "Болт", "Винт", "Гайка", "Шайба", "Штифт", "Шпилька", "Заготовка", "Отливка", "Поковка", "Проволока", "Канат", "Трос", "Сетка"]
@@ -76,8 +77,11 @@ GRADES = [
     (r"\b(?:сталь\s*)?40Х", "24.10.32", "сталь легированная 40Х"),
     (r"\b(?:сталь\s*)?45Х", "24.10.32", "сталь легированная 45Х"),
     (r"\b(?:сталь\s*)?30ХГСА", "24.10.32", "сталь легированная 30ХГСА"),
+    (r"\b(?:сталь\s*)?40ХН", "24.10.32", "сталь легированная 40ХН"),
     (r"\b30[ХX]2[НNH]2[ВVB][ФF][МM][АA]\b", "24.10.32", "сталь высоколегированная 30Х2Н2ВФМА"),
     (r"\b38ХН3МА\b", "24.10.32", "сталь легированная 38ХН3МА"),
+    (r"\b40ХН2МА\b", "24.10.32", "сталь легированная 40ХН2МА"),
+    (r"\b40ХНМА\b", "24.10.32", "сталь легированная 40ХНМА"),
     (r"\bВТ1(?:-0)?\b", "24.45.30", "титан технический ВТ1-0"),
     (r"\bВТ3-1\b", "24.45.30", "титановый сплав ВТ3-1"),
     (r"\bВТ22\b", "24.45.30", "титановый сплав ВТ22"),
@@ -94,6 +98,7 @@ GRADES = [
     (r"\b12Х18Н10Т", "24.10.22", "сталь коррозионностойкая 12Х18Н10Т"),
     (r"\b12Х18Н9Т", "24.10.22", "сталь коррозионностойкая 12Х18Н9Т"),
     (r"\b08Х18Н10", "24.10.22", "сталь коррозионностойкая 08Х18Н10"),
+    (r"\b08Х18Н10Т", "24.10.22", "сталь коррозионностойкая 08Х18Н10Т"),
     (r"\b10Х17Н13М2Т", "24.10.22", "сталь коррозионностойкая 10Х17Н13М2Т"),
     (r"\b07Х16Н6", "24.10.22", "сталь коррозионностойкая 07Х16Н6"),
     (r"\b20Х13", "24.10.22", "сталь коррозионностойкая 20Х13"),
@@ -101,7 +106,7 @@ GRADES = [
     (r"\b40Х13", "24.10.22", "сталь коррозионностойкая 40Х13"),
     (r"\b95Х18", "24.10.22", "сталь коррозионностойкая 95Х18"),
     (r"\b07Х12НМБФ", "24.10.22", "сталь коррозионностойкая 07Х12НМБФ"),
-    (r"\b(12Х17|08Х17|14Х17Н2)\b", "24.10.22", "сталь коррозионностойкая $1"),
+    (r"\b(12Х18Н10Т|12Х18Н9Т|08Х18Н10Т?|10Х17Н13М2Т|07Х16Н6|20Х13|30Х13|40Х13|95Х18|07Х12НМБФ|12Х17|08Х17|14Х17Н2)\b", "24.10.22", "сталь коррозионностойкая $1"),
     (r"\b(12X18H10T|08X18H10|10X17H13M2T)\b", "24.10.22", "сталь коррозионностойкая $1"),
     (r"\bAISI\s*430\b", "24.10.22", "нерж. сталь AISI 430"),
     (r"\bAISI\s*409\b", "24.10.22", "нерж. сталь AISI 409"),
@@ -113,6 +118,23 @@ GRADES = [
     (r"\b1\.(4571|4462|4410)\b", "24.10.22", "нержавеющая сталь EN 1.$1"),
     (r"\bduplex\b|\bsuper\s*duplex\b", "24.10.22", "нержавеющая Duplex"),
     (r"\bX\dCrNi\d{2}-\d{1,2}\b", "24.10.22", "нерж. по EN (X…CrNi…)"),
+    (r"\b12Х18Н10Т\b", "24.10.22", "сталь коррозионностойкая 12Х18Н10Т"),
+    (r"\b12Х18Н9Т\b", "24.10.22", "сталь коррозионностойкая 12Х18Н9Т"),
+    (r"\b08Х18Н10\b", "24.10.22", "сталь коррозионностойкая 08Х18Н10"),
+    (r"\b08Х18Н10Т\b", "24.10.22", "сталь коррозионностойкая 08Х18Н10Т"),
+    (r"\b10Х17Н13М2Т\b", "24.10.22", "сталь коррозионностойкая 10Х17Н13М2Т"),
+    (r"\b07Х16Н6\b", "24.10.22", "сталь коррозионностойкая 07Х16Н6"),
+    (r"\b20Х13\b", "24.10.22", "сталь коррозионностойкая 20Х13"),
+    (r"\b30Х13\b", "24.10.22", "сталь коррозионностойкая 30Х13"),
+    (r"\b40Х13\b", "24.10.22", "сталь коррозионностойкая 40Х13"),
+    (r"\b95Х18\b", "24.10.22", "сталь коррозионностойкая 95Х18"),
+    (r"\b07Х12НМБФ\b", "24.10.22", "сталь коррозионностойкая 07Х12НМБФ"),
+    (r"\b12Х17\b", "24.10.22", "сталь коррозионностойкая 12Х17"),
+    (r"\b08Х17\b", "24.10.22", "сталь коррозионностойкая 08Х17"),
+    (r"\b14Х17Н2\b", "24.10.22", "сталь коррозионностойкая 14Х17Н2"),
+    (r"\b12X18H10T\b", "24.10.22", "12Х18Н10Т (лат.)"),
+    (r"\b08X18H10\b", "24.10.22", "08Х18Н10 (лат.)"),
+    (r"\b10X17H13M2T\b", "24.10.22", "10Х17Н13М2Т (лат.)"),
     (r"\bAISI\s*304(L)?\b", "24.10.22", "AISI 304/304L"),
     (r"\bAISI\s*316(L)?\b", "24.10.22", "AISI 316/316L"),
     (r"\bAISI\s*321\b", "24.10.22", "AISI 321"),
@@ -124,6 +146,7 @@ GRADES = [
     (r"\bУ12А?", "24.10.36", "сталь инструментальная У12"),
     (r"\bХВГ", "24.10.36", "сталь инструментальная ХВГ"),
     (r"\bХ12М", "24.10.36", "сталь инструментальная Х12М"),
+    (r"\bХ12МФ", "24.10.36", "сталь инструментальная Х12МФ"),
     (r"\bХ12Ф1", "24.10.36", "сталь инструментальная Х12Ф1"),
     (r"\b9ХС", "24.10.36", "сталь инструментальная 9ХС"),
     (r"\b6ХВ2С", "24.10.36", "сталь инструментальная 6ХВ2С"),
@@ -174,3 +197,75 @@ FORM_CODES = {
     "ТРУБА": "24.20", "БОЛТ": "25.94.11.110", "ВИНТ": "25.94.11.120", "ГАЙКА": "25.94.11.130", "ШАЙБА": "25.94.12.110", "ШТИФТ": "25.94.12.190", "ШПИЛЬКА": "25.94.11.140",
     "ЗАГОТОВКА": "24.10.21.190", "ОТЛИВКА": "24.10.21.190", "ПОКОВКА": "24.10.21.142", "ПРОВОЛОКА": "24.34", "КАНАТ": "25.93.11.120", "ТРОС": "25.93.11.120", "СЕТКА": "25.93.13",
 }
+
+#: Substrings of a material's name (upper case) and code beginnings that decide its family; the first row that holds counts.
+FAMILIES = [
+    ("AL", "24.42", ["АМГ", "АМЦ", "АД", "АК", "Д16", "В95", "1561", "1163", "6061", "6063", "7075"]),
+    ("CU", "24.44", ["ЛАТУН", "БРОНЗ", "МЕДЬ", "М1", "М2", "М3", "Л63", "Л68", "ЛС59"]),
+    ("NI", "24.45", ["INCONEL", "HASTELLOY", "MONEL", "ХН", "ЭИ", "ЭП"]),
+    ("SS", None, ["AISI"]),
+    ("FEA", None, ["ЛЕГИРОВАН", "ПРУЖИН", "ПОДШИПНИК", "ХН", "ХГСА"]),
+]
+STAINLESS = r"\b1\.\d{4}\b|\d+[ХX]\d+[НH]\d+"
+
+#: Patterns over the whole text, without regard to case.
+SIGNS = {
+    "needle_series": r"\bподшипник\w*\b.*\b(?:NA\d|NK\d|HK\d|RNA\d|NKI\d|NKIS\d)\b",
+    "needle_bearing": r"\bподшипник\w*\s*(?:качени[яй]\s*)?(?:ролик\w*\s*)?игольчат\w*",
+    "needle_roller": r"\b(?:игольчат\w*\s*ролик\w*|ролик\w*\s*игольчат\w*)\b",
+    "valve": r"\b(?:вентил\w*|клапан\w*|задвижк\w*|кран\w*)\b",
+    "piped": r"\b(?:DN|Д[Уу]|ДУ)\s*\d+\b|резьб\w+|муфтов\w+|фланцев\w+|трубопровод\w+",
+    "cold_word": r"\b(?:х/к|хк|холоднокатан\w*)\b",
+    "hot_word": r"\b(?:г/к|гк|горячекатан\w*)\b",
+    "strip": r"\bштрипс\w*\b",
+    "solder": r"припой|\bПОС[КС]?(?:[-\s]?\d{2}(?:-\d{1,2})?)?\b",
+    "tool": "модельная оснастка",
+    "wooden": "дерево",
+    "tip": "наконечник",
+    "brass": "латунь",
+}
+
+#: The decision list: (condition, code, confidence, description), SQL over the columns that ``classify`` binds.
+RULES = [
+    ("needle_series", "'28.15.10.128'", "0.94", "'подшипник игольчатый (серии NA/NK/HK/…)'"),
+    ("needle_bearing", "'28.15.10.128'", "0.96", "'подшипник игольчатый'"),
+    ("needle_roller", "'28.15.31.120'", "0.95", "'ролики игольчатые (детали подшипников)'"),
+    ("valve AND piped", "'28.14.12'", "0.92", "'трубопроводная арматура (вентиль/клапан/задвижка/кран)'"),
+    # form and material together
+    ("family IS NOT NULL AND deeper", "material_code", "0.95", "kind || ' из ' || material"),
+    ("base IS NOT NULL AND form NOT IN ('ЛЕНТА', 'ЛИСТ', 'ПЛИТА')", "base", "0.90", "kind || ' (' || family_name || ')'"),
+    ("band AND family = 'AL' AND width >= 600", "'24.42.24.110'", "0.95", "'лист ' || metal || ' ≥600 мм'"),
+    ("band AND family = 'CU' AND width >= 600", "'24.44.24.110'", "0.95", "'лист ' || metal || ' ≥600 мм'"),
+    ("band AND family = 'AL' AND width < 600", "'24.42.24.120'", "0.96", "'полоса/лента ' || metal || ' <600 мм'"),
+    ("band AND family = 'CU' AND width < 600", "'24.44.24.120'", "0.96", "'полоса/лента ' || metal || ' <600 мм'"),
+    ("band AND family = 'AL'", "'24.42.24.120'", "0.88", "'лента ' || metal || ' (толщ. >0,2 мм), ширина не указана'"),
+    ("band AND family = 'CU'", "'24.44.24.120'", "0.88", "'лента ' || metal || ' (толщ. >0,2 мм), ширина не указана'"),
+    ("band AND family = 'NI'", "'24.45.24'", "0.93", "'лента/лист Ni-сплав (24.45.24)'"),
+    ("band AND width >= 600 AND cold", "CASE WHEN family = 'SS' THEN '24.10.42.000' ELSE '24.10.41.000' END", "0.94", "'лист х/к ≥600 мм (' || metal || ')'"),
+    ("band AND width >= 600 AND NOT hot", "CASE WHEN family = 'SS' THEN '24.10.42.000' ELSE '24.10.41.000' END", "0.90", "'лист х/к ≥600 мм (' || metal || ')'"),
+    ("band AND width >= 600", "CASE WHEN family = 'SS' THEN '24.10.33.000' ELSE '24.10.31.000' END", "0.94", "'лист г/к ≥600 мм (' || metal || ')'"),
+    ("band AND width < 600 AND (cold OR narrow OR strip)", "'24.32.10.000'", "0.96", "'узкая лента/штрипс <600 мм (' || metal || ')'"),
+    ("band AND width < 600", "'24.32.10.000'", "0.90", "'узкая лента/штрипс <600 мм (' || metal || ')'"),
+    ("band", "'24.32.10.000'", "0.88", "'лента (' || metal || '), ширина не указана'"),
+    ("sheet AND family IN ('AL', 'CU', 'NI')", "base", "0.90", "kind || ' ' || metal"),
+    ("sheet AND family = 'SS' AND (cold OR NOT hot)", "'24.10.42.000'", "sheet_conf", "kind || ' (' || metal || ')'"),
+    ("sheet AND family = 'SS'", "'24.10.33.000'", "sheet_conf", "kind || ' (' || metal || ')'"),
+    ("sheet AND (cold OR NOT hot)", "'24.10.41.000'", "sheet_conf", "kind || ' (' || metal || ')'"),
+    ("sheet", "'24.10.31.000'", "sheet_conf", "kind || ' (' || metal || ')'"),
+    # solder
+    ("solder AND form = 'ПРОВОЛОКА'", "'24.43.24.130'", "0.94", "'припой, проволока'"),
+    ("solder AND form IN ('ПРУТОК', 'КРУГ')", "'24.43.24.110'", "0.94", "'припой, пруток'"),
+    ("solder AND form IN ('ЛЕНТА', 'ПРОФИЛЬ', 'ПОЛОСА', 'ТРУБА')", "'24.43.24.120'", "0.92", "'припой, лента/профиль'"),
+    ("solder", "'24.43.24'", "0.88", "'припой (форма не указана)'"),
+    # material alone, standards, form alone, special cases
+    ("material IS NOT NULL AND form IS NULL", "'UNSURE'", "0.40", "'Определён материал: ' || material || '. Форма не указана — код зависит от формы (лист/пруток/лента/проволока/труба).'"),
+    ("gost_code IS NOT NULL", "gost_code", "0.93", "'ГОСТ ' || gost_number"),
+    ("din_code IS NOT NULL", "din_code", "0.92", "'DIN ' || din"),
+    ("iso_code IS NOT NULL", "iso_code", "0.92", "'ISO ' || iso"),
+    ("form_code IS NOT NULL", "form_code", "0.85", "kind"),
+    ("tool AND wooden", "'16.29.14'", "0.80", "'модельная оснастка деревянная'"),
+    ("tool", "'25.73.60'", "0.80", "'модельная оснастка'"),
+    ("tip AND brass", "'24.44.13'", "0.85", "'наконечник латунный'"),
+    ("tip", "'25.99.29'", "0.80", "'наконечник'"),
+    ("true", "'UNSURE'", "0.20", "'не удалось классифицировать'"),
+]
