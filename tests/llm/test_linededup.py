@@ -47,7 +47,7 @@ def test_query_takes_shingles_at_every_character(spark, tmp_path):
         base = name(150) if k % 2 else " ".join(name(6, "abcdefghij") for _ in range(16))
         at = rng.randrange(20, 80)
         lines += [base, base[:at] + "X" + base[at:]]
-    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", F.size(linededup.shingles(F.col("line"), linededup.EVERY)).alias("n")).collect()
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", F.size(linededup.shingles(F.col("line"))).alias("n")).collect()
     assert {r["i"]: r["n"] for r in got} == {i: len(grams(x)) for i, x in enumerate(lines)}
     docs = [(i, "\n".join(lines[i::5])) for i in range(5)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -60,3 +60,31 @@ def test_query_takes_shingles_at_every_character(spark, tmp_path):
     assert sum(k for _, k in want.values()) <= len(lines) - 14
     left = corpus_pipeline.line_dedup(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sum(len(r["text"].split("\n")) for r in left) == sum(k for _, k in want.values())
+
+
+def test_recall_on_whole_table(spark, capsys):
+    """All pairs of distinct lines at 0.8 or more by full shingle sets (exact prefix filter, rare shingles first)."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    lines = sorted({x for r in docs for x in (r["text"] or "").split("\n") if x.strip(" \t\x0b\x0c\r")})
+    sets = [grams(x) for x in lines]
+    often = {}
+    for s in sets:
+        for g in s:
+            often[g] = often.get(g, 0) + 1
+    at, truth = {}, []
+    for i, s in enumerate(sets):
+        seen = set()
+        for g in sorted(s, key=lambda g: (often[g], g))[: len(s) - -(-8 * len(s) // 10) + 1]:
+            seen.update(at.get(g, ()))
+            at.setdefault(g, []).append(i)
+        truth += [(i, j) for j in seen if 10 * len(s & sets[j]) >= 8 * len(s | sets[j])]
+    first = {}
+    for r in docs:
+        for k, x in enumerate((r["text"] or "").split("\n")):
+            first.setdefault(x, (r["doc_id"], k))
+    keep = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in queries.op8_line_dedup(spark, sf).collect()}
+    found = sum(keep[first[lines[i]]] == keep[first[lines[j]]] for i, j in truth)
+    with capsys.disabled():
+        print(f"\nline dedup on sf0.01: {found} of {len(truth)} pairs share a component")
+    assert truth and found >= 0.98 * len(truth)
