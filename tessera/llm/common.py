@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """This run's own folder below the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _FALLBACK
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{_RUN}"
@@ -79,6 +81,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def row_key(*columns: str):
+    """64 bits of the columns' values: rows that differ in none of them get one decision, whatever their ids are."""
+    return F.xxhash64(*columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Table, fresh, small_batches
+from .common import Table, fresh, row_key, small_batches
 from .fmindex import SEPARATOR, FMIndex
 
 #: Word bytes (0-9, a-z, all beyond ASCII) stay, A-Z become lower case, all others become a space.
@@ -107,10 +107,11 @@ class Shard:
         return docs
 
 
-_SCHEMA = "doc_id long, n_words long, spans array<struct<lo:long,hi:long>>, items array<long>"
+_SCHEMA = "doc_id long, text string, n_words long, spans array<struct<lo:long,hi:long>>, items array<long>"
 
 
-def _search(phrases, shard_symbols: int, last: bool):
+def _search(phrases, shard_symbols: int, first: bool, last: bool):
+    """Adds the hits of a block to what the blocks before have found; the last one drops the texts."""
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +119,22 @@ def _search(phrases, shard_symbols: int, last: bool):
 
         def out() -> pa.RecordBatch:
             found = shard.search()
-            spans = [[{"lo": a, "hi": b} for a, b in found[n][0]] for _, n in rows]
-            items = [sorted(found[n][1]) for _, n in rows]
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([shard.n_words[n] for _, n in rows], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+            spans, items = [], []
+            for _, _, n, old_spans, old_items in rows:
+                at = found[n][0]
+                if old_spans:
+                    both = np.array(at + old_spans)
+                    at = _spans(both[:, 0], both[:, 1] - both[:, 0])
+                spans.append([{"lo": a, "hi": b} for a, b in at])
+                items.append(sorted(found[n][1].union(old_items)))
+            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([shard.n_words[r[2]] for r in rows], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_words", "spans", "items"])
 
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                rows.append((i.as_py(), shard.add(t.as_py())))
+            before = zip(*(b.column(k).to_pylist() for k in (3, 4)), strict=True) if not first else repeat(((), ()))
+            for i, t, (old_spans, old_items) in zip(b.column(0), b.column(1), before, strict=not first):
+                text = t.as_py()
+                rows.append((i.as_py(), None if last else text, shard.add(text), [(s["lo"], s["hi"]) for s in old_spans], old_items))
                 if shard.size >= shard_symbols or len(rows) >= 50_000:
                     yield out()
                     shard, rows = Shard(phrases.value), []
@@ -137,37 +147,25 @@ def _search(phrases, shard_symbols: int, last: bool):
 def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block_items: int = 20_000, shard_symbols: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for every row of ``docs``; ``spans`` are merged [lo, hi) of words.
 
-    The query set is gathered ``block_items`` items at a time; each block is searched in a pass of
-    its own over all documents. Null texts have no words; items without words have no windows; null
-    item ids are left out. Ids of documents are taken to be unique if there are several blocks
-    (their spans meet by id).
+    The query set is gathered ``block_items`` items at a time; each block is searched by a step of
+    its own, and rows go through all steps with what was found so far, so the number of blocks changes
+    nothing. Null texts have no words; items without words have no windows; null item ids are left out.
+    Rows with null or repeated ids are searched each for itself.
     """
     small_batches(spark)
     n = benchmark.where("item_id IS NOT NULL").count()
     blocks = max(1, -(-n // block_items))
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = None
+    found = rows
     for k in range(blocks):
         items = benchmark.where(F.col("item_id").isNotNull() & (block_of == k)).select("item_id", "text").collect()
         phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in items], window))
-        one = rows.mapInArrow(_search(phrases, shard_symbols, k == blocks - 1), _SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        flat = lambda c: F.flatten(F.collect_list(c))  # noqa: E731  a row for each block at most
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(flat("spans")).alias("spans"), F.array_sort(F.array_distinct(flat("items"))).alias("items"))
-        found = found.withColumn("spans", _merged(F.col("spans")))
+        found = found.mapInArrow(_search(phrases, shard_symbols, k == 0, k == blocks - 1), _SCHEMA)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.hi - s.lo)
     return found.select("doc_id", "n_words", size.alias("n_hit"), "spans", "items")
 
 
-def _merged(spans):
-    """Sorted spans of several blocks, merged."""
-    last = lambda a: F.element_at(a, -1)
-    kind = "array<struct<lo:long,hi:long>>"
-    return F.aggregate(spans, F.array().cast(kind), lambda a, s: F.when((F.size(a) == 0) | (s.lo > F.coalesce(F.try_element_at(a, F.lit(-1)).hi, F.lit(-1))), F.concat(a, F.array(s))).otherwise(F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1)).lo.alias("lo"), F.greatest(F.try_element_at(a, F.lit(-1)).hi, s.hi).alias("hi"))).cast(kind))))
-
-
 def report(found: DataFrame, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (at least 1/share of the words are hit)."""
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -193,18 +191,19 @@ def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", action: str = "drop", share: int = 20, **kw) -> DataFrame:
     """``docs`` without contaminated documents (``drop``) or without their hit words (``cut``); all columns stay.
 
-    Documents below the share are left as they are.
+    Documents below the share are left as they are. Each row is judged by itself, null and repeated ids too.
     """
-    key, cut = fresh(docs, "_bad"), fresh(docs, "_spans")
-    found = hits(spark, docs, benchmark, id_col, text_col, **kw).where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    key, cut, name = fresh(docs, "_bad"), fresh(docs, "_spans"), fresh(docs, "_key")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    found = hits(spark, keyed, benchmark, name, text_col, **kw).where((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     bad = Table(spark, found.select(F.col("doc_id").alias(key), F.col("spans").alias(cut)).dropDuplicates([key]), "contaminated").df
     if action == "drop":
-        return docs.join(bad, F.col(id_col) == F.col(key), "left_anti")
+        return keyed.join(bad, F.col(name) == F.col(key), "left_anti").select(*docs.columns)
 
     @F.pandas_udf("string")
     def strip(text, spans):
         return text.combine(spans, lambda t, s: t if s is None else without_spans(t, [(x["lo"], x["hi"]) for x in s]))
 
-    joined = docs.join(bad, F.col(id_col) == F.col(key), "left")
+    joined = keyed.join(bad, F.col(name) == F.col(key), "left")
     text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(strip(F.col(text_col), F.col(cut)))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACES, Table, fresh
+from .common import SPACE, SPACES, Table, fresh, row_key
 
 SYMBOLS = "#*$%&|<>"
 
@@ -124,7 +124,10 @@ def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
 
 
 def filtered(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the rejected documents; all columns stay. Rows of one id go together."""
-    key = fresh(docs, "_drop")
-    drop = Table(spark, judged(spark, docs, id_col, text_col, **kw).where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "rejected").df
-    return docs.join(drop, F.col(id_col) == F.col(key), "left_anti")
+    """``docs`` without the rejected documents; all columns stay. Each row is judged by itself, null and repeated ids too."""
+    key, name = fresh(docs, "_drop"), fresh(docs, "_key")
+    have = {c.lower(): c for c in docs.columns}
+    judge = [id_col, text_col, *[have[c] for c in (kw.get("lang_col", "lang").lower(), kw.get("source_col", "source").lower()) if c in have]]
+    keyed = docs.withColumn(name, row_key(*judge))
+    drop = Table(spark, judged(spark, keyed, name, text_col, **kw).where("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "rejected").df
+    return keyed.join(drop, F.col(name) == F.col(key), "left_anti").select(*docs.columns)

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import neardup
 from .common import Table, fresh, small_batches
 from .components import components
 
@@ -121,9 +122,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return base.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns stay."""
-    found = near_duplicates(spark, docs, id_col, text_col, **kw)
+def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shingle: int = 5, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id): documents whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Fingerprints within ``radius`` meet in the covering tables, and the exact similarity decides over each
+    such pair. Fingerprints of 64 bits can't reach further: documents at a similarity of 0.8 differ in about
+    ten bits, where covering tables would be thousands. Pairs beyond the radius come from the exact prefix
+    filter of ``neardup``, so none is missed. Null ids as in ``near_duplicates``.
+    """
+    fps = Table(spark, fingerprints(docs, id_col, text_col, shingle, seed), "stage-fingerprints").df
+
+    def close(found: DataFrame) -> DataFrame:
+        of = found.where("doc_id IS NOT NULL AND size(prefix) > 0").select("doc_id", "key").join(fps, "doc_id")
+        of = Table(spark, of.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("top")), "fp-keys").df
+        met = links(spark, of.select("fp"), radius).join(of.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return pairs.unionByName(of.select(F.col("key").alias("a"), F.col("top").alias("b"))).where("a < b").distinct()
+
+    return neardup.near_duplicates(spark, docs, id_col, text_col, shingle, similarity, close)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kw) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; all columns stay.
+
+    With ``similarity`` the components are those of ``similar``, else those of the fingerprints. Rows with
+    a null id stay: they have no place in the order of ids."""
+    found = near_duplicates(spark, docs, id_col, text_col, **kw) if similarity is None else similar(spark, docs, similarity, id_col, text_col, **kw)
     drop = Table(spark, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies").df
     key = fresh(docs, "_drop")
     return docs.join(drop.select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_anti")

@@ -34,6 +34,8 @@ from .encode import encoder
 #: Fixed values of the public formats.
 SKIPPABLE, SEEK_TABLE, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
+#: The most tasks that read files at once; beyond it a task reads several.
+READERS = 20_000
 _NO_ID = -(1 << 63)
 
 
@@ -227,8 +229,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files; every checksum is verified."""
     start = (F.sum("n_tokens").over(W.orderBy("bucket")) - F.col("n_tokens")).alias("start")  # a row per file
-    placed = manifest.select("path", "bucket", start)
-    return placed.repartition(F.col("bucket")).select("path", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, manifest.count())
+    # a given number of partitions isn't coalesced, however few bytes the manifest has: a task for each few files
+    placed = manifest.select("path", "bucket", start).repartitionByRange(min(files, READERS), "bucket")
+    return placed.select("path", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(path: str, doc_ids: list[int]) -> list[tuple[int, list[int]]]:

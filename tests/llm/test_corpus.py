@@ -185,3 +185,28 @@ def test_pipeline_runs_and_keeps_columns(spark):
         at = after
     total = corpus_pipeline.run(spark, sf)
     assert total.select("doc_id").distinct().count() == at.count()
+
+
+def test_decisions_are_made_row_by_row(spark):
+    """Null and repeated ids: rejected or contaminated rows go, clean ones stay, for one block of items and for several."""
+    rng = random.Random(9)
+    words = [f"w{i}x{rng.randrange(1000)}" for i in range(900)]
+    long = lambda: " ".join(rng.choice(words) for _ in range(120))
+    items = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(8)]
+    bad = [f"{items[k][1]} {items[k + 1][1]} {long()[:60]}" for k in (0, 3, 6)]
+    clean = [long() for _ in range(4)]
+    rows = [(None, bad[0]), (None, clean[0]), (5, bad[1]), (5, clean[1]), (5, clean[1]), (6, clean[2]), (None, clean[3]), (7, None), (8, bad[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(repr(r) for r in rows if r[1] not in bad)
+    whole = None
+    for block in (20_000, 3):
+        got = decontam.hits(spark, df, bench, block_items=block).collect()
+        assert len(got) == len(rows)
+        whole = whole or sorted(map(repr, got))
+        assert sorted(map(repr, got)) == whole
+        left = decontam.clean(spark, df, bench, block_items=block)
+        assert left.columns == df.columns and sorted(repr(tuple(r)[:2]) for r in left.collect()) == want
+    short = [(None, "too short"), (None, clean[0]), (5, "also too short"), (5, clean[1])]
+    kept = quality.filtered(spark, spark.createDataFrame(short, "doc_id long, text string")).collect()
+    assert sorted(repr(tuple(r)) for r in kept) == sorted(map(repr, [short[1], short[3]]))
