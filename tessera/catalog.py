@@ -170,13 +170,15 @@ def vector_topk(spark, d):
     return retrieval.vector(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 10)
 
 
-@query(f"""WITH e AS ({_UNIT}), s AS (SELECT b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim, a.label = b.label AS same FROM e a, e b WHERE a.vec_id = 0 AND b.vec_id <> 0),
-n AS (SELECT * FROM s ORDER BY 1 - sim - CASE WHEN same THEN 0.05 ELSE 0.0 END, doc_id LIMIT 20),
-r AS (SELECT doc_id, round(sim + CASE WHEN same THEN 0.1 ELSE 0 END + 0.15, 6) AS score FROM n ORDER BY score DESC, doc_id LIMIT 10)
-SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rnk FROM r""")
+@query(f"""WITH e AS ({_UNIT}), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim, a.label = b.label AS same,
+ CASE WHEN a.label % 3 = b.label % 3 THEN 0.15 WHEN a.label % 3 = 0 OR b.label % 3 = 0 THEN 0.05 ELSE 0.0 END AS sec FROM e a, e b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (1 - sim) - CASE WHEN same THEN 0.05 ELSE 0.0 END, doc_id) AS n FROM s),
+r AS (SELECT query_id, doc_id, round(sim + CASE WHEN same THEN 0.1 ELSE 0 END + sec, 6) AS score FROM n WHERE n <= 20)
+SELECT query_id, doc_id, score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM r) WHERE rnk <= 10""")
 def similar_docs(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.col("label").alias("book"), F.lit("all").alias("section"))
-    return retrieval.similar(e, 0)
+    section = F.element_at(F.array(F.lit("part"), F.lit("Part one"), F.lit("part two")), (F.col("label") % 3 + 1).cast("int"))
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.col("label").alias("book"), section.alias("section"))
+    return retrieval.similar(e, e.where("doc_id % 50 = 0"))
 
 
 @query("""WITH f AS (SELECT vec_id, list_transform(list_resize(embedding::DOUBLE[], 80, 0.0), lambda x: CASE WHEN isnan(x) OR isinf(x) THEN 0.0 ELSE x END) AS v FROM embeddings),
@@ -188,7 +190,7 @@ def vector_repair(spark, d):
 
 
 _TRGM = """
-WITH qg AS (SELECT query_id, list_distinct(flatten(list_transform(list_filter(string_split_regex({n}, '[^\\pL\\pN\\pM_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM (SELECT item_id AS query_id, left(text, 60) AS text FROM benchmark) WHERE length(text) >= 3),
+WITH qg AS (SELECT query_id, list_distinct(flatten(list_transform(list_filter(string_split_regex({n}, '[^\\pL\\pN\\pM_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM (SELECT item_id AS query_id, text FROM benchmark) WHERE length(text) >= 3),
 dg AS (SELECT doc_id, list_distinct(flatten(list_transform(list_filter(string_split_regex({n}, '[^\\pL\\pN\\pM_]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS g FROM documents),
 b AS (SELECT query_id, doc_id, max(nq) AS nq, max(nd) AS nd, count(*) AS n FROM (SELECT query_id, len(g) AS nq, unnest(g) AS t FROM qg) JOIN (SELECT doc_id, len(g) AS nd, unnest(g) AS t FROM dg) USING (t) GROUP BY 1, 2),
 s AS (SELECT query_id, doc_id, round(n / (nq + nd - n), 6) AS score FROM b)
@@ -197,18 +199,18 @@ SELECT query_id, doc_id, score, rnk::INT AS rnk FROM (SELECT *, row_number() OVE
 
 @query(_TRGM.format(n=NORM.format("text"), where="", k=10))
 def trigram_topk(spark, d):
-    return retrieval.trigram(_questions(spark, d).withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 10)
+    return retrieval.trigram(_questions(spark, d), _docs(spark, d), 10)
 
 
 @query(_TRGM.format(n=NORM.format("text"), where="WHERE score >= 0.3", k=60))
 def trigram_threshold(spark, d):
-    return retrieval.trigram(_questions(spark, d).withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 60, 0.3)
+    return retrieval.trigram(_questions(spark, d), _docs(spark, d), 60, 0.3)
 
 
 def _lists(spark, d):
     q = _questions(spark, d)
     lex = retrieval.lexical(q, _docs(spark, d), 100).select("query_id", F.lit("fts").alias("signal"), "doc_id", "score")
-    tri = retrieval.trigram(q.withColumn("text", F.substring("text", 1, 60)), _docs(spark, d), 60).select("query_id", F.lit("trgm").alias("signal"), "doc_id", "score")
+    tri = retrieval.trigram(q, _docs(spark, d), 60).select("query_id", F.lit("trgm").alias("signal"), "doc_id", "score")
     return retrieval.ranked(lex.unionByName(tri))
 
 

@@ -1,13 +1,20 @@
 """Ranked retrieval for a table of queries: lexical, vector and trigram lists, gates, fusion, scores.
 
-Every function takes all queries at once. Query tables are the small side by nature; they are
-broadcast only below ``broadcast_rows`` (counted), and joined by a shuffle beyond it.
+Every function takes all queries at once. The three lists are block products: a block of at most
+``BLOCK`` queries, whose terms or vectors form a matrix, goes to every task; a task multiplies its rows
+with it and lets through only rows that can still be among a query's best. No pair of query and row is
+ever a row of a table, however frequent a term is. More queries than a block are more passes.
+Elsewhere small sides are broadcast below ``BROADCAST_ROWS`` (counted), and joined by a shuffle beyond it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +32,7 @@ HEAD_CHARS = 420
 # --------------------------------------------------------------------------------------------------
 
 BROADCAST_ROWS = 200_000
+BLOCK, ROWS = 500, 256
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -38,6 +46,76 @@ def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     return scored.withColumn("rnk", rank).where(F.col("rnk") <= k)
 
 
+# Block products -----------------------------------------------------------------------------------
+
+
+def _blocks(queries: DataFrame, most: int = BLOCK) -> Iterator[list]:
+    rows = queries.toLocalIterator()
+    while block := list(islice(rows, most)):
+        yield block
+
+
+def _terms(block: list) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct hashes of a block's (query_id, h), and a matrix of ones: hashes x queries."""
+    vocab = np.unique(np.concatenate([np.asarray(r["h"], np.int64) for r in block] or [np.zeros(0, np.int64)]))
+    ones = np.zeros((len(vocab), len(block)))
+    for j, r in enumerate(block):
+        ones[np.searchsorted(vocab, np.asarray(r["h"], np.int64)), j] = 1
+    return vocab, ones
+
+
+def _matrix(lists: pa.Array, vocab: np.ndarray) -> np.ndarray:
+    """Counts of the block's hashes in each row's list: rows x hashes."""
+    out = np.zeros((len(lists), len(vocab)))
+    if len(vocab):
+        at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        h = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
+        spot = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
+        hit = vocab[spot] == h
+        np.add.at(out, (at[hit], spot[hit]), 1)
+    return out
+
+
+def _best(rows: DataFrame, block: list, kind: str, k: int, score: Callable) -> DataFrame:
+    """(query_id, doc_id, raw [, other columns]): rows that can be among the ``k`` best of a query, by task.
+
+    ``score`` makes a matrix (rows x queries) of a record batch, -inf for rows that don't count. What is
+    let through reaches a task's k-th best score so far, less what rounding can hide.
+    """
+    spark, ids = rows.sparkSession, pa.array(range(len(block)), pa.int32())
+    names = [c for c in rows.columns if c not in ("h", "v")]
+    n = len(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((k, n), -np.inf)
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                part = pa.record_batch([pa.concat_arrays([c.slice(lo, ROWS)]) for c in b.columns], names=b.schema.names)
+                s = score(part)
+                both = np.concatenate([best, s])
+                best = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+                row, q = np.nonzero((s >= best.min(axis=0) - 1e-6) & (s > -np.inf))
+                cols = [ids.take(pa.array(q)), pa.array(s[row, q]), *[part.column(c).take(pa.array(row)) for c in names]]
+                yield pa.record_batch(cols, names=["_q", "raw", *names])
+
+    kinds = dict(rows.dtypes)
+    found = rows.mapInArrow(run, ", ".join(["_q int", "raw double", *[f"{c} {kinds[c]}" for c in names]]))
+    names_of = spark.createDataFrame([(j, r["query_id"]) for j, r in enumerate(block)], f"_q int, query_id {kind}")
+    return found.join(F.broadcast(names_of), "_q").drop("_q")  # a row for each query of the block
+
+
+def _in_blocks(queries: DataFrame, one: Callable[[list], DataFrame], empty: DataFrame) -> DataFrame:
+    out = None
+    for block in _blocks(queries):
+        found = one(block)
+        out = found if out is None else out.unionByName(found)
+    return empty if out is None else out
+
+
+def _hashes(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
+
+
 # Lexical ------------------------------------------------------------------------------------------
 
 
@@ -48,25 +126,38 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 10, match_all: bool = False, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score, rnk): BM25 of query terms over documents.
+    """(query_id, doc_id, score, rnk): BM25 of query terms over documents. Terms are compared by 64 bits of hash.
 
-    Only the queries' terms leave the scan: a document's tokens meet them before any shuffle. With
-    ``match_all``, documents that lack a term of the query are left out.
+    A first pass counts the documents, their lengths and those that have each term of the queries; the
+    second one scores. With ``match_all``, documents that lack a term of the query are left out.
     """
-    q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    terms = _small(q.select("term").distinct())
-    d = docs.select(F.col(id_col).alias("doc_id"), T.all_tokens(F.col(text_col)).alias("t")).select("doc_id", "t", F.size("t").alias("doc_len"))
-    whole = d.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    tf = d.select("doc_id", "doc_len", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    met = tf.join(_small(df), "term").crossJoin(F.broadcast(whole)).select("term", "doc_id", part.alias("part")).join(_small(q), "term")
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), digits).alias("score"), F.count("*").alias("n_terms"))
-    if match_all:
-        want = q.groupBy("query_id").agg(F.count("*").alias("n_want"))
-        scored = scored.join(_small(want), "query_id").where("n_terms = n_want").drop("n_want")
-    return _top(scored.drop("n_terms"), k, F.desc("score"), F.col("doc_id"))
+    d = docs.select(F.col(id_col).alias("doc_id"), _hashes(T.all_tokens(F.col(text_col))).alias("h"))
+    q = queries.select("query_id", _hashes(T.tokens(F.col("text"))).alias("h")).where(F.size("h") > 0)
+    kinds = dict(d.dtypes) | dict(q.dtypes)
+
+    def one(block: list) -> DataFrame:
+        vocab, ones = _terms(block)
+        want = docs.sparkSession.createDataFrame([(int(h),) for h in vocab], "term long")
+        each = d.select(F.explode(F.array_distinct("h")).alias("term"))
+        counted = each.join(F.broadcast(want), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))  # terms of one block
+        df = {r["term"]: r["df"] for r in counted.collect()}
+        whole = d.agg(F.count("*").alias("n"), F.avg(F.size("h")).alias("len")).first()
+        have = np.array([df.get(int(h), 0) for h in vocab], float)
+        weight = np.log(1 + (whole["n"] - have + 0.5) / (have + 0.5))[:, None] * ones
+        mean, need = whole["len"] or 1.0, ones.sum(axis=0)
+
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            tf = _matrix(part.column("h"), vocab)
+            size = np.diff(part.column("h").offsets.to_numpy())[:, None]
+            s = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean) + (tf == 0))) @ weight
+            met = (tf > 0).astype(float) @ ones
+            return np.where(met == need if match_all else met > 0, s, -np.inf)
+
+        return _best(d, block, kinds["query_id"], k, score)
+
+    empty = d.limit(0).crossJoin(q.limit(0).select("query_id")).select("doc_id", F.lit(0.0).alias("raw"), "query_id")
+    scored = _in_blocks(q, one, empty).select("query_id", "doc_id", F.round("raw", digits).alias("score"))
+    return _top(scored, k, F.desc("score"), F.col("doc_id"))
 
 
 def websearch(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,40 +189,78 @@ def websearch(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
 # Vectors ------------------------------------------------------------------------------------------
 
 
+def _units(lists: pa.Array, dim: int) -> np.ndarray:
+    """Lists as rows of length one (zeros stay), cut or filled up to ``dim``; nulls, NaN and infinities as 0."""
+    n, ends = len(lists), lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(float)
+    out = np.zeros((n, dim))
+    if (np.diff(ends) == dim).all():
+        out = flat[ends[0] : ends[-1]].reshape(n, dim)
+    else:
+        for i in range(n):
+            x = flat[ends[i] : min(ends[i + 1], ends[i] + dim)]
+            out[i, : len(x)] = x
+    out = np.where(np.isfinite(out), out, 0.0)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size > 0, size, 1)
+
+
+def _cosines(queries: DataFrame, rows: DataFrame, k: int, bonus: Callable | None = None) -> DataFrame:
+    """``_best`` of rows (doc_id, v, ..) by cosine similarity to the queries (query_id, v, ..) of each block."""
+    kind = dict(queries.dtypes)["query_id"]
+
+    def one(block: list) -> DataFrame:
+        dim = max((len(r["v"]) for r in block), default=0)
+        at = _units(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dim).T
+
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            s = _units(part.column("v"), dim) @ at
+            return s if bonus is None else bonus(s, part, block)
+
+        return _best(rows, block, kind, k, score)
+
+    names = [c for c in rows.columns if c != "v"]
+    empty = rows.limit(0).crossJoin(queries.limit(0).select("query_id")).select(F.lit(0.0).alias("raw"), *names, "query_id")
+    return _in_blocks(queries, one, empty)
+
+
 def vector(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, similarity, score, rnk): exact cosine neighbours.
 
-    ``queries`` (query_id, vec), ``vectors`` (doc_id, vec [, importance]). The query set is broadcast
-    in full view of its size: a block of queries against all rows, each row read once. The order is by
-    distance; ``score`` weighs the similarity with the importance.
+    ``queries`` (query_id, vec), ``vectors`` (doc_id, vec [, importance]); rows and queries without a vector
+    are left out. The order is by distance; ``score`` weighs the similarity with the importance.
     """
-    q = queries.select("query_id", V.unit(V.doubles(F.col("vec"))).alias("q"))
+    q = queries.where("vec IS NOT NULL").select("query_id", V.doubles(F.col("vec")).alias("v"))
     imp = F.coalesce(F.col("importance"), F.lit(1.0)) if "importance" in vectors.columns else F.lit(1.0)
-    d = vectors.where("vec IS NOT NULL").select("doc_id", V.unit(V.doubles(F.col("vec"))).alias("d"), imp.alias("importance"))
-    rows = q.limit(BROADCAST_ROWS + 1).count()
-    if rows > BROADCAST_ROWS:
-        raise ValueError("give the queries in blocks of at most BROADCAST_ROWS")
-    scored = d.join(F.broadcast(q)).select("query_id", "doc_id", F.round(V.dot(F.col("q"), F.col("d")), digits).alias("similarity"), "importance")
+    d = vectors.where("vec IS NOT NULL").select("doc_id", V.doubles(F.col("vec")).alias("v"), imp.cast("double").alias("importance"))
+    scored = _cosines(q, d, k).select("query_id", "doc_id", F.round("raw", digits).alias("similarity"), "importance")
     best = _top(scored, k, F.desc("similarity"), F.col("doc_id"))
     return best.select("query_id", "doc_id", "similarity", F.round(F.col("similarity") * (0.8 + 0.2 * F.col("importance")), digits).alias("score"), "rnk")
 
 
-def similar(vectors: DataFrame, doc_id, k: int = 10, digits: int = 6) -> DataFrame:
-    """(doc_id, score, rnk): neighbours of one row, with bonuses for its book and section.
+def similar(vectors: DataFrame, wanted: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+    """(query_id, doc_id, score, rnk): neighbours of each of the ``wanted`` (doc_id) rows, with bonuses for its book and section.
 
     ``vectors`` (doc_id, vec, book, section). 2k rows are fetched by distance less .05 for the same
     book; then .1 for the same book, and .15 for the same section or .05 if one contains the other.
     """
-    base = vectors.where(F.col("doc_id") == doc_id).select(V.unit(V.doubles(F.col("vec"))).alias("q"), F.col("book").alias("b_book"), F.col("section").alias("b_section"))
-    d = vectors.where((F.col("doc_id") != doc_id) & F.col("vec").isNotNull())
-    x = d.join(F.broadcast(base)).select("doc_id", F.round(V.dot(F.col("q"), V.unit(V.doubles(F.col("vec")))), digits).alias("sim"), "book", "section", "b_book", "b_section")
+    d = vectors.where("vec IS NOT NULL").select("doc_id", V.doubles(F.col("vec")).alias("v"), F.col("book").cast("string").alias("book"), "section")
+    base = d.join(_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").withColumnRenamed("doc_id", "query_id")
+
+    def nearer(s: np.ndarray, part: pa.RecordBatch, block: list) -> np.ndarray:
+        book, own = np.array(part.column("book").to_pylist(), object)[:, None], np.array([r["book"] for r in block], object)
+        ids, me = np.array(part.column("doc_id").to_pylist(), object)[:, None], np.array([r["query_id"] for r in block], object)
+        return np.where(ids == me, -np.inf, s + 0.05 * ((book == own) & (book != None)))  # noqa: E711
+
+    x = _cosines(base, d, 2 * k, nearer).join(base.select("query_id", F.col("book").alias("b_book"), F.col("section").alias("b_section")), "query_id")
     same_book = F.coalesce(F.col("book") == F.col("b_book"), F.lit(False))
-    near = x.orderBy((1 - F.col("sim")) - F.when(same_book, 0.05).otherwise(0.0), "doc_id").limit(2 * k)
+    bonus = F.when(same_book, 0.05).otherwise(0.0)
+    x = x.withColumn("sim", F.round(F.col("raw") - bonus, digits))
+    near = _top(x, 2 * k, (1 - F.col("sim")) - bonus, F.col("doc_id")).drop("rnk")
     a, b = F.lower("section"), F.lower("b_section")
     section = F.when(a == b, 0.15).when(F.contains(a, b) | F.contains(b, a), 0.05).otherwise(0.0)
     score = F.round(F.col("sim") + F.when(same_book, 0.1).otherwise(0.0) + F.coalesce(section, F.lit(0.0)), digits)
-    ranked = near.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    return ranked.withColumn("rnk", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))  # k rows
+    return _top(near.select("query_id", "doc_id", score.alias("score")), k, F.desc("score"), F.col("doc_id"))
 
 
 # Trigrams -----------------------------------------------------------------------------------------
@@ -145,14 +274,27 @@ def trigrams(x: Column) -> Column:
 
 
 def trigram(queries: DataFrame, docs: DataFrame, k: int = 60, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score, rnk): Jaccard similarity of trigram sets, by an equi-join on trigrams.
+    """(query_id, doc_id, score, rnk): Jaccard similarity of trigram sets, compared by 64 bits of hash.
 
     Queries under three characters have no list. With ``threshold`` only rows that reach it.
     """
-    q = queries.where(F.length("text") >= 3).select("query_id", trigrams(F.col("text")).alias("g")).select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    d = docs.select(F.col(id_col).alias("doc_id"), trigrams(F.col(text_col)).alias("g")).select("doc_id", F.size("g").alias("nd"), F.explode("g").alias("gram"))
-    both = d.join(_small(q), "gram").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.max("nq").alias("nq"), F.max("nd").alias("nd"))
-    scored = both.select("query_id", "doc_id", F.round(F.col("n") / (F.col("nq") + F.col("nd") - F.col("n")), digits).alias("score"))
+    q = queries.where(F.length("text") >= 3).select("query_id", _hashes(trigrams(F.col("text"))).alias("h"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(_hashes(trigrams(F.col(text_col))), F.array().cast("array<bigint>")).alias("h"))
+    kind = dict(q.dtypes)["query_id"]
+
+    def one(block: list) -> DataFrame:
+        vocab, ones = _terms(block)
+        size = ones.sum(axis=0)
+
+        def score(part: pa.RecordBatch) -> np.ndarray:
+            met = _matrix(part.column("h"), vocab) @ ones
+            s = met / np.maximum(size + np.diff(part.column("h").offsets.to_numpy())[:, None] - met, 1)
+            return np.where((met > 0) & (s >= (threshold or 0) - 1e-6), s, -np.inf)
+
+        return _best(d, block, kind, k, score)
+
+    empty = d.limit(0).crossJoin(q.limit(0).select("query_id")).select("doc_id", F.lit(0.0).alias("raw"), "query_id")
+    scored = _in_blocks(q, one, empty).select("query_id", "doc_id", F.round("raw", digits).alias("score"))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
     return _top(scored, k, F.desc("score"), F.col("doc_id"))
