@@ -7,6 +7,7 @@ bridge, ``conversations`` the chat history, ``events`` the question log, ``embed
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -152,10 +153,15 @@ def lexical_topk(spark, d):
     return retrieval.lexical(_questions(spark, d), _docs(spark, d), 10)
 
 
-@query()
+@query(f"""WITH q AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS t FROM benchmark), d AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
+p AS (SELECT DISTINCT query_id, t[i] || ' ' || t[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM q WHERE len(t) > 2)),
+n AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(t))) AS i FROM d))
+SELECT DISTINCT query_id, doc_id FROM p JOIN n USING (pair) WHERE NOT EXISTS (SELECT 1 FROM q JOIN d ON list_contains(d.t, q.t[-1]) WHERE q.query_id = p.query_id AND d.doc_id = n.doc_id)""")
 def websearch_match(spark, d):
-    words = F.slice(T.tokens(F.col("text")), 1, 4)
-    q = _questions(spark, d).select("query_id", F.concat(words[0], F.lit(" or "), words[1], F.lit(" -"), words[2]).alias("text"))
+    """Any two neighbouring words of a question, as phrases, but not its last word."""
+    x = _questions(spark, d).select("query_id", T.all_tokens(F.col("text")).alias("t")).where(F.size("t") > 2)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.concat(F.lit('"'), F.get("t", i - 1), F.lit(" "), F.get("t", i), F.lit('"')))
+    q = x.select("query_id", F.concat(F.array_join(pairs, " or "), F.lit(" -"), F.element_at("t", -1)).alias("text"))
     return retrieval.websearch(q, _docs(spark, d))
 
 
@@ -225,18 +231,38 @@ def rrf_fusion(spark, d):
     return retrieval.rrf(_lists(spark, d))
 
 
-@query()
+_LISTS = f"""
+WITH l AS (SELECT query_id, 'fts' AS signal, doc_id, score, rnk FROM ({_BM25.format(tq=TOKENS.format("text"), td=TOKENS.format("text"), k=100)})
+           UNION ALL SELECT query_id, 'trgm', doc_id, score, rnk FROM ({_TRGM.format(n=NORM.format("text"), where="", k=60)})),
+size AS (SELECT query_id, count(*) FILTER (signal = 'fts') AS n FROM l GROUP BY 1),
+wide AS (SELECT query_id, doc_id, min(rnk) FILTER (signal = 'fts') AS fts, min(rnk) FILTER (signal = 'trgm') AS trgm, max(score) FILTER (signal = 'trgm') AS sim FROM l GROUP BY 1, 2),
+q AS (SELECT item_id AS query_id, list_distinct({TOKENS.format(NORM.format("text"))}) AS t FROM benchmark),
+x AS (SELECT wide.*, n, len(t) AS n_tok, CASE WHEN len(t) <= 2 THEN 0.38 WHEN len(t) <= 4 THEN 0.35 ELSE 0.33 END AS ms, CASE WHEN len(t) <= 4 THEN 0.50 ELSE 0.45 END AS mo,
+             len(list_intersect(t, {TOKENS.format("left(d.text, 420)")})) / greatest(len(t), 1) AS ov FROM wide JOIN size USING (query_id) JOIN q USING (query_id) JOIN documents d USING (doc_id)),
+y AS (SELECT *, CASE WHEN fts IS NULL THEN sim >= CASE WHEN n_tok <= 2 THEN greatest(0.34, ms - 0.02) ELSE ms END AND ov >= CASE WHEN n_tok <= 2 THEN greatest(0.50, mo - 0.05) ELSE mo END
+                     ELSE trgm IS NOT NULL OR fts <= greatest(15, ceil(0.15 * n)) END AS strict, fts IS NOT NULL OR sim >= ms AND ov >= mo AS loose FROM x),
+ok AS (SELECT query_id, doc_id FROM (SELECT *, count(*) FILTER (strict) OVER (PARTITION BY query_id) < 40 AS few FROM y) WHERE CASE WHEN few THEN loose ELSE strict END),
+gated AS (SELECT query_id, doc_id, round(sum(CASE signal WHEN 'fts' THEN 0.35 ELSE 0.15 END / (60 + rnk)), 9) AS fused, count(*) AS n_signals FROM l SEMI JOIN ok USING (query_id, doc_id) GROUP BY 1, 2)"""
+
+
+@query(_LISTS + " SELECT * FROM gated")
 def rrf_gated(spark, d):
-    q, lists = _questions(spark, d), _lists(spark, d)
+    return _gated(spark, d, _lists(spark, d))
+
+
+def _gated(spark, d, lists):
+    q = _questions(spark, d)
     x = lists.select("query_id", "doc_id").distinct().join(_docs(spark, d).select("doc_id", F.substring("text", 1, retrieval.HEAD_CHARS).alias("t")), "doc_id").join(q, "query_id")
     overlaps = x.select("query_id", "doc_id", T.overlap(T.tokens(T.normalize(F.col("text"))), T.tokens(F.col("t"))).alias("overlap"))
     return retrieval.gated(lists, q, overlaps)
 
 
-@query()
+@query(_LISTS + """, rest AS (SELECT query_id, doc_id, 0.0 AS fused, 1 AS part, rnk AS near FROM l ANTI JOIN gated USING (query_id, doc_id) WHERE signal = 'fts'),
+both_parts AS (SELECT query_id, doc_id, fused, 0 AS part, 0 AS near FROM gated UNION ALL SELECT * FROM rest)
+SELECT query_id, doc_id, fused, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, fused DESC, near, doc_id) AS pos FROM both_parts) WHERE pos <= 80""")
 def pool_topup(spark, d):
     lists = _lists(spark, d)
-    return retrieval.topped_up(retrieval.rrf(lists.where("rnk <= 5")), lists, 20)
+    return retrieval.topped_up(_gated(spark, d, lists), lists)
 
 
 def _candidates(spark, d):
@@ -258,11 +284,11 @@ def final_score(spark, d):
     return retrieval.final_scores(_candidates(spark, d), digits=5).select("query_id", "doc_id", "score")
 
 
-@query()
+@query(f"WITH s AS ({_FINAL}), h AS (SELECT doc_id, count(DISTINCT quality) AS n FROM labels GROUP BY 1) SELECT query_id, doc_id, round(score * pow(1.05, coalesce(n, 0)), 8) AS score FROM s LEFT JOIN h USING (doc_id)")
 def label_boost(spark, d):
     scored = retrieval.final_scores(_candidates(spark, d), digits=5).select("query_id", "doc_id", "score")
     wanted = _questions(spark, d).select("query_id", F.lit("quality").alias("ns"), F.lit("10").alias("code"))
-    return retrieval.label_boost(scored, _bridge(spark, d), wanted)
+    return retrieval.label_boost(scored, _bridge(spark, d), wanted, digits=8)
 
 
 @query()
@@ -286,24 +312,33 @@ def query_expansion(spark, d):
     return retrieval.expanded(_questions(spark, d), synonyms)
 
 
-@query()
+_WORDS = "regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[а-яa-z0-9]+')"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, {_WORDS.format("regexp_replace(text, '([0-9A-Za-z_]{4})[0-9A-Za-z_]([0-9A-Za-z_]{3,})', '\\\\1\\\\2', 'g')")} AS ws FROM benchmark),
+w AS (SELECT query_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM q),
+v AS (SELECT DISTINCT unnest(flatten([{TOKENS.format("text")}, {TOKENS.format("coalesce(source, '')")}, {TOKENS.format("coalesce(lang, '')")}])) AS word FROM documents),
+odd AS (SELECT DISTINCT w FROM w ANTI JOIN v ON w.w = v.word WHERE length(w) >= 5 AND NOT regexp_full_match(w, '[0-9]+')),
+near AS (SELECT w, min({{'d': levenshtein(w, word), 'word': word}}) AS m FROM odd JOIN v ON abs(length(w) - length(word)) <= 2 WHERE levenshtein(w, word) <= 2 GROUP BY 1)
+SELECT query_id, string_agg(coalesce(m.word, w.w), ' ' ORDER BY pos) AS text FROM w LEFT JOIN near ON w.w = near.w GROUP BY 1""".replace("\\\\", "\\"))
 def typo_correction(spark, d):
-    q = _questions(spark, d)
-    typed = q.withColumn("text", F.regexp_replace("text", r"(\w{4})\w(\w{3,})", "$1$2"))
-    return retrieval.typos_fixed(typed, retrieval.vocabulary(q.select("text")))
+    """Questions with a letter left out of their words, against the words of all texts, books and sections."""
+    typed = _questions(spark, d).withColumn("text", F.regexp_replace("text", r"(\w{4})\w(\w{3,})", "$1$2"))
+    x = _docs(spark, d)
+    return retrieval.typos_fixed(typed, retrieval.vocabulary(x.select("text"), x.select("source"), x.select("lang")))
 
 
 @query()
 def hybrid_search(spark, d):
     q = _questions(spark, d)
     chunks = _chunks(spark, d).withColumn("emb", S.embedder()(F.concat(F.lit("passage: "), "text")))
-    return S.search(q, chunks, S.embedder(), top_k=10, expand=False, context_window=1).select("query_id", "rnk", "id", "score", "rerank", "text")
+    return S.search(q, chunks, S.embedder(), top_k=10, context_window=1).select("query_id", "rnk", "id", "score", "rerank", "text")
 
 
 @query()
 def question_answers(spark, d):
     chunks = _chunks(spark, d).withColumn("emb", S.embedder()(F.concat(F.lit("passage: "), "text")))
-    return S.answer(_questions(spark, d), chunks, embed=S.embedder(), expand=False)
+    return S.answer(_questions(spark, d), chunks, embed=S.embedder(), context_window=1)
 
 
 # Chunks and context -----------------------------------------------------------------------------------
@@ -312,10 +347,10 @@ def question_answers(spark, d):
 def _chunks(spark, d):
     """Lines of documents as chunks of their document."""
     x = _docs(spark, d).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where("trim(text) <> ''")
-    return x.select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.col("source").alias("book"), F.col("lang").alias("section"), F.col("pos").alias("page"), "text", F.lit(1.0).alias("importance_score"), F.lit(False).alias("is_parent"), F.col("doc_id").alias("parent_group"), F.col("pos").alias("child_index"), F.col("lang").alias("parent_title"))
+    return x.select((F.col("doc_id") * (1 << 32) + F.col("pos")).alias("id"), F.col("source").alias("book"), F.col("lang").alias("section"), F.col("pos").alias("page"), "text", F.lit(1.0).alias("importance_score"), F.lit(False).alias("is_parent"), F.col("doc_id").alias("parent_group"), F.col("pos").alias("child_index"), F.col("lang").alias("parent_title"))
 
 
-CHUNKS = "chunks AS (SELECT doc_id * 100000 + pos AS id, source AS book, lang AS section, pos AS page, text, doc_id AS parent_group, pos AS child_index FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(text) <> '')"
+CHUNKS = "chunks AS (SELECT doc_id * 4294967296 + pos AS id, source AS book, lang AS section, pos AS page, text, doc_id AS parent_group, pos AS child_index FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(text) <> '')"
 
 
 @query(f"WITH {CHUNKS} SELECT id, lag(text) OVER w AS before, lead(text) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY parent_group ORDER BY child_index, id)")
@@ -323,7 +358,16 @@ def context_neighbors(spark, d):
     return context.neighbours(_chunks(spark, d))
 
 
-@query()
+def _level(line: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({line}, '{p}') THEN {n}" for p, n in chunking.HEADERS)
+    return f"CASE WHEN regexp_matches({line}, '{chunking.TOC_LINE}') OR (regexp_matches({line}, '{chunking.NUMBERED}') AND length({line}) > 100) THEN NULL {cases} END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+k AS (SELECT *, {_level("trim(line)")} AS level FROM l), n AS (SELECT *, (sum((level IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos))::INT AS section_no FROM k),
+g AS (SELECT doc_id, section_no, coalesce(max(trim(line)) FILTER (level IS NOT NULL), '{chunking.PREAMBLE}') AS title, coalesce(max(level), 0)::INT AS level,
+      regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level IS NULL), ''), '^\\s+|\\s+$', '', 'g') AS body FROM n GROUP BY 1, 2)
+SELECT * FROM g WHERE body <> ''""")
 def section_split(spark, d):
     return chunking.sections(_docs(spark, d))
 
@@ -396,10 +440,10 @@ def label_conf_merge(spark, d):
 
 
 @query(f"""WITH {BRIDGE} SELECT doc_id, ns, code, round(max(conf), 6) AS conf FROM (SELECT doc_id, ns, CASE WHEN swap THEN '30.1' ELSE code END AS code, CASE WHEN swap THEN 0.93 ELSE conf END AS conf FROM
-(SELECT doc_id, CASE ns WHEN 'quality' THEN 'okpd' ELSE ns END AS ns, code, conf, ns = 'quality' AND conf >= 0.85 AND conf < 0.9 AND doc_id % 2 = 0 AS swap FROM bridge)) GROUP BY 1, 2, 3""")
+(SELECT doc_id, CASE ns WHEN 'quality' THEN 'okpd' ELSE ns END AS ns, code, conf, ns = 'quality' AND conf >= 0.85 AND conf < 0.9 AS swap FROM bridge)) GROUP BY 1, 2, 3""")
 def retag_band(spark, d):
     b = _bridge(spark, d).drop("path").withColumn("ns", F.when(F.col("ns") == "quality", "okpd").otherwise(F.col("ns"))).withColumn("conf", F.round("conf", 6))
-    g = load(spark, d, "labels").where("doc_id % 2 = 0").select("doc_id", F.lit("30.1").alias("code"), F.lit(0.93).alias("conf"))
+    g = load(spark, d, "labels").select("doc_id", F.lit("30.1").alias("code"), F.lit(0.93).alias("conf"))
     return labels.retagged(b, g).withColumn("conf", F.round("conf", 6))
 
 
@@ -422,7 +466,10 @@ def nearest_valid_ancestor(spark, d):
     return labels.nearest_ancestors(items, h)
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS doc_id, 'Болт ГОСТ Р ' || (p_size + 7000) || '-2018, ОКПД2: 24.' || lpad((p_partkey % 90)::VARCHAR, 2, '0') || '.31 DIN ' || p_size || ' ' || p_name AS text FROM part),
+g AS (SELECT doc_id, regexp_extract(text, '(?i)ГОСТ\\s*Р\\s*([0-9]+)-([0-9]{2,4})', ['n', 'y']) AS g, regexp_extract(text, '(?i)ОКПД2?\\s*:\\s*([0-9]{2}(?:\\.[0-9]{1,2}){1,3})', 1) AS c, regexp_extract(text, '(?i)DIN\\s*([0-9]+)', 1) AS din FROM p)
+SELECT doc_id, 'gost' AS ns, 'ГОСТ Р ' || g.n || '-' || g.y AS code, [g.n, g.n || '-' || g.y] AS path, 0.95::DOUBLE AS conf FROM g
+UNION ALL SELECT doc_id, 'okpd', c, list_transform(range(1, len(string_split(c, '.')) + 1), lambda i: array_to_string(string_split(c, '.')[1:i], '.')), 0.8 FROM g UNION ALL SELECT doc_id, 'din', din, NULL, 0.75 FROM g""")
 def extract_labels(spark, d):
     rows = load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("Болт ГОСТ Р "), F.col("p_size") + 7000, F.lit("-2018, ОКПД2: 24."), F.lpad((F.col("p_partkey") % 90).cast("string"), 2, "0"), F.lit(".31 DIN "), F.col("p_size"), F.lit(" "), F.col("p_name")).alias("text"))
     return labels.extracted(rows)
@@ -438,20 +485,81 @@ def guess_groups(spark, d):
     return labels.guess_groups(_bridge(spark, d))
 
 
+GRADES = ["сталь 45", "12Х18Н10Т", "АМг6", "Латунь Л63", "09Г2С", "Inconel 718", "ВТ6", "", "Ст3", "Св-08Г2С", "х/к", "припой ПОС-61"]
+STANDARDS = ["ГОСТ 7798-70", "DIN 933", "ISO 4014", "", "ГОСТ Р 58144-2018"]
+
+
 def _items(spark, d):
     """Parts named as a factory names them: form, size, grade, standard."""
     pick = lambda words, k: F.array(*map(F.lit, words))[F.col("p_partkey") % k]
-    grades = ["сталь 45", "12Х18Н10Т", "АМг6", "Латунь Л63", "09Г2С", "Inconel 718", "ВТ6", "", "Ст3", "Св-08Г2С", "х/к", "припой ПОС-61"]
-    standards = ["ГОСТ 7798-70", "DIN 933", "ISO 4014", "", "ГОСТ Р 58144-2018"]
-    return load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", pick([*R.FORMS, "Наконечник"], 28), F.concat(F.col("p_size"), F.lit("x"), F.col("p_partkey") % 900 + 10), pick(grades, 12), pick(standards, 5)).alias("text"))
-
-
-@query()
+    return load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", pick([*R.FORMS, "Наконечник"], 28), F.concat(F.col("p_size"), F.lit("x"), F.col("p_partkey") % 900 + 10), pick(GRADES, 12), pick(STANDARDS, 5)).alias("text"))
+
+
+def _re2(pattern: str) -> str:
+    """A pattern of the tables for SQL, whose word classes know ASCII only: boundaries as characters around."""
+    word = r"\pL\pM\pN_"
+    out = pattern.replace(r"\w", f"[{word}]")
+    out = re.sub(r"(^|[(|]|\.\*|\?:)\\b", rf"\1(?:^|[^{word}])".replace("\\p", "\\\\p"), out)
+    out = out.replace(r"\b", f"(?:$|[^{word}])")
+    return out.replace("'", "''")
+
+
+def _case(rows, otherwise="NULL") -> str:
+    return f"CASE {' '.join(f'WHEN {c} THEN {v}' for c, v in rows)} ELSE {otherwise} END"
+
+
+def _values(table: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+def _items_sql() -> str:
+    """The classifier over ``part``: the rows of ``classify_tables``, found and decided by SQL."""
+    text = lambda words, k: f"([{', '.join(repr(w) for w in words)}])[p_partkey % {k} + 1]"
+    has = lambda p, c="x": f"regexp_matches({c}, '(?i){_re2(p)}')"
+    part = lambda p, g=1, c="x", f="(?i)": f"nullif(regexp_extract({c}, '{f}{_re2(p)}', {g}), '')"
+    grade = _case([(has(p, "part"), k) for k, (p, _, _) in enumerate(R.GRADES, 1)])
+    name = _case([(f"grade = {k}", f"replace('{n}', '$1', regexp_extract(part, '(?i){_re2(p)}', 1))" if "$1" in n else f"'{n}'") for k, (p, _, n) in enumerate(R.GRADES, 1)])
+    code = _case([(f"grade = {k}", f"'{c}'") for k, (_, c, _) in enumerate(R.GRADES, 1)])
+    other = "coalesce(" + ", ".join(part(p, 1, "part", "") for p in R.OTHER_GRADES) + ")"
+    families = [("material IS NULL OR form IS NULL", "NULL")]
+    for family, begins, words in R.FAMILIES:
+        any_of = [f"contains(up, '{w}')" for w in words] + ([f"starts_with(coalesce(material_code, ''), '{begins}')"] if begins else []) + ([f"regexp_matches(up, '{_re2(R.STAINLESS)}')"] if family == "SS" else [])
+        families.append((" OR ".join(any_of), f"'{family}'"))
+    base = _case([(f"family IN ('{f}'{', ' + repr('FEA') if f == 'FE' else ''})", f"{_values(t)}[form]") for f, t in R.FAMILY_FORMS.items()])
+    dim = r"([0-9]+(?:[.,][0-9]+)?)\s*[xх×]\s*([0-9]+(?:[.,][0-9]+)?)"
+    number = lambda e: f"replace({e}, ',', '.')"
+    flat, round_, shaped = "form IN ('ПЛИТА', 'ЛИСТ', 'ПОЛОСА', 'ЛЕНТА')", "form IN ('КРУГ', 'ПРУТОК', 'ПРОВОЛОКА')", "form IN ('УГОЛОК', 'ШВЕЛЛЕР', 'ДВУТАВР', 'ПРОФИЛЬ')"
+    shape = "nullif(concat_ws('x', " + ", ".join(part(r"([0-9]+)[xх]([0-9]+)(?:[xх]([0-9]+))?", k, "x", "") for k in (1, 2, 3)) + "), '')"
+    plain = [number(part(p, 1, "x", "")) for p in (r"(?:^|\s)([0-9]+(?:[.,][0-9]+)?)\b", r"(?:^|\s|Ø|D|d)([0-9]+(?:[,.][0-9]+)?)\b")]
+    size = _case([("form IN ('БОЛТ', 'ВИНТ', 'ГАЙКА', 'ШПИЛЬКА')", f"'M' || {part('М([0-9]+)')}"), (flat, f"coalesce({number(part(dim, 1, 'x', ''))}, {plain[0]})"), (round_, plain[1]), (shaped, shape)])
+    signs = ", ".join(f"{has(p)} AS {n}" for n, p in R.SIGNS.items())
+    rule = _case([(c, k) for k, (c, _, _, _) in enumerate(R.RULES, 1)])
+    at = lambda i: _case([(f"rule = {k}", r[i]) for k, r in enumerate(R.RULES, 1)])
+    gost = r"ГОСТ(?:\s*Р)?\s*(?:ИСО\s*)?([0-9]+(?:\.[0-9]+)*)"
+    return f"""items AS (SELECT p_partkey AS doc_id, concat_ws(' ', {text([*R.FORMS, "Наконечник"], 28)}, p_size || 'x' || (p_partkey % 900 + 10), {text(GRADES, 12)}, {text(STANDARDS, 5)}) AS text FROM part),
+a AS (SELECT doc_id, text, text AS x, string_split(text, '/')[-1] AS part, coalesce(upper({part("^(" + "|".join(R.FORMS) + r")\b")}), CASE WHEN {has(R.SIGNS["strip"])} THEN 'ЛЕНТА' END) AS form FROM items),
+b AS (SELECT *, {grade} AS grade FROM a), c AS (SELECT *, {name} AS name, CASE WHEN grade IS NULL THEN {part("\\b(Ст[.]?\\s*[0-9]+\\w*)\\b", 1, "part")} END AS steel FROM b),
+e AS (SELECT *, coalesce(name, steel, {other}) AS material, coalesce({code}, CASE WHEN steel IS NOT NULL THEN '24.10.61' END) AS material_code FROM c),
+f AS (SELECT *, upper(material) AS up, {size} AS size, coalesce({number(part("шир(?:[.]|ина)?\\s*[:=]?\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:мм|mm)\\b"))}, CASE WHEN {flat} THEN {number(part(dim, 2, "x", ""))} END) AS width_text,
+      list_distinct(regexp_extract_all(x, '(?i){_re2(gost)}', 1)) AS gost, {part("DIN\\s*([0-9]+)")} AS din, {part("ISO\\s*([0-9]+(?:[-.][0-9]+)?)")} AS iso, {signs} FROM e),
+g AS (SELECT *, {_case(families, "'FE'")} AS family, list_filter(gost, lambda n: map_contains({_values(R.GOST_CODES)}, n))[1] AS gost_number, try_cast(width_text AS DOUBLE) AS width_said FROM f),
+h AS (SELECT *, {base} AS base, {_values(R.FAMILY_NAMES)}[family] AS family_name, {_values(R.GOST_CODES)}[gost_number] AS gost_code, {_values(R.DIN_CODES)}[din] AS din_code, {_values(R.ISO_CODES)}[regexp_extract(iso, '^[0-9]+')] AS iso_code, {_values(R.FORM_CODES)}[form] AS form_code,
+      cold_word OR list_contains(gost, '19904') AS cold, hot_word OR list_contains(gost, '19903') AS hot, list_contains(gost, '4986') AS narrow, lower(form) AS kind, nullif(width_said, 0.0) AS width,
+      family IS NOT NULL AND form = 'ЛЕНТА' AS band, family IS NOT NULL AND form IN ('ЛИСТ', 'ПЛИТА') AS sheet, CASE WHEN width_said < 600 AND width_said <> 0 THEN 0.75 ELSE 0.90 END AS sheet_conf FROM g),
+k AS (SELECT *, CASE WHEN family = 'FEA' THEN 'сталь' ELSE family_name END AS metal, coalesce(len(string_split(material_code, '.')), 0) > coalesce(len(string_split(base, '.')), 0) AS deeper FROM h),
+n AS (SELECT *, {rule} AS rule FROM k), decided AS (SELECT doc_id, text, {at(1)} AS code, ({at(2)})::DOUBLE AS conf, {at(3)} AS "desc", form, size, width_text AS width, material, material_code FROM n)"""
+
+
+@query(f"WITH {_items_sql()} SELECT * FROM decided")
 def classify_items(spark, d):
     return classify.classified(_items(spark, d)).select("doc_id", "text", "code", "conf", "desc", "info.form", "info.size", "info.width", "info.material", "info.material_code")
 
 
-@query()
+@query(f"""WITH {_items_sql()}, found AS (SELECT doc_id, unnest([
+  {{'ns': 'gost', 'code': 'ГОСТ ' || CASE WHEN regexp_matches(text, 'ГОСТ Р') THEN 'Р ' ELSE '' END || nullif(regexp_extract(text, 'ГОСТ (?:Р )?([0-9]+-[0-9]+)', 1), ''), 'path': [nullif(regexp_extract(text, 'ГОСТ (?:Р )?([0-9]+)-', 1), ''), regexp_extract(text, 'ГОСТ (?:Р )?([0-9]+-[0-9]+)', 1)], 'conf': 0.95}},
+  {{'ns': 'din', 'code': nullif(regexp_extract(text, 'DIN ([0-9]+)', 1), ''), 'path': NULL, 'conf': 0.75}}, {{'ns': 'iso', 'code': nullif(regexp_extract(text, 'ISO ([0-9]+)', 1), ''), 'path': NULL, 'conf': 0.75}}]) AS l FROM items)
+SELECT doc_id, l.ns AS ns, l.code AS code, l.path AS path, l.conf::DOUBLE AS conf FROM found WHERE l.code IS NOT NULL
+UNION ALL SELECT doc_id, 'okpd', code, list_transform(range(1, len(string_split(code, '.')) + 1), lambda i: array_to_string(string_split(code, '.')[1:i], '.')), conf FROM decided WHERE code <> 'UNSURE' AND conf >= 0.9""")
 def tag_items(spark, d):
     items = _items(spark, d).withColumn("section", F.lit("items"))
     guesses = classify.classified(items.select("doc_id", "text")).select("doc_id", "code", "conf")
@@ -524,11 +632,11 @@ def _chat_log(spark, d):
 
 
 _PHRASES = """
-WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 2) AS t, length(text)::DOUBLE AS pt FROM conversations WHERE role = 'user'),
+WITH w AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[а-яёa-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains({stop}, x)) AS t, length(text)::DOUBLE AS pt FROM conversations WHERE role = 'user'),
 p AS (SELECT conv_id, turn, pt, array_to_string(t[i:i+2], ' ') AS topic, 1.5 AS weight FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM w)
  UNION ALL SELECT conv_id, turn, pt, array_to_string(t[i:i+1], ' '), 1.0 FROM (SELECT *, unnest(range(1, len(t))) AS i FROM w)
  UNION ALL SELECT conv_id, turn, pt, x, 0.5 FROM (SELECT *, unnest(list_filter(t, lambda x: length(x) > 5)) AS x FROM w)),
-topics AS (SELECT topic, count(*) AS hits, sum(weight)::DOUBLE AS total_weight, round(avg(turn / 10.0), 6)::DOUBLE AS avg_confidence, round(avg(pt), 6) AS avg_processing_time, max(conv_id) AS last_used FROM p GROUP BY 1)"""
+topics AS (SELECT topic, count(*) AS hits, sum(weight)::DOUBLE AS total_weight, round(avg(turn / 10.0), 6)::DOUBLE AS avg_confidence, round(avg(pt), 6) AS avg_processing_time, max(conv_id) AS last_used FROM p GROUP BY 1)""".replace("{stop}", repr(analytics.STOP_WORDS))
 
 
 @query(_PHRASES + " SELECT * FROM topics")
@@ -541,7 +649,10 @@ def top_topics(spark, d):
     return analytics.top_topics(analytics.topics(_chat_log(spark, d)))
 
 
-@query()
+@query(_PHRASES + """, h AS (SELECT text, max(conv_id) AS ts FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY ts DESC, text LIMIT 100),
+s AS (SELECT text AS suggestion, 'history' AS source, 0 AS part, -(ts * 1000000)::DOUBLE AS key FROM h WHERE contains(lower(text), 'the')
+ UNION ALL (SELECT topic, 'topic', 1, -total_weight FROM topics WHERE contains(lower(topic), 'the') ORDER BY total_weight DESC, topic LIMIT 10))
+SELECT suggestion, source, (row_number() OVER (ORDER BY part, key, suggestion))::INT AS pos FROM (SELECT * FROM s ORDER BY part, key, suggestion LIMIT 10)""")
 def suggestions(spark, d):
     log = load(spark, d, "conversations").where("role = 'user'").select(F.col("text").alias("question"), F.timestamp_seconds(F.col("conv_id")).alias("ts"))
     return analytics.suggestions(log, analytics.topics(_chat_log(spark, d)), "the")
@@ -573,7 +684,16 @@ def citations(spark, d):
     return answers.citations(_hits(spark, d))
 
 
-@query()
+_SQUASH = "trim(regexp_replace(replace(lower({0}), 'ё', 'е'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {HITS}, src AS (SELECT query_id, list(left({_SQUASH.format("text")}, 1200)) AS src FROM hits WHERE rnk <= 8 GROUP BY 1),
+tok AS (SELECT query_id, src, list_distinct(flatten(list_transform(src, lambda x: {TOKENS.format("x")}))) AS st FROM src),
+s AS (SELECT item_id AS query_id, unnest(string_split(regexp_replace(trim(text), '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM benchmark),
+x AS (SELECT query_id, {_SQUASH.format("x")} AS x FROM (SELECT query_id, regexp_replace(x, '^[ \\t\\n\\r–—•*-]+|[ \\t\\n\\r–—•*-]+$', '', 'g') AS x FROM s) WHERE length(x) >= 20),
+k AS (SELECT query_id, x, list_distinct({TOKENS.format("x")}) AS k, src, st FROM x JOIN tok USING (query_id)),
+o AS (SELECT query_id, (len(k) > 0 AND len(list_intersect(k, st)) / greatest(len(k), 1) >= 0.5) OR (length(x) <= 220 AND len(list_filter(src, lambda y: contains(y, x))) > 0) AS ok FROM k)
+SELECT item_id AS query_id, coalesce(g, 0.0) AS grounding FROM benchmark LEFT JOIN (SELECT query_id, round(avg(ok::INT), 6) AS g FROM o GROUP BY 1) ON item_id = query_id""")
 def grounding_score(spark, d):
     a = _questions(spark, d).select("query_id", F.col("text").alias("answer"))
     return answers.grounding(a, _hits(spark, d))
@@ -590,9 +710,9 @@ def extractive_answer(spark, d):
 
 
 @query("""WITH h AS (SELECT conv_id, turn, role, left(text, 8000) AS text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''),
-n AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER w AS used FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, role, text FROM n WHERE n <= 28 AND used <= 3000""")
+n AS (SELECT *, row_number() OVER w AS n, sum(length(text)) OVER w AS used FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, role, text FROM n WHERE n <= 28 AND used <= 60416""")
 def prompt_budget(spark, d):
-    return answers.packed_prompt(load(spark, d, "conversations"), 3000)
+    return answers.packed_prompt(load(spark, d, "conversations"))
 
 
 @query("""WITH q AS (SELECT conv_id, turn, text, list_distinct(regexp_extract_all(lower(text), '[а-яёa-z0-9]{3,}')) AS tok FROM conversations WHERE role = 'user'),
@@ -602,9 +722,26 @@ def topic_shift(spark, d):
     return answers.topic_shifts(load(spark, d, "conversations").where("role = 'user'").withColumn("book", F.col("turn") % 3))
 
 
-@query()
+_STEM = "list_distinct(list_transform(list_filter({0}, lambda x: NOT list_contains({1}, x)), lambda x: regexp_replace(x, '^(.{{4,60}}?)(?:{2})$', '\\1')))".format(TOKENS.format("text"), repr(T.QUESTION_STOP_WORDS), "|".join(T.SUFFIXES))
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text, {_STEM} AS tok, turn % 3 AS b FROM conversations WHERE role = 'user'),
+l AS (SELECT *, lag(text) OVER w AS last, lag(tok) OVER w AS ltok, 'book' || lag(b) OVER w || ' s' || lag(b) OVER w || ' t' AS more FROM q WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, trim(concat_ws(' ', CASE WHEN last IS NULL THEN text WHEN len(tok) < 3 THEN last || '. ' || text ELSE last || '. ' || text || '. ' || array_to_string(list_sort(list_distinct(list_concat(tok, ltok))), ' ') END, more)) AS query FROM l""")
 def context_query(spark, d):
-    return answers.context_queries(load(spark, d, "conversations").where("role = 'user'"))
+    x, n = load(spark, d, "conversations").where("role = 'user'"), (F.col("turn") % 3).cast("string")
+    return answers.context_queries(x.withColumn("book", F.concat(F.lit("book"), n)).withColumn("sections", F.array(F.concat(F.lit("s"), n), F.lit("t"), F.lit("u"))))
+
+
+@query(f"WITH {HITS} SELECT query_id, book, count(*)::INT AS n, array_to_string(list(id ORDER BY rnk), ',') AS ids FROM hits GROUP BY 1, 2")
+def results_by_book(spark, d):
+    g = answers.by_book(_hits(spark, d))
+    return g.select("query_id", "book", "n", F.array_join(F.transform("hits", lambda h: h.id.cast("string")), ",").alias("ids"))
+
+
+@query("SELECT item_id AS query_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[^\\pL\\pM\\pN_-]+'), lambda w: trim(w, '-')), lambda w: regexp_full_match(w, '[а-яёa-z0-9_-]{4,}')))) AS words FROM benchmark")
+def highlight_words(spark, d):
+    return _questions(spark, d).select("query_id", T.highlights(F.array("text")).alias("words"))
 
 
 @query("SELECT conv_id, turn, 'general' AS question_type, trim(text) = '' OR (regexp_matches(trim(text), '(?i)^(hi|hello|hey)\\b') AND len(regexp_extract_all(regexp_replace(trim(text), '(?i)^(hi|hello|hey)\\b', ''), '[A-Za-z0-9]+')) <= 1) AS smalltalk FROM conversations")

@@ -40,6 +40,11 @@ QUESTION_TYPES = {
 }
 GREETING = r"^\s*(привет|здравств|добро(е|й)|hi|hello|hey)\b"
 REALTIME_TOPICS = r"\b(погод[ауы]?|температур|дожд|снег|ветер|облачн|солнечн|гроза|курс|доллар|евро|биткоин|акци[ия]|новост|пробк|трафик|врем[яени]|который\s+час|часовой\s+пояс|расписани[ея]|рейс|самол[её]т|поезд)\b"
+CODE_INTENT = r"\b(окпд2?|okpd)\b"
+ITEM_SHAPE = r"\b(круг|квадрат|шестигранник|полоса|лист|лента|катанка|проволока|труба|уголок|швеллер|двутавр|арматура)\b"
+ITEM_MATERIAL = r"\b(ст[0-9]+|сталь\s*\d+|aisi\s*\d+|12[хx]18[нnh]10[тt]|14[хx]17[нnh]2|40[хx]13|30[хx]гса|40[хx]|09г2с|65г|р6м5|[хx]12мф|амг\d?|1561|ад31|л[0-9]+|лс59|л63|бр[а-я0-9]+|м1|(?:vt|вт)\d?-?\d?)\b"
+ITEM_AFTER, ITEM_NOISE = r"\b(?:для|по|на)\b", r"\b(какой|найд[ий]|подскажи|код|окпд2?|okpd)\b"
+HIGHLIGHT = r"\b[а-яёА-ЯЁa-zA-Z0-9_\-]{4,}\b"
 REALTIME_WORDS = r"\b(сегодня|завтра|послезавтра|вчера|на\s+недел\w*|на\s+выходн\w*|через\s+\d+\s*(?:минут[ауы]?|час(?:а|ов)?|дн(?:я|ей)?))\b"
 VERSIONS = [r"[Вв]ерсия\s*([\d.]+)", r"v([\d.]+)", r"Version\s*([\d.]+)", r"Релиз\s*([\d.]+)"]
 DATES = [(r"\d{2}\.\d{2}\.\d{4}", "dd.mm.yyyy"), (r"\d{4}-\d{2}-\d{2}", "yyyy-mm-dd"), (r"\d{2}/\d{2}/\d{4}", "dd/mm/yyyy")]
@@ -174,6 +179,32 @@ def is_realtime(x: Column) -> Column:
     return x.rlike(_U + REALTIME_TOPICS) & x.rlike(_U + REALTIME_WORDS)
 
 
+def asks_for_code(x: Column) -> Column:
+    """Names the classifier of products, or a form together with a material."""
+    x = F.lower(F.coalesce(x, F.lit("")))
+    return x.rlike(_U + CODE_INTENT) | (x.rlike(_U + ITEM_SHAPE) & x.rlike(_U + ITEM_MATERIAL))
+
+
+def item_asked_for(x: Column) -> Column:
+    """What stands after the first preposition (or the whole question), without the words of asking."""
+    x = F.coalesce(x, F.lit(""))
+    tail = F.when(x.rlike(_U + ITEM_AFTER), F.regexp_replace(x, rf"(?s){_U}^.*?{ITEM_AFTER}", "")).otherwise(x)
+    return F.trim(F.regexp_replace(F.regexp_replace(tail, _U + ITEM_NOISE, " "), r"(?U)\s+", " "))
+
+
+def highlights(variants: Column) -> Column:
+    """The set of words of four characters or more of a query's variants (an array), in lower case, sorted."""
+    words = F.regexp_extract_all(F.array_join(variants, " "), F.lit("(?U)" + HIGHLIGHT), 0)
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.lower(w))))
+
+
+def fuzzy_overlap(query: Column, doc: Column) -> Column:
+    """``overlap`` that also counts a query token of four characters or more within one edit (two from ten) of a doc token."""
+    near = lambda t: F.exists(doc, lambda v: F.levenshtein(t, v, 2) <= F.when(F.levenshtein(t, v, 2) < 0, -2).when(F.length(t) >= 10, 2).otherwise(1))
+    hit = F.filter(query, lambda t: F.array_contains(doc, t) | ((F.length(t) >= 4) & near(t)))
+    return F.size(hit) / F.greatest(F.size(query), F.lit(1))
+
+
 def adaptive_min_score(n_tokens: Column) -> Column:
     return F.when(n_tokens <= 2, 0.35).when(n_tokens <= 4, 0.25).otherwise(0.15)
 

@@ -85,6 +85,12 @@ def history(log: DataFrame, by: str, n: int = 10, tie: str = "id") -> DataFrame:
     return visible(log).withColumn("pos", rank).where(F.col("pos") <= n)
 
 
+def page_after(rows: DataFrame, after, size: int, key: str = "id") -> DataFrame:
+    """The next ``size`` rows beyond the key ``after`` (None: from the start), in order: paging that reads no row twice."""
+    rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    return rest.orderBy(key).limit(size)
+
+
 def visible(log: DataFrame) -> DataFrame:
     return log.where("NOT coalesce(is_hide, false)") if "is_hide" in log.columns else log
 

@@ -131,14 +131,27 @@ def context_queries(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, query): each user turn widened by the one before it: both texts, and for questions of
     three tokens or more the union of their tokens. The first turn stands alone.
 
-    ``turns`` (conv_id, turn, text [, book, sections])."""
+    ``turns`` (conv_id, turn, text [, book, sections]): the book and the first two sections of the answer
+    to the turn before are added, where there are any."""
     w = W.partitionBy("conv_id").orderBy("turn")
     x = turns.withColumn("tok", T.stem_tokens(F.col("text")))
     x = x.withColumn("last", F.lag("text").over(w)).withColumn("ltok", F.lag("tok").over(w))
     union = F.array_join(F.array_sort(F.array_union("tok", "ltok")), " ")
     both = F.concat(F.col("last"), F.lit(". "), F.col("text"))
     q = F.when(F.col("last").isNull(), F.col("text")).when(F.size("tok") < 3, both).otherwise(F.concat(both, F.lit(". "), union))
-    return x.select("conv_id", "turn", F.trim(q).alias("query"))
+    more = []
+    if "book" in turns.columns:
+        more.append(F.lag("book").over(w))
+    if "sections" in turns.columns:
+        more.append(F.nullif(F.array_join(F.slice(F.lag("sections").over(w), 1, 2), " "), F.lit("")))
+    x = x.withColumn("more", F.concat_ws(" ", *more))
+    return x.select("conv_id", "turn", F.trim(F.concat_ws(" ", q, F.nullif("more", F.lit("")))).alias("query"))
+
+
+def by_book(hits: DataFrame) -> DataFrame:
+    """(query_id, book, n, hits): each query's ``hits`` (query_id, rnk, id, book, score) by book, in order of rank."""
+    g = hits.groupBy("query_id", "book").agg(F.array_sort(F.collect_list(F.struct("rnk", "id", "score"))).alias("hits"))
+    return g.select("query_id", "book", F.size("hits").alias("n"), "hits")
 
 
 def topic_shifts(turns: DataFrame, share: float = 0.25, cooldown: float = 60.0) -> DataFrame:

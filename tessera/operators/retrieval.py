@@ -500,12 +500,23 @@ def vocabulary(*columns: DataFrame) -> DataFrame:
 def typos_fixed(queries: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
     """(query_id, text): words of five letters or more that the vocabulary lacks become its closest word.
 
-    Candidates share the first letter or the last three; the fewest edits win, then the alphabet.
+    Candidates share what is left after up to ``most`` deletions from either, as any two words within
+    ``most`` edits do; the fewest edits win, then the alphabet.
     """
     w = queries.select("query_id", F.posexplode(F.regexp_extract_all(F.translate(F.lower("text"), "ё", "е"), F.lit("[а-яa-z0-9]+"), 0)).alias("pos", "w"))
     odd = w.join(vocab.withColumnRenamed("word", "w"), "w", "left_anti").where((F.length("w") >= 5) & ~F.col("w").rlike("^[0-9]+$")).select("w").distinct()
-    keys = lambda c: F.array(F.concat(F.lit("^"), F.substring(c, 1, 1)), F.concat(F.substring(c, -3, 3), F.lit("$")))
-    cand = odd.select("w", F.explode(keys("w")).alias("k")).join(vocab.select("word", F.explode(keys("word")).alias("k")), "k").where(F.abs(F.length("w") - F.length("word")) <= most)
+
+
+    def keys(c: str) -> Column:
+        shorter = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+        out = step = F.array(F.col(c))
+        for _ in range(most):
+            step = F.array_distinct(F.flatten(F.transform(F.filter(step, lambda x: x != ""), shorter)))
+            out = F.concat(out, step)
+        return F.transform(out, lambda x: F.xxhash64(x))
+
+    words = vocab.where(F.length("word") >= 5 - most)
+    cand = odd.select("w", F.explode(keys("w")).alias("k")).join(words.select("word", F.explode(keys("word")).alias("k")), "k").select("w", "word").distinct()
     near = cand.select("w", "word", F.levenshtein("w", "word", most).alias("d")).where("d >= 0").groupBy("w").agg(F.min(F.struct("d", "word")).alias("m"))
     fixed = w.join(near.select("w", F.col("m.word").alias("fix")), "w", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fix", "w").alias("w")))).alias("x"))
     return fixed.select("query_id", F.array_join(F.transform("x", lambda p: p.w), " ").alias("text"))
