@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import written
+
 # Lengths of what is added ------------------------------------------------------------
 SIDE, PARENT, SEAM, FIRST_HITS = 220, 400, 40, 10
 # --------------------------------------------------------------------------------------------------
@@ -57,8 +59,9 @@ def widened(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     side = neighbours(near.where("NOT coalesce(is_parent, false)"), window)
     x = hits.join(near.select("id", "text", "parent_group", "is_parent", "parent_title", "section"), "id").join(side, "id", "left")
     x = x.join(parents(near), "parent_group", "left").join(children_preview(near).withColumnRenamed("parent_group", "_g"), (F.col("parent_group") == F.col("_g")) & F.col("is_parent"), "left")
-    # a few rows for each query: kept, so that the pieces below don't repeat what makes them
-    x = x.withColumn("before", tail(F.col("before"))).withColumn("after", head(F.col("after"))).persist()
+    # a few rows for each query: written, so that the pieces below don't repeat what makes them
+    x = x.withColumn("before", tail(F.col("before"))).withColumn("after", head(F.col("after")))
+    x = written(x, "neighbours")
     before, after, body = F.col("before"), F.col("after"), F.col("text")
     title = F.trim(F.coalesce(F.nullif(F.col("parent_title"), F.lit("")), "section", F.lit("")))
     lead = F.when(title != "", F.concat(F.lit("«"), title, F.lit("» — краткий контекст:\n"), F.col("parent_text"))).otherwise(F.col("parent_text"))

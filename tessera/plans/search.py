@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import answers, context, labels, retrieval
+from tessera.sources.tables import written
 
 
-def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, min_score: float | None = None, rerank: bool = True, diversify: bool = True, context_window: int = 0, label_filters: list[dict] = (), bridge: DataFrame | None = None, wanted: DataFrame | None = None, expand: bool = True, synonyms: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, min_score: float | None = None, rerank: bool = True, diversify: bool = True, context_window: int = 0, label_filters: list[dict] = (), bridge: DataFrame | None = None, wanted: DataFrame | None = None, expand: bool = True, synonyms: DataFrame | None = None, fuzzy: bool = False) -> DataFrame:
     """(query_id, rnk, id, book, section, page, text, score, vec, fts, trgm, rerank, importance, is_parent).
 
     ``queries`` (query_id, text); ``chunks`` as ``plans.ingest`` makes them, with ``emb`` for vectors. Filters
     apply before any list is cut. ``embed`` is the query embedder that the chunks were embedded with; without
-    it there is no vector list. ``min_score`` None adapts to each query. What is kept for the query
-(short lists and pools) stays until ``spark.catalog.clearCache()``.
+    it there is no vector list. ``min_score`` None adapts to each query. ``fuzzy`` lets the gate
+    of trigram hits count misspelt tokens. Lists, pools and hits, a few hundred
+    rows a query, are written (``sources.tables.written``), so that no step's plan holds another's.
     """
     for f in label_filters:
         chunks = labels.having(chunks, bridge, f["ns"], f.get("code"), f.get("prefix"), "id")
     queries = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
-    queries = queries.persist()
-    variants = retrieval.expanded(queries, synonyms).persist() if expand else queries.select("query_id", F.lit(1).alias("variant"), T.normalize_query(F.col("text")).alias("text"))
+    queries = written(queries, "queries")
+    variants = written(retrieval.expanded(queries, synonyms), "variants") if expand else queries.select("query_id", F.lit(1).alias("variant"), T.normalize_query(F.col("text")).alias("text"))
     # each variant is a query of its own until the best score of each document is taken
     v = variants.select(F.struct("query_id", "variant").alias("query_id"), "text")
     body = chunks.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "section", "text").alias("text"))
@@ -36,22 +38,22 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
         near = retrieval.vector(qv, chunks.select(F.col("id").alias("doc_id"), F.col("emb").alias("vec"), F.col("importance_score").alias("importance")), retrieval.DEPTH["vec"])
         lists = lists.unionByName(back(near, "vec"))
     # the lists are short (a few hundred rows a query) and used many times: kept, so that no plan holds them twice
-    lists = retrieval.ranked(lists).persist()
+    lists = written(retrieval.ranked(lists), "lists")
     info = chunks.select(F.col("id").alias("doc_id"), "book", "section", "page", "text", F.col("importance_score").alias("importance"), "is_parent", "parent_group", *(["emb"] if embed is not None else []))
     wide = lists.groupBy("query_id", "doc_id").pivot("signal", ["vec", "fts", "trgm"]).agg(F.max("score"))
-    x = wide.join(info, "doc_id").join(queries.withColumnRenamed("text", "q"), "query_id")
+    x = written(wide.join(info, "doc_id").join(queries.withColumnRenamed("text", "q"), "query_id"), "candidates")
     head = F.concat_ws(" ", "section", F.substring("text", 1, retrieval.HEAD_CHARS))
-    overlaps = x.select("query_id", "doc_id", T.overlap(T.tokens(T.normalize(F.col("q"))), T.tokens(head)).alias("overlap"))
+    overlaps = x.select("query_id", "doc_id", (T.fuzzy_overlap if fuzzy else T.overlap)(T.tokens(T.normalize(F.col("q"))), T.tokens(head)).alias("overlap"))
     want = max(80, 6 * top_k)
     pool = retrieval.topped_up(retrieval.gated(lists, queries, overlaps, want), lists, want)
-    x = pool.persist().join(x, ["query_id", "doc_id"])
+    x = pool.join(x, ["query_id", "doc_id"])
     x = x.withColumn("rerank", retrieval.lexical_reranker(F.col("q"), F.col("section"), F.col("text")) if rerank else F.lit(0.0))
     order = [F.desc("rerank"), F.desc("fused"), F.col("pos"), F.col("doc_id")] if rerank else [F.col("pos")]
     x = x.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     x = retrieval.final_scores(x, reranked=rerank)
     if wanted is not None and bridge is not None:
         x = retrieval.label_boost(x, bridge, wanted)
-    x = x.persist()
+    x = written(x, "pool")
     if diversify and top_k >= 3 and embed is not None:
         qvec = queries.select("query_id", embed(F.concat(F.lit("query: "), "text")).alias("query_vec"))
         picks = retrieval.mmr(x.select("query_id", "doc_id", "pos", F.col("emb").alias("vec"), F.col("parent_group").alias("group")).join(qvec, "query_id"), top_k)
@@ -60,7 +62,7 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     x = x.where((F.col("pos") <= top_k) & (F.col("score") >= floor)).withColumn("rnk", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
     out = x.select("query_id", "rnk", F.col("doc_id").alias("id"), "book", "section", "page", "text", "score", "vec", "fts", "trgm", "rerank", "importance", "is_parent")
     if context_window:
-        out = out.persist()
+        out = written(out, "hits")
         wide_text = context.widened(out.select("query_id", "rnk", "id"), chunks, context_window).select("query_id", "rnk", F.col("text").alias("wide"))
         out = out.join(wide_text, ["query_id", "rnk"]).withColumn("text", F.col("wide")).drop("wide")
     return out
@@ -72,7 +74,7 @@ def answer(queries: DataFrame, chunks: DataFrame, answerer=None, **kw) -> DataFr
     ``answerer`` is a column function of (question, context); by default the answer is extractive. Small talk
     and questions outside the domain get no answer.
     """
-    hits = search(queries, chunks, **kw).persist()
+    hits = written(search(queries, chunks, **kw), "answered-hits")
     gate = retrieval.domain_gate(hits, queries)
     q = queries.join(gate, "query_id").withColumn("chat", T.is_smalltalk(F.col("text"))).withColumn("question_type", T.question_type(F.col("text")))
     ctx = answers.context(hits.select("query_id", "id", "book", "section", "page", "text", "score", "is_parent"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,35 @@ def replace(rows: DataFrame, path: str, partition_by: list[str] | None = None) -
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+_RUN = f"steps-{uuid.uuid4().hex[:12]}"
+_OPEN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended: the cluster's own cleaning of the folder remains
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below ``spark.checkpoint.dir``, read back: what reads it holds neither its plan nor its cache.
+
+    For short intermediate results that several steps read. The folder is deleted when the driver ends;
+    on a cluster it has to be set."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/{_RUN}"
+    if path not in _OPEN:
+        _OPEN.add(path)
+        atexit.register(_delete, spark, path)
+    path = f"{path}/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -168,3 +168,45 @@ def test_classifier(spark, text, code, conf):
 
     r = classify.classified(spark.createDataFrame([(text,)], "text string")).first()
     assert (r["code"], r["conf"]) == (code, conf), r
+
+
+@pytest.mark.parametrize(
+    "text,asks,item",
+    [
+        ("Подскажи код ОКПД2 для болта М10", True, "болта М10"), ("круг 12Х18Н10Т на склад", True, "склад"), ("круг на складе", False, "складе"),
+        ("какой окпд у трубы", True, "у трубы"), (None, False, ""),
+    ],
+)
+def test_code_questions(spark, text, asks, item):
+    assert (col(spark, text, T.asks_for_code, "string"), col(spark, text, T.item_asked_for, "string")) == (asks, item)
+
+
+def test_fuzzy_overlap_and_highlights(spark):
+    df = spark.createDataFrame([(["маркировки", "склад", "кот", "нет"], ["моркировки", "склады", "код"])], "q array<string>, d array<string>")
+    assert df.select(T.fuzzy_overlap(F.col("q"), F.col("d"))).first()[0] == 0.5
+    assert col(spark, ["Склад и маркировка", "склад-2 x"], T.highlights, "array<string>") == ["маркировка", "склад", "склад-2"]
+
+
+def test_bound_columns_are_made_once(spark):
+    from tessera.functions.binding import bound
+
+    x = spark.range(4)
+    for _ in range(12):  # merged projections and pushed filters would double the expression each time
+        x = bound(x, id2=F.col("id") + F.col("id") % 2).where("id2 >= 0").select(F.col("id2").alias("id"))
+    assert x.count() == 4 and len(x._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_typos_beyond_first_letters(spark):
+    from tessera.operators import retrieval
+
+    q = spark.createDataFrame([(1, "ксладской пирбор")], "query_id int, text string")
+    v = spark.createDataFrame([("складской",), ("прибор",), ("прибоя",)], "word string")
+    assert retrieval.typos_fixed(q, v).first()["text"] == "складской прибор"
+
+
+def test_pages_follow_keys(spark):
+    from tessera.operators import analytics
+
+    rows = spark.createDataFrame([(i,) for i in (9, 3, 7, 1)], "id int")
+    first = [r[0] for r in analytics.page_after(rows, None, 3).collect()]
+    assert first == [1, 3, 7] and [r[0] for r in analytics.page_after(rows, 7, 3).collect()] == [9]
