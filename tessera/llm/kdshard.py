@@ -7,18 +7,20 @@ total weight over the target bytes.
 
 A coordinate is a 62-bit integer: 31 bits of the value's place between the least and greatest one,
 then 31 bits of a hash of the row, so that equal values (one source with a third of all rows) can
-be cut anywhere. Medians come from histograms of the weight that Spark adds up: one small job per
-refinement for all nodes of a level at once, until the cut is exact to ``tolerance`` of a leaf.
-What reaches the driver is bounded by leaves x bins, whatever the input. Texts are read once, to
-measure them, and never shuffled.
+be cut anywhere. Medians come from histograms of the weight that Spark adds up and cuts: one small
+job per refinement for all nodes of a level at once, until the cut is exact to ``tolerance`` of a leaf
+or no other cut would part the rows differently. A row carries the node that it is in; each level moves
+it by a join with the level's table of cuts, so plans don't grow with the tree. The driver sees one row
+per node and refinement, and the table of cuts is broadcast up to ``BROADCAST_NODES`` nodes. Texts are
+read once, to measure them, and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,14 +29,8 @@ from .common import Table, fresh
 _HASH_BITS = 31
 
 
-@dataclass
-class Node:
-    leaves: int
-    lo: int  # first shard of the node
-    dim: int = -1
-    cut: int = 0  # rows with coordinate < cut go left
-    left: "Node | None" = None
-    right: "Node | None" = None
+#: The largest table of nodes (some 50 bytes each) that is broadcast; beyond it, rows and nodes meet in a shuffle.
+BROADCAST_NODES = 200_000
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -53,68 +49,54 @@ DIMENSIONS = {
 }
 
 
-def _route(root: Node, coords: list[Column], leaf) -> Column:
-    """The tree as one expression: no join, however often it is evaluated."""
+def _nodes(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A table of a level's nodes."""
+    df = spark.createDataFrame(pa.table(columns))
+    return F.broadcast(df) if len(columns["node"]) <= BROADCAST_NODES else df
 
-    def go(n: Node) -> Column:
-        return leaf(n) if n.left is None else F.when(coords[n.dim] < F.lit(n.cut), go(n.left)).otherwise(go(n.right))
 
-    return go(root)
+def kd_leaves(spark: SparkSession, rows: DataFrame, n_dims: int, leaves: int, bins: int = 1024, tolerance: float = 0.0005) -> DataFrame:
+    """``rows`` (size, c0 .. c{n-1} and others) with ``node``, the leaf of each row from 0, as a written table.
 
-
-def _open(n: Node) -> list[Node]:
-    return [n] * (n.leaves > 1) if n.left is None else _open(n.left) + _open(n.right)
-
-
-def kd_tree(rows: DataFrame, n_dims: int, leaves: int, bins: int = 1024, tolerance: float = 0.0005) -> Node:
-    """The tree over ``rows`` (size, c0 .. c{n-1}); every job gathers at most leaves x bins rows."""
-    root = Node(leaves, 0)
-    coords = [F.col(f"c{i}") for i in range(n_dims)]
+    A node goes by its first leaf: what is left of a cut keeps the number, the rest takes a new one.
+    """
     total = rows.agg(F.sum("size")).first()[0] or 0
-    while level := _open(root):
-        at = _route(root, coords, lambda n: F.lit(n.lo if n.leaves > 1 else -1)).alias("node")
-        placed = rows.select(at, "size", *coords).where("node >= 0")
-        seen = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *[f(f"c{i}").alias(f"{k}{i}") for i in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))]).collect()}
+    c = F.get(F.array(*[F.col(f"c{i}") for i in range(n_dims)]), F.col("dim").cast("int"))
+    now = Table(spark, rows.withColumn("node", F.lit(0).cast("long")), "nodes")
+    width = {0: leaves}  # the leaves that a node is to become
+    while level := {k: n for k, n in width.items() if n > 1}:
+        ends = [f(f"c{i}").alias(f"{k}{i}") for i in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))]
         state = {}
-        for n in level:
-            r = seen.get(n.lo)
-            if r is None:  # nothing here: any cut will do
-                n.dim, n.cut = 0, 0
-                continue
-            n.dim = max(range(n_dims), key=lambda i: r[f"hi{i}"] - r[f"lo{i}"])
-            state[n.lo] = {"n": n, "lo": r[f"lo{n.dim}"], "hi": r[f"hi{n.dim}"] + 1, "below": 0, "want": r["w"] * (n.leaves // 2) / n.leaves}
-        for _ in range(7):
-            live = {k: s for k, s in state.items() if "done" not in s}
-            if not live:
-                break
-            bucket = F.lit(None).cast("long")
-            for k, s in live.items():
+        for r in now.df.join(_nodes(spark, {"node": list(level)}), "node").groupBy("node").agg(F.sum("size").alias("w"), *ends).collect():
+            n, dim = level[r["node"]], max(range(n_dims), key=lambda i: r[f"hi{i}"] - r[f"lo{i}"])
+            state[r["node"]] = {"dim": dim, "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"] + 1, "need": r["w"] * (n // 2) / n}
+        if not state:
+            break  # no row is left to part
+        while live := {k: s for k, s in state.items() if "cut" not in s}:
+            for s in live.values():
                 s["step"] = max(1, -(-(s["hi"] - s["lo"]) // bins))
-                c = coords[s["n"].dim]
-                inside = (F.col("node") == k) & (c >= F.lit(s["lo"])) & (c < F.lit(s["hi"]))
-                bucket = F.when(inside, F.expr(f"(c{s['n'].dim} - {s['lo']}L) div {s['step']}L")).otherwise(bucket)
-            hist: dict[int, list] = {}
-            for r in placed.select("node", "size", bucket.alias("bin")).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
-                hist.setdefault(r["node"], []).append((r["bin"], r["w"]))
+            at = _nodes(spark, {"node": list(live), **{x: [s[x] for s in live.values()] for x in ("dim", "lo", "hi", "step", "need")}})
+            inside = now.df.join(at, "node").withColumn("c", c).where("c >= lo AND c < hi").withColumn("bin", F.expr("(c - lo) div step"))
+            hist = inside.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.first("need").alias("need"), (F.min("c") == F.max("c")).alias("one"))
+            run = F.sum("w").over(W.partitionBy("node").orderBy("bin"))
+            crossing = {r["node"]: r for r in hist.withColumn("run", run).where("run >= need AND run - w < need").collect()}
             for k, s in live.items():
-                run = s["below"]
-                for b, w in sorted(hist.get(k, [])):
-                    if run + w >= s["want"]:
-                        lo = s["lo"] + b * s["step"]
-                        near_lo, near_hi = s["want"] - run, run + w - s["want"]
-                        if s["step"] == 1 or min(near_lo, near_hi) <= tolerance * total / leaves:
-                            s["done"] = lo if near_lo <= near_hi else lo + s["step"]
-                        s["lo"], s["hi"], s["below"] = lo, lo + s["step"], run
-                        break
-                    run += w
-                else:
-                    s["done"] = s["hi"]
-        for s in state.values():
-            s["n"].cut = s.get("done", s["lo"])
-        for n in level:
-            half = n.leaves // 2
-            n.left, n.right = Node(half, n.lo), Node(n.leaves - half, n.lo + half)
-    return root
+                r = crossing.get(k)
+                if r is None:
+                    s["cut"] = s["hi"]
+                    continue
+                before, over = s["need"] - (r["run"] - r["w"]), r["run"] - s["need"]
+                lo = s["lo"] + r["bin"] * s["step"]
+                if s["step"] == 1 or r["one"] or min(before, over) <= tolerance * total / leaves:
+                    s["cut"] = lo if before <= over else lo + s["step"]
+                s["lo"], s["hi"], s["need"] = lo, lo + s["step"], before
+        cuts = _nodes(spark, {"node": list(state), "dim": [s["dim"] for s in state.values()], "cut": [s["cut"] for s in state.values()], "right": [k + level[k] // 2 for k in state]})
+        stays = F.col("right").isNull() | (c < F.col("cut"))
+        moved = now.df.join(cuts, "node", "left").select(*rows.columns, F.when(stays, F.col("node")).otherwise(F.col("right")).alias("node"))
+        last, now = now, Table(spark, moved, "nodes")
+        last.drop()
+        width = {k: n for old, m in width.items() for k, n in (((old, m // 2), (old + m // 2, m - m // 2)) if m > 1 else ((old, m),))}
+    return now.df
 
 
 def kd_shards(spark: SparkSession, docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", rows_per_slice: int = 50_000) -> DataFrame:
@@ -123,7 +105,8 @@ def kd_shards(spark: SparkSession, docs: DataFrame, shards: int | None = None, t
     Give ``shards``, or ``target_bytes`` for ceil(total / target) of them. ``slot`` counts a shard's
     rows from 0 without gaps; it is numbered by slices of a shard, so no task holds a whole shard.
     Null ids and texts are measured like others (a null text as empty); identical rows may share a
-    side of each cut. An empty table gives an empty result.
+    side of each cut. A very long text is one row of a great weight, and its shard is larger by it. An
+    empty table gives an empty result.
     """
     base = Table(spark, measure(docs, id_col, text_col), "measured").df
     ranges = base.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(d()).alias(f"{k}_{name}") for name, d in DIMENSIONS.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -136,11 +119,10 @@ def kd_shards(spark: SparkSession, docs: DataFrame, shards: int | None = None, t
         value = F.least(F.floor(place * F.lit(float(1 << _HASH_BITS))), F.lit((1 << _HASH_BITS) - 1)).cast("long")
         low = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(i), tie), F.lit(64 - _HASH_BITS))
         coords.append((F.call_function("shiftleft", value, F.lit(_HASH_BITS)) + low).alias(f"c{i}"))
-    rows = Table(spark, base.select("*", *coords), "coordinates").df
-    root = kd_tree(rows, len(coords), leaves)
+    rows = kd_leaves(spark, base.select("*", *coords), len(coords), leaves)
     slices = max(1, math.ceil((ranges["n"] or 0) / leaves / rows_per_slice))
     part = F.pmod(F.xxhash64(F.lit("slice"), tie), F.lit(slices)).cast("int")
-    placed = rows.select(*base.columns, _route(root, [F.col(f"c{i}") for i in range(len(coords))], lambda n: F.lit(n.lo)).alias("shard"), part.alias("slice"))
+    placed = rows.select(*base.columns, F.col("node").cast("int").alias("shard"), part.alias("slice"))
     counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "slice", (F.sum("n").over(W.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("start"))
     order = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -22,6 +23,31 @@ def test_shards(spark):
     for s in {r["shard"] for r in rows}:
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
     assert kdshard.kd_shards(spark, X.empty(spark), 40).count() == 0
+    measured = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted(measured(r["text"]) for r in docs.collect())
+
+
+def test_leaves_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([16, 40, 900]), rng.randrange(1 << 40), rng.randrange(1 << 62)) for i in range(300)]
+
+    def part(rows, n, lo):
+        """Leaf of each row: cuts along the widest dimension, where the sums on both sides are nearest to their shares."""
+        if n == 1 or not rows:
+            return {r[0]: lo for r in rows}
+        dim = max((2, 3), key=lambda d: max(r[d] for r in rows) - min(r[d] for r in rows))
+        rows, want = sorted(rows, key=lambda r: r[dim]), sum(r[1] for r in rows) * (n // 2) / n
+        sums = [sum(r[1] for r in rows[:k]) for k in range(len(rows) + 1)]
+        k = next(k for k in range(1, len(rows) + 1) if sums[k] >= want)
+        k -= want - sums[k - 1] <= sums[k] - want
+        return part(rows[:k], n // 2, lo) | part(rows[k:], n - n // 2, lo + n // 2)
+
+    df = spark.createDataFrame(rows, "id long, size long, c0 long, c1 long")
+    want = part(rows, 6, 0)
+    for bins in (64, 1024):
+        assert {r["id"]: r["node"] for r in kdshard.kd_leaves(spark, df, 2, 6, bins, tolerance=0.0).collect()} == want
+    monkeypatch.setattr(kdshard, "BROADCAST_NODES", 0)
+    assert {r["id"]: r["node"] for r in kdshard.kd_leaves(spark, df, 2, 6, tolerance=0.0).collect()} == want
 
 
 def test_shards_are_near_equal_in_spite_of_a_hot_source(spark):
