@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, kdshard, linededup, packing, quality, simhash, substring, tokencount, tokenfile
-from .common import LOWER, SPACES, UPPER, documents
+from . import chat, decontam, kdshard, linededup, packing, passages, periodic, quality, simhash, substring, tokencount, tokenfile, variants
+from .common import LOWER, SPACE, SPACES, UPPER, documents
 
 SHARDS = 40
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -66,13 +66,51 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(documents(spark, sf_dir), change=variants.rare_deletions)
+    return variants.grouped(spark, words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    docs = documents(spark, sf_dir)
+    scores = passages.scored(spark, docs, passages.fitted(spark, docs, labels))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` where the words of a tenth of the texts, chosen by the id, go on periodically from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", SPACE), "")
+    n = F.size("w")
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.select("doc_id", "text", "g", "w", F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    rows = rows.select("doc_id", "text", "w", "a", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    turned = F.array_join(F.transform("w", lambda w, i: F.get("w", at(i))), " ")
+    return rows.select("doc_id", F.when(n > 0, turned).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapsed(with_periods(documents(spark, sf_dir)))
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("m"), sha(told).alias("runs_sha256"), sha(F.col("text")).alias("collapsed_sha256"))
+    start, length, period = -F.col("m.start"), F.col("m.length"), -F.col("m.period")
+    milli = F.floor(1000 * length / period).cast("long")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_simhash, op3_quality, op4_packing, op5_chat, op6_decontaminate, op7_token_files, op8_line_dedup, op9_token_counts, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_kd_shards, op2_simhash, op3_quality, op4_packing, op5_chat, op6_decontaminate, op7_token_files, op8_line_dedup, op9_token_counts, op10_substring_dedup, op11_spelling_variants, op12_quality_classifier, op13_periodic_runs, pipeline)}
 
 _WS = r"[\x20\x09-\x0D]+"
 _SPACES_SQL = " || ".join(f"chr({ord(c)})" for c in SPACES)
