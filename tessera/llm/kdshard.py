@@ -104,14 +104,14 @@ def kd_shards(spark: SparkSession, docs: DataFrame, shards: int | None = None, t
 
     Give ``shards``, or ``target_bytes`` for ceil(total / target) of them. ``slot`` counts a shard's
     rows from 0 without gaps; it is numbered by slices of a shard, so no task holds a whole shard.
-    Null ids and texts are measured like others (a null text as empty); identical rows may share a
-    side of each cut. A very long text is one row of a great weight, and its shard is larger by it. An
+    Null ids and texts are measured like others (a null text as empty); identical rows are told apart by
+    their place in the measured table, so any cut can part them. A very long text is one row of a great weight, and its shard is larger by it. An
     empty table gives an empty result.
     """
-    base = Table(spark, measure(docs, id_col, text_col), "measured").df
+    base = Table(spark, measure(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "measured").df
     ranges = base.agg(F.count("*").alias("n"), F.sum("size").alias("w"), *[f(d()).alias(f"{k}_{name}") for name, d in DIMENSIONS.items() for k, f in (("lo", F.min), ("hi", F.max))]).first()
     leaves = shards or max(1, math.ceil((ranges["w"] or 0) / (target_bytes or 1)))
-    tie = F.xxhash64("doc_id", "text_crc32", "size")
+    tie = F.xxhash64("doc_id", "text_crc32", "size", "row")
     coords = []
     for i, (name, d) in enumerate(DIMENSIONS.items()):
         lo, hi = ranges[f"lo_{name}"] or 0.0, ranges[f"hi_{name}"] or 0.0
@@ -125,8 +125,8 @@ def kd_shards(spark: SparkSession, docs: DataFrame, shards: int | None = None, t
     placed = rows.select(*base.columns, F.col("node").cast("int").alias("shard"), part.alias("slice"))
     counts = placed.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     starts = counts.select("shard", "slice", (F.sum("n").over(W.partitionBy("shard").orderBy("slice")) - F.col("n")).alias("start"))
-    order = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    return placed.withColumn("rn", F.row_number().over(order)).join(starts, ["shard", "slice"]).select(*base.columns, "shard", (F.col("start") + F.col("rn") - 1).cast("long").alias("slot"))
+    order = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size", "row")
+    return placed.withColumn("rn", F.row_number().over(order)).join(starts, ["shard", "slice"]).select(*[c for c in base.columns if c != "row"], "shard", (F.col("start") + F.col("rn") - 1).cast("long").alias("slot"))
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, path: str, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int = 8) -> None:

@@ -54,7 +54,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.judged(spark, documents(spark, sf_dir))
+    return linededup.judged(spark, documents(spark, sf_dir)).drop("row")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

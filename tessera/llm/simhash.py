@@ -19,6 +19,7 @@ mask (a fixed number of rows each), and equal points link. That is exact too, an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import Table, fresh, small_batches
+from .common import Table, fresh, row_key, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -130,10 +131,10 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, id_co
     ten bits, where covering tables would be thousands. Pairs beyond the radius come from the exact prefix
     filter of ``neardup``, so none is missed. Null ids as in ``near_duplicates``.
     """
-    fps = Table(spark, fingerprints(docs, id_col, text_col, shingle, seed), "stage-fingerprints").df
+    fps = Table(spark, fingerprints(docs, id_col, text_col, shingle, seed), "stage-fingerprints").df.select("doc_id", "fp")
 
     def close(found: DataFrame) -> DataFrame:
-        of = found.where("doc_id IS NOT NULL AND size(prefix) > 0").select("doc_id", "key").join(fps, "doc_id")
+        of = found.where("doc_id IS NOT NULL AND size(hashes) > 0").select("doc_id", "key").distinct().join(fps.distinct(), "doc_id")
         of = Table(spark, of.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("top")), "fp-keys").df
         met = links(spark, of.select("fp"), radius).join(of.select(F.col("fp").alias("a"), F.col("key").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("key").alias("y")), "b")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -143,11 +144,26 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, id_co
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kw) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; all columns stay.
-
-    With ``similarity`` the components are those of ``similar``, else those of the fingerprints. Rows with
-    a null id stay: they have no place in the order of ids."""
-    found = near_duplicates(spark, docs, id_col, text_col, **kw) if similarity is None else similar(spark, docs, similarity, id_col, text_col, **kw)
-    drop = Table(spark, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies").df
-    key = fresh(docs, "_drop")
-    return docs.join(drop.select(F.col("doc_id").alias(key)), F.col(id_col) == F.col(key), "left_anti")
+    """``docs`` with the row of the smallest id of each component; all columns stay.
+
+    With ``similarity`` the components are those of ``similar``, else those of the fingerprints. Rows are
+    judged one by one, by 64 bits of hash over id and text: an id may have several texts, each of which
+    stays or goes for itself. Of rows equal in id and text one stays. Rows with a null id all stay: they
+    have no place in the order of ids. An empty table gives an empty result.
+    """
+    name, num = fresh(docs, "_key"), fresh(docs, "_id")
+    keyed = docs.withColumn(name, row_key(id_col, text_col))
+    find = near_duplicates if similarity is None else partial(similar, similarity=similarity)
+    found = find(spark, keyed.select(name, text_col), id_col=name, text_col=text_col, **kw).distinct()
+    of = Table(spark, keyed.where(F.col(id_col).isNotNull()).groupBy(F.col(name).alias("key")).agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("copies")), "near-rows").df
+    placed = Table(spark, of.join(found, of.key == found.doc_id).select("key", "id", "copies", "component_id"), "near-placed").df
+    least = placed.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least"))
+    judged = Table(spark, placed.join(least, "component_id").select("key", "copies", (F.col("key") == F.col("least.key")).alias("stays")), "near-judged").df
+    drop = judged.where("NOT stays").select(F.col("key").alias(num))
+    rest = keyed.join(drop, F.col(name) == F.col(num), "left_anti")
+    again = judged.where("stays AND copies > 1").select(F.col("key").alias(num))
+    if not again.limit(1).count():
+        return rest.select(*docs.columns)
+    # rows equal in id and text: any one, combined before the shuffle
+    once = rest.join(again, F.col(name) == F.col(num), "left_semi").groupBy(name).agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return rest.join(again, F.col(name) == F.col(num), "left_anti").select(*docs.columns).unionByName(once)

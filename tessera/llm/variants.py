@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .common import Table, small_batches
 from .windows import mix
 
 _U = np.uint64
 BITS_A_WORD = 24
-_SEGMENT = 1 << 16  # bytes of the map in a row
 
 #: Letters A-Z and U+00C0 to U+00FF by their Latin-1 bytes; A-Z become small, all else parts words.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -142,10 +142,6 @@ def _cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return h >> _U(64 - bits), h & _U((1 << bits) - 1)
 
 
-def _set(bitmap: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bitmap[(cell >> _U(3)).astype(np.int64)] >> (cell & _U(7)).astype(np.uint8)) & 1
-
-
 def _points(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The words by length: (their places, an (m, length) array of code points)."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -154,51 +150,14 @@ def _points(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
 
 
-def _bitmap(bits: int):
-    """Hash bits of a task's words, in rows of _SEGMENT bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = []
-        for b in batches:
-            for _, c in _points([w for w in b.column(0).to_pylist() if w]):
-                cells += _cells(mix(_Hash(c.shape[1]).words(c)), bits)
-        if not cells:
-            return
-        cell = np.unique(np.concatenate(cells))
-        segment = (cell >> _U(3)) // _U(_SEGMENT)
-        edges = np.flatnonzero(np.diff(segment, prepend=segment[:1] + _U(1), append=segment[-1:] + _U(1)))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            part = np.zeros(_SEGMENT * 8, bool)
-            part[(cell[lo:hi] % _U(_SEGMENT * 8)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([int(segment[lo])], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()])], ["segment", "bits"])
-
-    return run
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of their segment: one united row for each."""
-    now, bits = None, None
-    for b in batches:
-        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(x, np.uint8)
-            if k != now:
-                if now is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits.tobytes()])], ["segment", "bits"])
-                now, bits = k, x.copy()
-            else:
-                bits |= x
-    if now is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits.tobytes()])], ["segment", "bits"])
-
-
 def _map_of(words: DataFrame, bits: int) -> np.ndarray:
     """The merged bit map: 2^bits bits, bounded by ``max_bits``."""
-    rows = words.select("word").mapInArrow(_bitmap(bits), "segment int, bits binary")
-    rows = rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(_united, "segment int, bits binary")
-    out = np.zeros(max(1 << (bits - 3), _SEGMENT), np.uint8)
-    for r in rows.toLocalIterator():
-        out[r["segment"] * _SEGMENT : (r["segment"] + 1) * _SEGMENT] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+
+    def cells(b: pa.RecordBatch) -> np.ndarray:
+        found = [x for _, c in _points([w for w in b.column(0).to_pylist() if w]) for x in _cells(mix(_Hash(c.shape[1]).words(c)), bits)]
+        return np.concatenate(found or [np.zeros(0, np.uint64)])
+
+    return bitmap.merged(words.select("word"), bits, cells)
 
 
 def _utf8(c: np.ndarray) -> pa.Array:
@@ -229,7 +188,7 @@ def _neighbours(bits: int, shared, alphabet: list[int], room: int = 1 << 22):
     letters = np.array(alphabet, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        known = shared.value
         for b in batches:
             words = b.column(0).to_pylist()
             for at, c in _points(words):
@@ -239,8 +198,8 @@ def _neighbours(bits: int, shared, alphabet: list[int], room: int = 1 << 22):
                     part, of = c[lo : lo + step], at[lo : lo + step]
                     for kind, h in hashes.edits(part, letters):
                         h = mix(h)
-                        hit = np.nonzero(_set(bitmap, _cells(h, bits)[0]))
-                        both = np.flatnonzero(_set(bitmap, _cells(h[hit], bits)[1]))
+                        hit = np.nonzero(bitmap.has(known, _cells(h, bits)[0]))
+                        both = np.flatnonzero(bitmap.has(known, _cells(h[hit], bits)[1]))
                         hit = [x[both] for x in hit]
                         row, place = hit[0], hit[1]
                         letter = letters[hit[2]] if len(hit) > 2 else np.zeros(len(row), np.uint32)
