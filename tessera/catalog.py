@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from tessera.functions import codes as C
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import analytics, answers, chunking, classify, context, documents, labels, retrieval
+from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, retrieval
 from tessera.operators import classify_tables as R
 from tessera.plans import ingest as I
 from tessera.plans import search as S
 from tessera.sources import files
-from tessera.sources.tables import load
+from tessera.sources.tables import load, step_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -165,6 +165,44 @@ def websearch_match(spark, d):
     return retrieval.websearch(q, _docs(spark, d))
 
 
+@query(_BM25.format(tq=TOKENS.format("text"), td=TOKENS.format("text"), k=10))
+def indexed_topk(spark, d):
+    """The same list from a stored index, by score bounds."""
+    return fulltext.top(_questions(spark, d), fulltext.add(_docs(spark, d), step_path(spark, "index")), 10)
+
+
+@query(f"""WITH qt AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS t FROM benchmark),
+d AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents), dw AS (SELECT doc_id, len(t) AS len, unnest(t) AS term, unnest(range(len(t))) AS pos FROM d),
+pairs AS (SELECT query_id, 1 AS grp, t[i] AS a, t[i + 1] AS b FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM qt WHERE len(t) > 2)),
+raw_occ AS (SELECT DISTINCT query_id, x.doc_id, grp, x.pos AS first, x.pos + 1 AS last, x.len FROM pairs JOIN dw x ON x.term = a JOIN dw y ON y.term = b AND y.doc_id = x.doc_id AND y.pos = x.pos + 1
+ UNION SELECT DISTINCT query_id, doc_id, 2, pos, pos, len FROM (SELECT query_id, unnest(list_filter(t, lambda x, i: i % 2 = 0)) AS term FROM qt WHERE len(t) > 2) JOIN dw USING (term)),
+bad AS (SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, t[-1] AS term FROM qt WHERE len(t) > 2) JOIN dw USING (term)),
+raw_ok AS (SELECT query_id, doc_id FROM raw_occ ANTI JOIN bad USING (query_id, doc_id) GROUP BY 1, 2 HAVING count(DISTINCT grp) = 2),
+word AS (SELECT DISTINCT query_id, unnest(t) AS term FROM qt), size AS (SELECT query_id, count(*) AS n FROM word GROUP BY 1),
+all_ok AS (SELECT query_id, doc_id, any_value(n) AS n FROM word JOIN (SELECT DISTINCT doc_id, term FROM dw) USING (term) JOIN size USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(n)),
+occ AS (SELECT 1.0::DOUBLE AS share, 2 AS n, query_id, doc_id, grp::VARCHAR AS grp, first, last, len FROM raw_occ SEMI JOIN raw_ok USING (query_id, doc_id)
+ UNION ALL SELECT 0.9, n, query_id, doc_id, term, pos, pos, len FROM all_ok JOIN word USING (query_id) JOIN dw USING (doc_id, term)),
+ends AS (SELECT DISTINCT share, n, query_id, doc_id, last FROM occ),
+latest AS (SELECT e.share, e.n, e.query_id, e.doc_id, e.last, o.grp, max(o.first) AS first FROM ends e JOIN occ o ON e.share = o.share AND e.query_id = o.query_id AND e.doc_id = o.doc_id AND o.last <= e.last GROUP BY ALL),
+span AS (SELECT share, n, query_id, doc_id, last, min(first) AS first FROM latest GROUP BY ALL HAVING count(*) = n),
+cover AS (SELECT share, n, query_id, doc_id, first, min(last) AS last FROM span GROUP BY ALL),
+cd AS (SELECT share, query_id, doc_id, sum(0.1 / (1 + greatest(0, last - first + 1 - n))) AS w FROM cover GROUP BY ALL),
+tf AS (SELECT share, query_id, doc_id, any_value(n) AS n, any_value(len) AS len, sum(s) AS s FROM (SELECT share, query_id, doc_id, grp, any_value(n) AS n, any_value(len) AS len, list_sum(list_transform(range(1, count(*) + 1), lambda j: 1.0::DOUBLE / (j * j))) AS s FROM occ GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+best AS (SELECT query_id, doc_id, round(max(share * greatest(w / (w + 1), 0.1 / 1.64493406685 * s / n / (1 + ln(len)))), 6) AS score FROM tf JOIN cd USING (share, query_id, doc_id) GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rnk::INT AS rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM best) WHERE rnk <= 100""")
+def fulltext_rank(spark, d):
+    """Cover density: any two neighbouring words of a question as a phrase, with any of every other word, without its last
+    word; and all its words."""
+    q = _questions(spark, d)
+    x = q.select("query_id", "text", T.all_tokens(F.col("text")).alias("t"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 2), lambda i: F.concat(F.lit('"'), F.get("t", i - 1), F.lit(" "), F.get("t", i), F.lit('"')))
+    other = F.array_join(F.filter("t", lambda _, i: i % 2 == 1), " or ")
+    raw = F.concat(F.array_join(pairs, " or "), F.lit(" "), other, F.lit(" -"), F.element_at("t", -1))
+    q = x.select("query_id", F.when(F.size("t") > 2, raw).otherwise("").alias("text"), F.col("text").alias("variant"))
+    index = fulltext.add(_docs(spark, d), step_path(spark, "index"))
+    return fulltext.cover_density(q, index, variant_col="variant")
+
+
 _UNIT = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
 
 

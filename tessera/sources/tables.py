@@ -55,9 +55,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table below ``spark.checkpoint.dir``, read back: what reads it holds neither its plan nor its cache.
 
-    For short intermediate results that several steps read. The folder is deleted when the driver ends;
-    on a cluster it has to be set."""
-    spark = df.sparkSession
+    For short intermediate results that several steps read."""
+    path = step_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. What is there is deleted when the driver ends; on a cluster the folder has to be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -67,6 +72,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if path not in _OPEN:
         _OPEN.add(path)
         atexit.register(_delete, spark, path)
-    path = f"{path}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{path}/{name}-{uuid.uuid4().hex[:8]}"
