@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,13 +57,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+_SCOPES: list[list[Table]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written within are deleted at the end, but for those that say ``stays``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for t in _SCOPES.pop():
+            t.drop()
+
+
 class Table:
-    """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more."""
+    """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more. One that ``stays`` outlives
+    the innermost ``scratch`` that it is written in."""
 
-    def __init__(self, spark: SparkSession, df: DataFrame, name: str):
+    def __init__(self, spark: SparkSession, df: DataFrame, name: str, stays: bool = False):
         self.spark, self.path = spark, new_path(spark, name)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        if scopes := _SCOPES[:-1] if stays else _SCOPES:
+            scopes[-1].append(self)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import Table, fresh, row_key, small_batches
+from .common import Table, fresh, row_key, scratch, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -143,6 +143,14 @@ def similar(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, id_co
     return neardup.near_duplicates(spark, docs, id_col, text_col, shingle, similarity, close)
 
 
+def _stays(spark: SparkSession, keyed: DataFrame, found: DataFrame, id_col: str, name: str) -> DataFrame:
+    """(key, copies, stays) of the rows with an id, written: the least (id, key) of each component stays."""
+    of = keyed.where(F.col(id_col).isNotNull()).groupBy(F.col(name).alias("key")).agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("copies"))
+    placed = Table(spark, of.join(found, of.key == found.doc_id).select("key", "id", "copies", "component_id"), "near-placed").df
+    least = placed.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least"))
+    return Table(spark, placed.join(least, "component_id").select("key", "copies", (F.col("key") == F.col("least.key")).alias("stays")), "near-judged", stays=True).df
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **kw) -> DataFrame:
     """``docs`` with the row of the smallest id of each component; all columns stay.
 
@@ -154,11 +162,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     name, num = fresh(docs, "_key"), fresh(docs, "_id")
     keyed = docs.withColumn(name, row_key(id_col, text_col))
     find = near_duplicates if similarity is None else partial(similar, similarity=similarity)
-    found = find(spark, keyed.select(name, text_col), id_col=name, text_col=text_col, **kw).distinct()
-    of = Table(spark, keyed.where(F.col(id_col).isNotNull()).groupBy(F.col(name).alias("key")).agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("copies")), "near-rows").df
-    placed = Table(spark, of.join(found, of.key == found.doc_id).select("key", "id", "copies", "component_id"), "near-placed").df
-    least = placed.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least"))
-    judged = Table(spark, placed.join(least, "component_id").select("key", "copies", (F.col("key") == F.col("least.key")).alias("stays")), "near-judged").df
+    with scratch():
+        judged = _stays(spark, keyed, find(spark, keyed.select(name, text_col), id_col=name, text_col=text_col, **kw).distinct(), id_col, name)
     drop = judged.where("NOT stays").select(F.col("key").alias(num))
     rest = keyed.join(drop, F.col(name) == F.col(num), "left_anti")
     again = judged.where("stays AND copies > 1").select(F.col("key").alias(num))
