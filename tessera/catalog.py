@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import codes as C
+from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, retrieval
@@ -344,10 +345,34 @@ def adaptive_min_score(spark, d):
     return _questions(spark, d).select("query_id", n.alias("n_tokens"), T.adaptive_min_score(n).alias("min_score"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.format("text")}) AS word FROM documents WHERE regexp_full_match(text, '[ -~\\s]*')) WHERE length(word) >= 4 GROUP BY 1),
+r AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS r FROM n), s AS (SELECT word, r FROM r WHERE r <= 400),
+d AS (SELECT CASE WHEN a.r % 5 = 0 THEN a.word || '*' ELSE a.word END AS key, b.word AS synonym FROM s a JOIN s b ON b.r IN (a.r + 1, a.r + 2)),
+q AS (SELECT item_id AS query_id, {NORM.format("text")} AS q FROM benchmark),
+m AS (SELECT query_id, key, synonym, row_number() OVER (PARTITION BY query_id, key ORDER BY synonym) AS k, q,
+ CASE WHEN key LIKE '%*' THEN '(^|[^a-z0-9_])' || replace(key, '*', '') || '[a-z0-9_]*' ELSE '(^|[^a-z0-9_])' || key || '($|[^a-z0-9_])' END AS p FROM q JOIN d ON true WHERE regexp_matches(q, p)),
+v AS (SELECT query_id, 0 AS step, 0 AS len, '' AS key, 0 AS k, q AS text FROM q
+ UNION ALL SELECT query_id, 1, -length(key), key, k, regexp_replace(regexp_replace(q, '([a-z0-9_]+)', ' \\1 ', 'g'), CASE WHEN key LIKE '%*' THEN ' ' || replace(key, '*', '') || '[a-z0-9_]* ' ELSE ' ' || key || ' ' END, ' ' || synonym || ' ', 'g') FROM m),
+c AS (SELECT query_id, step, len, key, k, CASE WHEN step = 0 THEN text ELSE regexp_replace(text, ' ([a-z0-9_]+) ', '\\1', 'g') END AS text FROM v),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY step, len, key, k) = 1)
+SELECT query_id, variant::INT AS variant, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY step, len, key, k) AS variant FROM f) WHERE variant <= 3""")
 def query_expansion(spark, d):
-    synonyms = spark.createDataFrame([("the", "a"), ("and", "plus"), ("de*", "von")], "key string, synonym string")
-    return retrieval.expanded(_questions(spark, d), synonyms)
+    """Questions with a dictionary of 400 keys: frequent words of the plain texts, every fifth as a stem, each with the two next ones."""
+    plain = _docs(spark, d).where(F.col("text").rlike(r"^[ -~\s]*$"))
+    n = plain.select(F.explode(T.all_tokens(F.col("text"))).alias("word")).where("length(word) >= 4").groupBy("word").agg(F.count("*").alias("n"))
+    s = n.orderBy(F.desc("n"), "word").limit(400)
+    s = s.select("word", F.row_number().over(W.orderBy(F.desc("n"), "word")).alias("r"))  # 400 rows
+    other = s.select(F.col("word").alias("synonym"), F.explode(F.array(F.col("r") - 1, F.col("r") - 2)).alias("r"))
+    pairs = s.join(other, "r").select(F.when(F.col("r") % 5 == 0, F.concat("word", F.lit("*"))).otherwise(F.col("word")).alias("key"), "synonym")
+    return retrieval.expanded(_questions(spark, d), pairs)
+
+
+@query()
+def overlap_by_ratio(spark, d):
+    """Share of a question's tokens that the heads of its best documents have, or have alike by their edit ratio."""
+    q = _questions(spark, d)
+    best = retrieval.lexical(q, _docs(spark, d), 10).join(_docs(spark, d).select("doc_id", F.substring("text", 1, retrieval.HEAD_CHARS).alias("head")), "doc_id").join(q, "query_id")
+    return best.select("query_id", "doc_id", F.round(Z.overlap(T.tokens(F.col("text")), T.tokens(F.col("head"))), 6).alias("overlap"))
 
 
 _WORDS = "regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[а-яa-z0-9]+')"

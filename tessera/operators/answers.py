@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 
 # Sizes and thresholds ------------------------------------------------------------------
@@ -69,11 +70,12 @@ def plain_answer(x: Column) -> Column:
     return x
 
 
-def grounding(answers: DataFrame, hits: DataFrame) -> DataFrame:
+def grounding(answers: DataFrame, hits: DataFrame, fuzzy: bool = False) -> DataFrame:
     """(query_id, grounding): the share of an answer's sentences that its sources support.
 
     ``answers`` (query_id, answer), ``hits`` (query_id, rnk, text). A sentence of 20 characters or more is
-    supported if half of its tokens are in the sources, or if it is short and one contains it. 0 without either.
+    supported if half of its tokens are in the sources, or if it is short and one contains it. 0 without either. With ``fuzzy`` an edit ratio to one of the sources that is high enough will do too
+    (``functions.fuzzy.sentence_found``).
     """
     low = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"(?U)\s+", " "))
     src = hits.where(F.col("rnk") <= SOURCES).select("query_id", F.substring(low(F.col("text")), 1, SOURCE_CHARS).alias("s"))
@@ -82,6 +84,8 @@ def grounding(answers: DataFrame, hits: DataFrame) -> DataFrame:
     sent = sent.select("query_id", F.regexp_replace("x", r"^[ \t\n\r\-–—•*]+|[ \t\n\r\-–—•*]+$", "").alias("x"))
     x = sent.where(F.length("x") >= SENTENCE).join(src, "query_id").select("query_id", low(F.col("x")).alias("x"), "src", "stok").withColumn("k", T.tokens(F.col("x")))
     ok = ((F.size("k") > 0) & (T.overlap(F.col("k"), F.col("stok")) >= SHARED)) | ((F.length("x") <= CONTAINED) & F.exists("src", lambda s: F.contains(s, F.col("x"))))
+    if fuzzy:  # only sentences that nothing else supports reach Python
+        ok = ok | Z.sentence_found(F.when(~ok, F.col("x")), F.when(~ok, F.col("src")))
     share = x.groupBy("query_id").agg(F.round(F.avg(ok.cast("int")), 6).alias("grounding"))
     return answers.select("query_id").join(share, "query_id", "left").fillna(0.0, ["grounding"])
 

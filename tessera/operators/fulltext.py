@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.functions import text as T
 from tessera.operators.retrieval import _hashes, _in_blocks, _top
@@ -71,10 +72,14 @@ def add(docs: DataFrame, path: str, batch: int = 0, id_col: str = "doc_id", text
     block = each.groupBy("shard", "term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len", "positions"))).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
     block = block.select("shard", "term", "block", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), F.col("p.positions").alias("positions"), "max_tf", "min_len")
     _put(block.sortWithinPartitions("term", "shard", "block"), f"{path}/blocks", batch)
-    of = spark.read.parquet(f"{path}/blocks").where(F.col("batch") == batch)
+    of = spark.read.schema(_stored(block.schema)).parquet(f"{path}/blocks").where(F.col("batch") == batch)
     _put(of.groupBy("term").agg(F.sum(F.size("docs")).alias("df")), f"{path}/terms", batch)
     _put(rows.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.size("h")), F.lit(0)).alias("total_len")), f"{path}/sizes", batch)
-    return Index(spark, path)
+    return Index(spark, path, kind)
+
+
+def _stored(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("batch", IntegerType())])
 
 
 def _put(df: DataFrame, path: str, batch: int) -> None:
@@ -84,10 +89,13 @@ def _put(df: DataFrame, path: str, batch: int) -> None:
 class Index:
     """A stored index, as it is when this is made."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint"):
         self.spark, self.path = spark, path
-        self.blocks, self.terms = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms")
-        n = spark.read.parquet(f"{path}/sizes").agg(F.sum("n_docs").alias("n"), F.sum("total_len").alias("len")).first()
+        each = f"docs array<{id_type}>, tfs array<int>, lens array<int>, positions array<array<int>>"
+        read = lambda name, schema: spark.read.schema(f"{schema}, batch int").parquet(f"{path}/{name}")
+        self.blocks = read("blocks", f"shard int, term long, block int, {each}, max_tf int, min_len int")
+        self.terms = read("terms", "term long, df long")
+        n = read("sizes", "n_docs long, total_len long").agg(F.sum("n_docs").alias("n"), F.sum("total_len").alias("len")).first()
         self.n_docs, self.mean_len = n["n"] or 0, (n["len"] or 0) / max(n["n"] or 0, 1) or 1.0
 
     def counts(self, wanted: DataFrame) -> DataFrame:

@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import synonyms as Y
 
 # Depths, weights and gates of the ranking --------------------------------------------
 DEPTH = {"vec": 100, "fts": 100, "trgm": 60}
@@ -469,18 +471,22 @@ def expanded(queries: DataFrame, synonyms: DataFrame | None = None, most: int =
     """(query_id, variant, text): the normalized query, then with synonyms (longest key first; ``stem*`` keys
     match beginnings), then two paraphrases; distinct, at most ``most``.
 
-    ``synonyms`` (key, synonym); a query joins only the keys that share a word's first three letters with it.
+    ``synonyms`` (key, synonym): up to BROADCAST_ROWS of them make an automaton that finds all keys in one pass; of a larger
+    dictionary a query joins only the keys that share a word's first three letters with it.
     """
     q = queries.select("query_id", T.normalize_query(F.coalesce("text", F.lit(""))).alias("q"))
     out = q.select("query_id", F.lit(0).alias("step"), F.lit(0).alias("len"), F.lit("").alias("key"), F.lit(0).alias("n"), F.col("q").alias("text"))
     if synonyms is not None:
-        s = synonyms.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("synonym")))
-        s = s.select("key", "n", "synonym", F.substring("key", 1, 3).alias("block"), F.regexp_replace("key", r"\*$", "").alias("stem"), F.endswith("key", F.lit("*")).alias("open"))
-        words = q.select("query_id", "q", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(r"(?U)\w+"), 0), lambda w: F.substring(w, 1, 3)))).alias("block"))
-        m = words.join(_small(s), "block")
-        word = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("stem"), F.lit(r"\E"), F.when(F.col("open"), r"\w*").otherwise(r"(?!\w)"))
-        m = m.where(F.regexp_like("q", word))
-        out = out.unionByName(m.select("query_id", F.lit(1).alias("step"), (-F.length("key")).alias("len"), "key", "n", F.regexp_replace("q", word, T.normalize_query(F.col("synonym"))).alias("text")))
+        s = synonyms.where("key IS NOT NULL AND synonym IS NOT NULL").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("synonym"))).withColumn("synonym", T.normalize_query(F.col("synonym")))
+        rows = s.select("key", "n", "synonym").limit(BROADCAST_ROWS + 1).collect()
+        if len(rows) <= BROADCAST_ROWS:
+            m = Y.substituted(q, rows)
+        else:
+            s = s.select("key", "n", "synonym", F.substring("key", 1, 3).alias("block"), F.regexp_replace("key", r"\*$", "").alias("stem"), F.endswith("key", F.lit("*")).alias("open"))
+            words = q.select("query_id", "q", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(r"(?U)\w+"), 0), lambda w: F.substring(w, 1, 3)))).alias("block"))
+            word = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("stem"), F.lit(r"\E"), F.when(F.col("open"), r"\w*").otherwise(r"(?!\w)"))
+            m = words.join(s, "block").where(F.regexp_like("q", word)).select("query_id", "key", "n", F.regexp_replace("q", word, F.col("synonym")).alias("text"))
+        out = out.unionByName(m.select("query_id", F.lit(1).alias("step"), (-F.length("key")).alias("len"), "key", "n", "text"))
     same = [F.lit(0).alias("len"), F.lit("").alias("key"), F.lit(0).alias("n")]
     out = out.unionByName(q.where(F.startswith("q", F.lit("как "))).select("query_id", F.lit(2).alias("step"), *same, F.concat(F.lit("каким образом "), F.expr("substring(q, 5)")).alias("text")))
     out = out.unionByName(q.where(F.contains("q", F.lit("что делать"))).select("query_id", F.lit(3).alias("step"), *same, F.replace(F.col("q"), F.lit("что делать"), F.lit("пошагово")).alias("text")))
@@ -497,11 +503,13 @@ def vocabulary(*columns: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def typos_fixed(queries: DataFrame, vocab: DataFrame, most: int = 2) -> DataFrame:
+def typos_fixed(queries: DataFrame, vocab: DataFrame, most: int = 2, by_ratio: bool = False) -> DataFrame:
     """(query_id, text): words of five letters or more that the vocabulary lacks become its closest word.
 
     Candidates share what is left after up to ``most`` deletions from either, as any two words within
-    ``most`` edits do; the fewest edits win, then the alphabet.
+    ``most`` edits do; the fewest edits win, then the alphabet. ``by_ratio`` takes the candidate of the greatest edit
+    ratio instead, if that is TYPO_SCORE or more: words of like length that reach it are two deletions apart at most up to a
+    length of 12 (for longer words raise ``most``).
     """
     w = queries.select("query_id", F.posexplode(F.regexp_extract_all(F.translate(F.lower("text"), "ё", "е"), F.lit("[а-яa-z0-9]+"), 0)).alias("pos", "w"))
     odd = w.join(vocab.withColumnRenamed("word", "w"), "w", "left_anti").where((F.length("w") >= 5) & ~F.col("w").rlike("^[0-9]+$")).select("w").distinct()
@@ -517,7 +525,11 @@ def typos_fixed(queries: DataFrame, vocab: DataFrame, most: int = 2) -> DataFram
 
     words = vocab.where(F.length("word") >= 5 - most)
     cand = odd.select("w", F.explode(keys("w")).alias("k")).join(words.select("word", F.explode(keys("word")).alias("k")), "k").select("w", "word").distinct()
-    near = cand.select("w", "word", F.levenshtein("w", "word", most).alias("d")).where("d >= 0").groupBy("w").agg(F.min(F.struct("d", "word")).alias("m"))
+    if by_ratio:
+        near = cand.select("w", "word", (-Z.word_score_of(F.col("w"), F.col("word"))).alias("d")).where(F.col("d") <= -Z.TYPO_SCORE)
+    else:
+        near = cand.select("w", "word", F.levenshtein("w", "word", most).alias("d")).where("d >= 0")
+    near = near.groupBy("w").agg(F.min(F.struct("d", "word")).alias("m"))
     fixed = w.join(near.select("w", F.col("m.word").alias("fix")), "w", "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("fix", "w").alias("w")))).alias("x"))
     return fixed.select("query_id", F.array_join(F.transform("x", lambda p: p.w), " ").alias("text"))
 

@@ -6,25 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import answers, context, labels, retrieval
+from tessera.operators import synonyms as Y
 from tessera.sources.tables import written
 
 
-def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, min_score: float | None = None, rerank: bool = True, diversify: bool = True, context_window: int = 0, label_filters: list[dict] = (), bridge: DataFrame | None = None, wanted: DataFrame | None = None, expand: bool = True, synonyms: DataFrame | None = None, fuzzy: bool = False) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, min_score: float | None = None, rerank: bool = True, diversify: bool = True, context_window: int = 0, label_filters: list[dict] = (), bridge: DataFrame | None = None, wanted: DataFrame | None = None, expand: bool = True, synonyms: DataFrame | None = None, fuzzy: bool | str = False) -> DataFrame:
     """(query_id, rnk, id, book, section, page, text, score, vec, fts, trgm, rerank, importance, is_parent).
 
     ``queries`` (query_id, text); ``chunks`` as ``plans.ingest`` makes them, with ``emb`` for vectors. Filters
     apply before any list is cut. ``embed`` is the query embedder that the chunks were embedded with; without
     it there is no vector list. ``min_score`` None adapts to each query. ``fuzzy`` lets the gate
-    of trigram hits count misspelt tokens. Lists, pools and hits, a few hundred
+    of trigram hits count misspelt tokens, within an edit or two or, with "ratio", by their edit ratio. ``synonyms``
+    (key, synonym) expand the queries; None takes the library's own. Lists, pools and hits, a few hundred
     rows a query, are written (``sources.tables.written``), so that no step's plan holds another's.
     """
     for f in label_filters:
         chunks = labels.having(chunks, bridge, f["ns"], f.get("code"), f.get("prefix"), "id")
     queries = queries.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
     queries = written(queries, "queries")
+    synonyms = Y.table(queries.sparkSession) if synonyms is None else synonyms
     variants = written(retrieval.expanded(queries, synonyms), "variants") if expand else queries.select("query_id", F.lit(1).alias("variant"), T.normalize_query(F.col("text")).alias("text"))
     # each variant is a query of its own until the best score of each document is taken
     v = variants.select(F.struct("query_id", "variant").alias("query_id"), "text")
@@ -43,7 +47,8 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     wide = lists.groupBy("query_id", "doc_id").pivot("signal", ["vec", "fts", "trgm"]).agg(F.max("score"))
     x = written(wide.join(info, "doc_id").join(queries.withColumnRenamed("text", "q"), "query_id"), "candidates")
     head = F.concat_ws(" ", "section", F.substring("text", 1, retrieval.HEAD_CHARS))
-    overlaps = x.select("query_id", "doc_id", (T.fuzzy_overlap if fuzzy else T.overlap)(T.tokens(T.normalize(F.col("q"))), T.tokens(head)).alias("overlap"))
+    near = (lambda a, b: Z.overlap(a, b, Z.GATE_EASE)) if fuzzy == "ratio" else T.fuzzy_overlap if fuzzy else T.overlap
+    overlaps = x.select("query_id", "doc_id", near(T.tokens(T.normalize(F.col("q"))), T.tokens(head)).alias("overlap"))
     want = max(80, 6 * top_k)
     pool = retrieval.topped_up(retrieval.gated(lists, queries, overlaps, want), lists, want)
     x = pool.join(x, ["query_id", "doc_id"])
@@ -82,7 +87,7 @@ def answer(queries: DataFrame, chunks: DataFrame, answerer=None, **kw) -> DataFr
     if answerer is not None:
         q = q.withColumn("answer", answerer(F.col("text"), F.col("context")))
     q = q.withColumn("answer", F.when(F.col("in_domain") & ~F.col("chat"), F.col("answer")))
-    g = answers.grounding(q.select("query_id", "answer"), hits.select("query_id", "rnk", "text"))
+    g = answers.grounding(q.select("query_id", "answer"), hits.select("query_id", "rnk", "text"), fuzzy=kw.get("fuzzy") == "ratio")
     q = q.join(g, "query_id")
     c = answers.confidence(hits.select("query_id", "rnk", "score"), q.select("query_id", "answer", "grounding"))
     cites = answers.citations(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "book", "section", "page", "relevance", "is_parent"))).alias("citations"))
