@@ -18,7 +18,7 @@ from tessera.functions import codes as C
 from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, retrieval
+from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, neighbours, retrieval
 from tessera.operators import classify_tables as R
 from tessera.plans import ingest as I
 from tessera.plans import search as S
@@ -215,6 +215,14 @@ def vector_topk(spark, d):
     return retrieval.vector(q, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 10)
 
 
+@query()
+def indexed_neighbours(spark, d):
+    """Neighbours from lists around centroids; a test measures the recall."""
+    e = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    lists = neighbours.build(e, step_path(spark, "lists"))
+    return lists.nearest(e.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), 10)
+
+
 @query(f"""WITH e AS ({_UNIT}), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.v, b.v), 6) AS sim, a.label = b.label AS same,
  CASE WHEN a.label % 3 = b.label % 3 THEN 0.15 WHEN a.label % 3 = 0 OR b.label % 3 = 0 THEN 0.05 ELSE 0.0 END AS sec FROM e a, e b WHERE a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (1 - sim) - CASE WHEN same THEN 0.05 ELSE 0.0 END, doc_id) AS n FROM s),

@@ -10,7 +10,6 @@ Elsewhere small sides are broadcast below ``BROADCAST_ROWS`` (counted), and join
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import synonyms as Y
+from tessera.sources.tables import written
 
 # Depths, weights and gates of the ranking --------------------------------------------
 DEPTH = {"vec": 100, "fts": 100, "trgm": 60}
@@ -34,7 +34,7 @@ HEAD_CHARS = 420
 # --------------------------------------------------------------------------------------------------
 
 BROADCAST_ROWS = 200_000
-BLOCK, ROWS = 500, 256
+BLOCK, ROWS, TERMS = 500, 256, 50_000
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -51,31 +51,55 @@ def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
 # Block products -----------------------------------------------------------------------------------
 
 
-def _blocks(queries: DataFrame, most: int = BLOCK) -> Iterator[list]:
-    rows = queries.toLocalIterator()
-    while block := list(islice(rows, most)):
+def _blocks(queries: DataFrame, most: int = BLOCK, terms: int = TERMS) -> Iterator[list]:
+    """Up to ``most`` queries that have about ``terms`` terms together (one query at least)."""
+    block, size = [], 0
+    for r in queries.toLocalIterator():
+        n = len(r["h"]) if "h" in r.asDict() else 0
+        if block and (len(block) >= most or size + n > terms):
+            yield block
+            block, size = [], 0
+        block.append(r)
+        size += n
+    if block:
         yield block
 
 
-def _terms(block: list) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct hashes of a block's (query_id, h), and a matrix of ones: hashes x queries."""
-    vocab = np.unique(np.concatenate([np.asarray(r["h"], np.int64) for r in block] or [np.zeros(0, np.int64)]))
-    ones = np.zeros((len(vocab), len(block)))
-    for j, r in enumerate(block):
-        ones[np.searchsorted(vocab, np.asarray(r["h"], np.int64)), j] = 1
-    return vocab, ones
-
-
-def _matrix(lists: pa.Array, vocab: np.ndarray) -> np.ndarray:
-    """Counts of the block's hashes in each row's list: rows x hashes."""
-    out = np.zeros((len(lists), len(vocab)))
-    if len(vocab):
-        at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        h = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        spot = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-        hit = vocab[spot] == h
-        np.add.at(out, (at[hit], spot[hit]), 1)
-    return out
+class _Vocabulary:
+    """Ascending distinct hashes of a block's queries (each r["h"], distinct), and which queries have each."""
+
+    def __init__(self, block: list):
+        lists = [np.unique(np.asarray(r["h"], np.int64)) for r in block]
+        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        flat = np.concatenate(lists or [np.zeros(0, np.int64)])
+        order = np.lexsort((of, flat))
+        self.queries = of[order]
+        self.hashes, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.sizes = np.array([len(x) for x in lists], float)
+
+    def hits(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of the hash, times) of what rows have of the vocabulary, by row."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        hit = self.hashes[spot] == h
+        key, times = np.unique(row[hit] * len(self.hashes) + spot[hit], return_counts=True)
+        return key // len(self.hashes), key % len(self.hashes), times.astype(float)
+
+    def spread(self, row: np.ndarray, spot: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of weights, and counts of hits, as matrices rows x queries: a step for each hit and query that has it."""
+        n = self.first[spot + 1] - self.first[spot]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[spot], n)
+        cell = np.repeat(row, n) * len(self.sizes) + self.queries[at]
+        shape = (rows, len(self.sizes))
+        return np.bincount(cell, np.repeat(weight, n), minlength=rows * shape[1]).reshape(shape), np.bincount(cell, minlength=rows * shape[1]).reshape(shape)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a list column, their rows, and the lists' lengths."""
+    n = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), n
 
 
 def _best(rows: DataFrame, block: list, kind: str, k: int, score: Callable) -> DataFrame:
@@ -121,39 +145,33 @@ def _hashes(terms: Column) -> Column:
 # Lexical ------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf, doc_len): an inverted index, ready to be written by term."""
-    t = docs.select(F.col(id_col).alias("doc_id"), T.all_tokens(F.col(text_col)).alias("t"))
-    return t.select("doc_id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.max("doc_len").alias("doc_len"))
-
-
 def lexical(queries: DataFrame, docs: DataFrame, k: int = 10, match_all: bool = False, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query_id, doc_id, score, rnk): BM25 of query terms over documents. Terms are compared by 64 bits of hash.
 
-    A first pass counts the documents, their lengths and those that have each term of the queries; the
-    second one scores. With ``match_all``, documents that lack a term of the query are left out.
+    The documents are tokenized once, into a table of hashes; a pass over it counts the documents, their lengths
+    and those that have each term of the queries, and one for each block of queries scores, by the terms that a row and a
+    query share. With ``match_all``, documents that lack a term of the query are left out.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), _hashes(T.all_tokens(F.col(text_col))).alias("h"))
+    d = written(docs.select(F.col(id_col).alias("doc_id"), _hashes(T.all_tokens(F.col(text_col))).alias("h")), "tokens")
     q = queries.select("query_id", _hashes(T.tokens(F.col("text"))).alias("h")).where(F.size("h") > 0)
     kinds = dict(d.dtypes) | dict(q.dtypes)
+    whole = d.agg(F.count("*").alias("n"), F.avg(F.size("h")).alias("len")).first()
+    mean = whole["len"] or 1.0
 
     def one(block: list) -> DataFrame:
-        vocab, ones = _terms(block)
-        want = docs.sparkSession.createDataFrame([(int(h),) for h in vocab], "term long")
-        each = d.select(F.explode(F.array_distinct("h")).alias("term"))
-        counted = each.join(F.broadcast(want), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))  # terms of one block
-        df = {r["term"]: r["df"] for r in counted.collect()}
-        whole = d.agg(F.count("*").alias("n"), F.avg(F.size("h")).alias("len")).first()
-        have = np.array([df.get(int(h), 0) for h in vocab], float)
-        weight = np.log(1 + (whole["n"] - have + 0.5) / (have + 0.5))[:, None] * ones
-        mean, need = whole["len"] or 1.0, ones.sum(axis=0)
+        vocab = _Vocabulary(block)
+        want = docs.sparkSession.createDataFrame([(int(h),) for h in vocab.hashes], "term long")
+        each = d.select(F.explode("h").alias("term"), "doc_id").join(F.broadcast(want), "term", "left_semi").distinct()
+        df = {r["term"]: r["df"] for r in each.groupBy("term").agg(F.count("*").alias("df")).collect()}  # terms of one block
+        have = np.array([df.get(int(h), 0) for h in vocab.hashes], float)
+        idf = np.log(1 + (whole["n"] - have + 0.5) / (have + 0.5))
 
         def score(part: pa.RecordBatch) -> np.ndarray:
-            tf = _matrix(part.column("h"), vocab)
-            size = np.diff(part.column("h").offsets.to_numpy())[:, None]
-            s = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean) + (tf == 0))) @ weight
-            met = (tf > 0).astype(float) @ ones
-            return np.where(met == need if match_all else met > 0, s, -np.inf)
+            h, row, size = _flat(part.column("h"))
+            row, spot, tf = vocab.hits(h, row)
+            weight = idf[spot] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean))
+            s, met = vocab.spread(row, spot, weight, part.num_rows)
+            return np.where(met == vocab.sizes if match_all else met > 0, s, -np.inf)
 
         return _best(d, block, kinds["query_id"], k, score)
 
@@ -275,23 +293,59 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substr(w, i, F.lit(3))))))
 
 
+def _spaced(x: Column) -> Column:
+    """A normalized text's words, each with two blanks before and one after."""
+    return F.concat(F.lit("  "), F.trim(F.regexp_replace(T.normalize(x), r"(?U)[^\w]+", "   ")), F.lit(" "))
+
+
+def _codes(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of ``_spaced`` texts as numbers (three code points of 21 bits), their rows, and how many each row has."""
+    texts = [t or "" for t in spaced.to_pylist()]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), size)
+    if len(c) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    code = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    within = (row[:-2] == row[2:]) & ~((c[1:-1] == 32) & (c[2:] == 32))  # not from one word to the next
+    code, row = code[within], row[:-2][within]
+    order = np.lexsort((code, row))
+    code, row = code[order], row[order]
+    new = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])) if len(code) else np.zeros(0, bool)
+    return code[new], row[new], np.bincount(row[new], minlength=len(texts))
+
+
 def trigram(queries: DataFrame, docs: DataFrame, k: int = 60, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """(query_id, doc_id, score, rnk): Jaccard similarity of trigram sets, compared by 64 bits of hash.
+    """(query_id, doc_id, score, rnk): Jaccard similarity of trigram sets.
 
-    Queries under three characters have no list. With ``threshold`` only rows that reach it.
+    Queries under three characters have no list. With ``threshold`` only rows that reach it; rows that are too
+    long or too short for every query of a block aren't compared then.
     """
-    q = queries.where(F.length("text") >= 3).select("query_id", _hashes(trigrams(F.col("text"))).alias("h"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(_hashes(trigrams(F.col(text_col))), F.array().cast("array<bigint>")).alias("h"))
-    kind = dict(q.dtypes)["query_id"]
+    q = queries.where(F.length("text") >= 3).select("query_id", _spaced(F.col("text")).alias("s"))
+    q = q.withColumn("h", F.udf(lambda s: _codes(pa.array([s]))[0].tolist(), "array<bigint>")("s")).select("query_id", "h")
+    d = docs.select(F.col(id_col).alias("doc_id"), _spaced(F.col(text_col)).alias("h"))
+    kind, least = dict(q.dtypes)["query_id"], (threshold or 0) - 1e-6
 
     def one(block: list) -> DataFrame:
-        vocab, ones = _terms(block)
-        size = ones.sum(axis=0)
+        vocab = _Vocabulary(block)
+        ones = np.zeros((len(vocab.hashes), len(block)), np.float32)
+        ones[np.repeat(np.arange(len(vocab.hashes)), np.diff(vocab.first)), vocab.queries] = 1
+        short, long = vocab.sizes.min(initial=np.inf) * least, vocab.sizes.max(initial=0) / max(least, 1e-9)
 
         def score(part: pa.RecordBatch) -> np.ndarray:
-            met = _matrix(part.column("h"), vocab) @ ones
-            s = met / np.maximum(size + np.diff(part.column("h").offsets.to_numpy())[:, None] - met, 1)
-            return np.where((met > 0) & (s >= (threshold or 0) - 1e-6), s, -np.inf)
+            code, row, n = _codes(part.column("h"))
+            met = np.zeros((part.num_rows, len(block)))
+            fits = np.flatnonzero((n >= short) & (n <= long)) if threshold else np.arange(part.num_rows)
+            if len(fits) and len(vocab.hashes):
+                place = np.full(part.num_rows, -1)
+                place[fits] = np.arange(len(fits))
+                stays = place[row] >= 0
+                at, spot, _ = vocab.hits(code[stays], place[row[stays]])
+                have = np.zeros((len(fits), len(vocab.hashes)), np.float32)
+                have[at, spot] = 1
+                met[fits] = have @ ones  # counts below 2^24 are exact
+            s = met / np.maximum(vocab.sizes + n[:, None] - met, 1)
+            return np.where((met > 0) & (s >= least), s, -np.inf)
 
         return _best(d, block, kind, k, score)
 
