@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codes as C
 from tessera.functions import fuzzy as Z
+from tessera.functions import meta
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, neighbours, retrieval
@@ -103,18 +104,41 @@ def doc_keywords(spark, d):
     return documents.keywords(_docs(spark, d))
 
 
-@query("""SELECT doc_id, least(10 + CASE WHEN regexp_matches(text, '(?m)^\\s*[-•*]\\s+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)```|^\\s{4,}\\S') THEN 3 ELSE 0 END
- + CASE WHEN length(text) - length(replace(text, '|', '')) > 5 THEN 3 ELSE 0 END, 20) / 10.0::DOUBLE AS importance FROM documents""")
+#: What a text's first words say, so that rules about Russian words have something to find.
+NOTES = [
+    "Важно: проверьте параметр", "Внимание! Это обязательно и критично", "Примечание и замечание", "Рекомендация: пример", "Дополнительно: справка", "Настройка, установка и конфигурация",
+    "Ошибка, проблема, решение", "Функция, метод, свойство, параметр", "Алгоритм и процедура", "Шаг и действие: нажмите", "Модуль, компонент", "Версия 3.1 от 01.02.2020", "Релиз 7.5", "Version 2.0 of 2021-03-04", "v1.2",
+]
+_NOTED = f"(SELECT doc_id, ([{', '.join(repr(n) for n in NOTES)}])[doc_id % {len(NOTES)} + 1] || '. ' || text AS text FROM documents)"
+
+
+def _noted(spark, d):
+    """Documents whose texts begin with a note."""
+    note = F.element_at(F.array(*map(F.lit, NOTES)), (F.col("doc_id") % len(NOTES) + 1).cast("int"))
+    return _docs(spark, d).withColumn("text", F.concat(note, F.lit(". "), "text"))
+
+
+_TERMS = "important 3 важно внимание обязательно критично ошибка проблема решение, middle 2 примечание замечание рекомендация настройка конфигурация параметр алгоритм процедура функция, low 1 пример дополнительно справка"
+_TERM_SUM = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {part.split()[1]} ELSE 0 END" for part in _TERMS.split(", ") for w in part.split()[2:])
+
+
+@query(f"""SELECT doc_id, least(10 + {_TERM_SUM} + CASE WHEN regexp_matches(text, '(?m)^\\s*[-•*]\\s+') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '(?m)```|^\\s{{4,}}\\S') THEN 3 ELSE 0 END
+ + CASE WHEN length(text) - length(replace(text, '|', '')) > 5 THEN 3 ELSE 0 END, 20) / 10.0::DOUBLE AS importance FROM {_NOTED}""")
 def importance_score(spark, d):
-    return documents.importance(_docs(spark, d))
+    return documents.importance(_noted(spark, d))
+
 
+def _two_of(words: str) -> str:
+    return " + ".join(f"contains(lower(left(text, 3000)), '{w}')::INT" for w in words.split()) + " >= 2"
 
-@query("""SELECT doc_id, coalesce(nullif(regexp_extract(left(text, 1000), '(?i)v([\\d.]+)', 1), ''), nullif(regexp_extract(left(text, 1000), '(?i)Version\\s*([\\d.]+)', 1), '')) AS version,
- CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN regexp_extract(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN regexp_extract(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') ELSE nullif(regexp_extract(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}'), '') END AS date,
- CASE WHEN regexp_matches(left(text, 1000), '\\d{2}\\.\\d{2}\\.\\d{4}') THEN 'dd.mm.yyyy' WHEN regexp_matches(left(text, 1000), '\\d{4}-\\d{2}-\\d{2}') THEN 'yyyy-mm-dd' WHEN regexp_matches(left(text, 1000), '\\d{2}/\\d{2}/\\d{4}') THEN 'dd/mm/yyyy' END AS date_format,
- NULL::VARCHAR AS doc_type FROM documents""")
+
+@query(f"""SELECT doc_id, coalesce(nullif(regexp_extract(left(text, 1000), '(?i)версия\\s*([\\d.]+)', 1), ''), nullif(regexp_extract(left(text, 1000), '(?i)v([\\d.]+)', 1), ''),
+  nullif(regexp_extract(left(text, 1000), '(?i)Version\\s*([\\d.]+)', 1), ''), nullif(regexp_extract(left(text, 1000), '(?i)релиз\\s*([\\d.]+)', 1), '')) AS version,
+ CASE WHEN regexp_matches(left(text, 1000), '\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}') THEN regexp_extract(left(text, 1000), '\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}') WHEN regexp_matches(left(text, 1000), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN regexp_extract(left(text, 1000), '\\d{{4}}-\\d{{2}}-\\d{{2}}') ELSE nullif(regexp_extract(left(text, 1000), '\\d{{2}}/\\d{{2}}/\\d{{4}}'), '') END AS date,
+ CASE WHEN regexp_matches(left(text, 1000), '\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}') THEN 'dd.mm.yyyy' WHEN regexp_matches(left(text, 1000), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'yyyy-mm-dd' WHEN regexp_matches(left(text, 1000), '\\d{{2}}/\\d{{2}}/\\d{{4}}') THEN 'dd/mm/yyyy' END AS date_format,
+ CASE WHEN {_two_of("настройка установка конфигурация")} THEN 'руководство' WHEN {_two_of("функция метод параметр свойство")} THEN 'справочник' WHEN {_two_of("шаг действие выполните нажмите")} THEN 'инструкция' WHEN {_two_of("модуль компонент архитектура структура")} THEN 'описание' END AS doc_type FROM {_NOTED}""")
 def version_date_extract(spark, d):
-    return documents.metadata(_docs(spark, d))
+    return documents.metadata(_noted(spark, d))
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -347,10 +371,18 @@ def mmr_diversify(spark, d):
     return retrieval.mmr(pool.select("query_id", "doc_id", F.col("rnk").alias("pos"), "vec", "query_vec", "group"), 10)
 
 
-@query("SELECT item_id AS query_id, n AS n_tokens, CASE WHEN n <= 2 THEN 0.35 WHEN n <= 4 THEN 0.25 ELSE 0.15 END::DOUBLE AS min_score FROM (SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[а-яёa-z0-9]{3,}')))::INT AS n FROM benchmark)")
+ASKED = ["расскажи про склад", "склады и склада", "покажите накладную поставщика", "как провести возврат товаров покупателями", "дай отчеты, отчетами и отчетов"]
+_STEMS = "list_distinct(list_transform(list_filter({0}, lambda t: t NOT IN ('про', 'обо', 'расскажи', 'расскажите', 'подскажи', 'подскажите', 'покажи', 'покажите', 'пожалуйста', 'дай', 'дайте')), lambda t: regexp_replace(t, '^(.{{4,60}}?)(ами|ями|ов|ев|ёв|ей|ёй|ою|ею|ом|ем|ах|ях|ам|ям|у|ю|а|я|е|и|о|ы)$', '\\1')))"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, ([{', '.join(repr(a) for a in ASKED)}])[item_id % {len(ASKED)} + 1] || CASE WHEN item_id % 2 = 0 THEN '' ELSE ' ' || text END AS text FROM benchmark)
+SELECT query_id, n AS n_tokens, CASE WHEN n <= 2 THEN 0.35 WHEN n <= 4 THEN 0.25 ELSE 0.15 END::DOUBLE AS min_score FROM (SELECT query_id, len({_STEMS.format("regexp_extract_all(replace(lower(text), 'ё', 'е'), '[а-яёa-z0-9]{3,}')")})::INT AS n FROM q)""")
 def adaptive_min_score(spark, d):
-    n = F.size(T.tokens(F.col("text")))
-    return _questions(spark, d).select("query_id", n.alias("n_tokens"), T.adaptive_min_score(n).alias("min_score"))
+    """Short questions, and questions that go on with a whole text, by their stemmed tokens."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("query_id") % len(ASKED) + 1).cast("int"))
+    q = _questions(spark, d).withColumn("text", F.concat(asked, F.when(F.col("query_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "text"))))
+    n = F.size(T.stem_tokens(F.col("text")))
+    return q.select("query_id", n.alias("n_tokens"), T.adaptive_min_score(n).alias("min_score"))
 
 
 @query(f"""WITH n AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.format("text")}) AS word FROM documents WHERE regexp_full_match(text, '[ -~\\s]*')) WHERE length(word) >= 4 GROUP BY 1),
@@ -815,6 +847,34 @@ def highlight_words(spark, d):
     return _questions(spark, d).select("query_id", T.highlights(F.array("text")).alias("words"))
 
 
-@query("SELECT conv_id, turn, 'general' AS question_type, trim(text) = '' OR (regexp_matches(trim(text), '(?i)^(hi|hello|hey)\\b') AND len(regexp_extract_all(regexp_replace(trim(text), '(?i)^(hi|hello|hey)\\b', ''), '[A-Za-z0-9]+')) <= 1) AS smalltalk FROM conversations")
+OPENINGS = ["Как настроить", "ОШИБКА печати", "Что такое", "Список", "Сравни", "Привет", "", "Почему это так", "Выбрать", "Каким образом", "Здравствуйте", "Принцип и функции"]
+_GREETS = "привет|здравств|добро(е|й)|hi|hello|hey"
+_ANY = lambda words: "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in words.split(",")) + ")"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, ([{', '.join(repr(o) for o in OPENINGS)}])[(conv_id + turn) % {len(OPENINGS)} + 1] || CASE WHEN (conv_id + turn) % {len(OPENINGS)} = 5 THEN ' друг' ELSE ' ' || text END AS x FROM conversations)
+SELECT conv_id, turn, CASE WHEN {_ANY("как,каким образом,способ,настроить,установить,создать")} THEN 'howto' WHEN {_ANY("ошибка,проблема,не работает,исправить,решение,почему")} THEN 'troubleshoot' WHEN {_ANY("что такое,объясни,зачем,принцип,различие")} THEN 'explain'
+  WHEN {_ANY("список,параметры,функции,методы,свойства,команды")} THEN 'reference' WHEN {_ANY("сравни,отличие,разница,лучше,выбрать,или")} THEN 'compare' ELSE 'general' END AS question_type,
+ trim(x) = '' OR (regexp_matches(trim(x), '(?i)^\\s*({_GREETS})($|[^\\pL\\pM\\pN_])') AND len(regexp_extract_all(regexp_replace(trim(x), '(?i)^\\s*({_GREETS})', ''), '[A-Za-zА-Яа-яЁё0-9]+(?:-[A-Za-zА-Яа-яЁё0-9]+)?')) <= 1) AS smalltalk FROM c""")
 def question_type(spark, d):
-    return load(spark, d, "conversations").select("conv_id", "turn", T.question_type(F.col("text")).alias("question_type"), T.is_smalltalk(F.col("text")).alias("smalltalk"))
+    """Turns that open in a way that says what is asked for; every twelfth is a greeting alone."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(OPENINGS))).cast("int")
+    x = load(spark, d, "conversations").withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, OPENINGS)), k + 1), F.when(k == 5, " друг").otherwise(F.concat(F.lit(" "), "text"))))
+    return x.select("conv_id", "turn", T.question_type(F.col("text")).alias("question_type"), T.is_smalltalk(F.col("text")).alias("smalltalk"))
+
+
+@query("""WITH k AS (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events)
+SELECT key, count(*) AS n, count(TRY_CAST(json_extract(props, '$.' || key) AS DOUBLE)) AS n_numbers, round(avg(TRY_CAST(json_extract(props, '$.' || key) AS DOUBLE)), 6) AS mean FROM k GROUP BY key""")
+def meta_by_key(spark, d):
+    """The keys of the events' properties, and the means of their numbers."""
+    return meta.by_key(load(spark, d, "events"), "props")
+
+
+@query("""SELECT event_id, '{"k":' || CASE WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE json_extract_string(props, '$.k') END || ',"type":"' || event_type || '"}' AS merged,
+ CASE WHEN event_id % 3 = 0 THEN event_id ELSE json_extract_string(props, '$.k')::BIGINT END AS k FROM events""")
+def meta_merged(spark, d):
+    """Properties with the event's kind merged in, and another value for the key of every third."""
+    more = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_id").alias("k"), F.col("event_type").alias("type")))).otherwise(F.to_json(F.struct(F.col("event_type").alias("type"))))
+    x = load(spark, d, "events").select("event_id", meta.merged(F.col("props"), more).alias("merged"))
+    return x.select("event_id", "merged", meta.probe(F.col("merged"), "$.k", "bigint").alias("k"))
+
