@@ -19,12 +19,13 @@ from tessera.functions import fuzzy as Z
 from tessera.functions import meta
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.functions.binding import bound
 from tessera.operators import analytics, answers, chunking, classify, context, documents, fulltext, labels, neighbours, retrieval
 from tessera.operators import classify_tables as R
 from tessera.plans import ingest as I
 from tessera.plans import search as S
 from tessera.sources import files
-from tessera.sources.tables import load, step_path
+from tessera.sources.tables import load, step_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -288,7 +289,7 @@ def _lists(spark, d):
     q = _questions(spark, d)
     lex = retrieval.lexical(q, _docs(spark, d), 100).select("query_id", F.lit("fts").alias("signal"), "doc_id", "score")
     tri = retrieval.trigram(q, _docs(spark, d), 60).select("query_id", F.lit("trgm").alias("signal"), "doc_id", "score")
-    return retrieval.ranked(lex.unionByName(tri))
+    return written(retrieval.ranked(lex.unionByName(tri)), "lists")  # read more than once
 
 
 _RRF = f"""
@@ -554,8 +555,8 @@ def retag_band(spark, d):
 (SELECT l_orderkey AS id, l_linenumber AS line, lpad((10 + l_partkey % 80)::VARCHAR, 2, '0') || '.' || lpad((l_suppkey % 90)::VARCHAR, 2, '0') || '.' || (l_linenumber)::VARCHAR AS code FROM lineitem)""")
 def code_breadcrumbs(spark, d):
     x = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.concat_ws(".", F.lpad((10 + F.col("l_partkey") % 80).cast("string"), 2, "0"), (F.col("l_suppkey") % 90).cast("string"), F.col("l_linenumber").cast("string")).alias("raw"))
-    code = C.canonical_code(F.col("raw"))
-    return x.select("id", "line", code.alias("code"), F.array_join(C.breadcrumbs(code), "/").alias("path"))
+    x = bound(x, code=C.canonical_code(F.col("raw")))  # once, not in each of its ancestors
+    return x.select("id", "line", "code", F.array_join(C.breadcrumbs(F.col("code")), "/").alias("path"))
 
 
 @query("""WITH i AS (SELECT s_suppkey AS id, lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') || '.' || lpad((s_nationkey)::VARCHAR, 2, '0') || '.' || lpad((s_suppkey % 7)::VARCHAR, 2, '0') AS code FROM supplier),
@@ -847,6 +848,62 @@ def highlight_words(spark, d):
     return _questions(spark, d).select("query_id", T.highlights(F.array("text")).alias("words"))
 
 
+@query("""WITH t AS (SELECT p_partkey AS doc_id, p_name || ' – ' || p_size || '  × ' || (p_partkey % 90 + 1) || ' мм — ' || p_brand || '  ×2' AS x FROM part)
+SELECT doc_id, trim(regexp_replace(regexp_replace(translate(x, '‐‑‒–—−', '------'), '([0-9])\\s*[xXхХ×*]\\s*([0-9])', '\\1x\\2', 'g'), '\\s+', ' ', 'g')) AS text FROM t""")
+def sizes_joined(spark, d):
+    """Names of parts with sizes, as retrieval compares them."""
+    p = load(spark, d, "part")
+    text = F.concat("p_name", F.lit(" – "), F.col("p_size").cast("string"), F.lit("  × "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" мм — "), "p_brand", F.lit("  ×2"))
+    return p.select(F.col("p_partkey").alias("doc_id"), T.retrieval_normalize(text).alias("text"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'Круг ст. ' || (10 + p_size % 40) || 'хн-2 Ø ' || p_size || ',5 мм' WHEN 1 THEN 'Пруток D' || p_size || ' mm' ELSE p_name END AS x FROM part)
+SELECT doc_id, nullif(regexp_extract(x, '(?i)(?:^|[^\\pL\\pN_])ст\\.?\\s*([0-9]{1,2}[а-я]*(?:-[0-9])?)(?:$|[^\\pL\\pN_])', 1), '') AS steel_grade,
+ replace(nullif(regexp_extract(x, '(?i)(?:^|[^0-9])(?:Ø|D|DN|Du|ДУ)?\\s*[-–—]?\\s*([0-9]{1,3}(?:[.,][0-9]{1,2})?)\\s*(?:мм|mm)?(?:$|[^\\pL\\pN_])', 1), ''), ',', '.') AS diameter FROM t""")
+def steel_features(spark, d):
+    """Steel grades and diameters named in a part's text."""
+    p = load(spark, d, "part")
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("Круг ст. "), (10 + F.col("p_size") % 40).cast("string"), F.lit("хн-2 Ø "), size, F.lit(",5 мм"))).when(k == 1, F.concat(F.lit("Пруток D"), size, F.lit(" mm"))).otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("doc_id"), C.features(text).alias("f")).select("doc_id", "f.steel_grade", "f.diameter")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') || CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '.' || lpad(s_nationkey::VARCHAR, 2, '0') END AS predicted, 0.90 + (s_suppkey % 10) / 100.0 AS conf FROM supplier),
+h AS (SELECT DISTINCT lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') AS code, 1 AS level FROM supplier WHERE s_suppkey % 3 <> 0 UNION SELECT DISTINCT lpad((10 + s_suppkey % 80)::VARCHAR, 2, '0') || '.' || lpad(s_nationkey::VARCHAR, 2, '0'), s_suppkey % 2 + 3 FROM supplier WHERE s_suppkey % 5 = 0),
+x AS (SELECT p.*, o.level AS own_level, (SELECT arg_max(h.code, length(h.code)) FROM h WHERE h.code = p.predicted OR h.code = left(p.predicted, 2)) AS ancestor FROM p LEFT JOIN (SELECT code, max(level) AS level FROM h GROUP BY 1) o ON o.code = p.predicted)
+SELECT id, CASE WHEN stands THEN predicted ELSE ancestor END AS code, round(CASE WHEN stands THEN conf ELSE least(conf, 0.85) END, 4)::DOUBLE AS conf, predicted, stands AS is_final, NOT stands AS review FROM (SELECT *, coalesce(own_level IS NOT NULL AND (conf >= 0.97 OR own_level >= 4 AND conf >= 0.93), false) AS stands FROM x)""")
+def safe_attachment(spark, d):
+    """Predicted codes against a hierarchy: what stands, what is trimmed to an ancestor and queued for review."""
+    s = load(spark, d, "supplier")
+    top = F.lpad((10 + F.col("s_suppkey") % 80).cast("string"), 2, "0")
+    both = F.concat(top, F.lit("."), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
+    p = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 == 0, top).otherwise(both).alias("code"), (0.90 + (F.col("s_suppkey") % 10) / 100.0).alias("conf"))
+    h = s.where("s_suppkey % 3 <> 0").select(top.alias("code"), F.lit(1).alias("level")).unionByName(s.where("s_suppkey % 5 = 0").select(both.alias("code"), (F.col("s_suppkey") % 2 + 3).cast("int").alias("level")))
+    return labels.safely_attached(p, h.groupBy("code").agg(F.max("level").alias("level"))).withColumn("conf", F.round("conf", 4))
+
+
+@query("""WITH s AS (SELECT user_id AS session_id, max(ts) AS last_used FROM events GROUP BY 1), alive AS (SELECT session_id FROM s WHERE epoch(last_used) >= (SELECT floor(epoch(max(ts))) FROM events) - 3600 * 240 - 1 AND floor(epoch(last_used)) >= (SELECT floor(epoch(max(ts))) FROM events) - 3600 * 240 ORDER BY last_used DESC, session_id LIMIT 50)
+SELECT session_id, last_used FROM s ANTI JOIN alive USING (session_id)""")
+def idle_sessions(spark, d):
+    """Users as sessions: those unused for ten days, or beyond the fifty last used."""
+    e = load(spark, d, "events")
+    now = e.agg(F.max("ts").alias("now")).first()["now"]
+    state = e.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("last_used"))
+    return analytics.evicted(state, F.lit(now), ttl_seconds=3600 * 240, most=50)
+
+
+@query("""WITH q AS (SELECT item_id AS query_id, text || CASE item_id % 4 WHEN 0 THEN ' okpd2: 24.' || item_id WHEN 1 THEN ' ГОСТ=' || item_id || ' ту:A' || item_id WHEN 2 THEN ' gost 5' ELSE ' ОКПД : 25.' || item_id END AS x FROM benchmark),
+f AS (SELECT query_id, unnest(regexp_extract_all(x, '(?i)(?:^|[^\\pL\\pN_])(?:okpd2?|окпд2?|gost|гост|ost|ост|tu|ту)\\s*[:=]\\s*[\\pL\\pN_.\\-]+')) AS f FROM q),
+p AS (SELECT query_id, lower(regexp_extract(f, '([\\pL\\pN_]+)\\s*[:=]', 1)) AS name, (regexp_extract(f, '[:=]\\s*(.+)$', 1)) AS value FROM f)
+SELECT query_id, CASE WHEN name IN ('okpd', 'okpd2', 'окпд', 'окпд2') THEN 'okpd' WHEN name IN ('gost', 'гост') THEN 'gost' WHEN name IN ('ost', 'ост') THEN 'ost' ELSE 'tu' END AS ns,
+ CASE WHEN name NOT IN ('okpd', 'okpd2', 'окпд', 'окпд2') THEN value END AS code, CASE WHEN name IN ('okpd', 'okpd2', 'окпд', 'окпд2') THEN value END AS prefix FROM p""")
+def query_filters(spark, d):
+    """Filters written in the questions."""
+    i, k = F.col("query_id").cast("string"), F.col("query_id") % 4
+    said = F.when(k == 0, F.concat(F.lit(" okpd2: 24."), i)).when(k == 1, F.concat(F.lit(" ГОСТ="), i, F.lit(" ту:A"), i)).when(k == 2, F.lit(" gost 5")).otherwise(F.concat(F.lit(" ОКПД : 25."), i))
+    return retrieval.inline_filters(_questions(spark, d).withColumn("text", F.concat("text", said)))
+
+
 OPENINGS = ["Как настроить", "ОШИБКА печати", "Что такое", "Список", "Сравни", "Привет", "", "Почему это так", "Выбрать", "Каким образом", "Здравствуйте", "Принцип и функции"]
 _GREETS = "привет|здравств|добро(е|й)|hi|hello|hey"
 _ANY = lambda words: "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in words.split(",")) + ")"

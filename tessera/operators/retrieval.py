@@ -33,13 +33,14 @@ SIGNAL_FLOOR, EPS = 1e-2, 1e-9
 HEAD_CHARS = 420
 # --------------------------------------------------------------------------------------------------
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BLOCK, ROWS, TERMS = 500, 256, 50_000
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if the table has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """With a broadcast hint if the table has at most ``rows`` rows of ``BROADCAST_BYTES`` together, measured as JSON."""
+    n = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long")).alias("size")).first()
+    return F.broadcast(df) if n["n"] <= rows and (n["size"] or 0) <= BROADCAST_BYTES else df
 
 
 def _top(scored: DataFrame, k: int, *order: Column) -> DataFrame:
