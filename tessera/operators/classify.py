@@ -57,7 +57,7 @@ def with_material(items: DataFrame, x: Column) -> DataFrame:
     part = F.col("_part")
     d = bound(d, _grade=_first([f"_part RLIKE {_sql(_U + p)}" for p, _, _ in R.GRADES]))
     name = _nth([f"replace({_sql(n)}, '$1', regexp_extract(_part, {_sql(_U + p)}, 1))" if "$1" in n else _sql(n) for p, _, n in R.GRADES], "_grade")
-    steel = F.when(F.col("_grade").isNull(), _part(part, r"\b(Ст\.?\s*\d+\w*)\b"))
+    steel = F.when(F.col("_grade").isNull(), _part(part, R.STEEL))
     d = bound(d, _name=name, _steel=steel)
     other = F.when(F.coalesce("_name", "_steel").isNull(), F.coalesce(*[_part(part, p, 1, "(?uU)") for p in R.OTHER_GRADES]))
     code = _nth([_sql(c) for _, c, _ in R.GRADES], "_grade")
@@ -92,25 +92,24 @@ def found(items: DataFrame, text_col: str = "text") -> DataFrame:
     x = F.col("_x")
     d = with_material(bound(d, _t=form(x)), x)
     t = F.col("_t")
-    dim = r"(\d+(?:[.,]\d+)?)\s*[xх×]\s*(\d+(?:[.,]\d+)?)"
     thread = t.isin("БОЛТ", "ВИНТ", "ГАЙКА", "ШПИЛЬКА")
     flat = t.isin("ПЛИТА", "ЛИСТ", "ПОЛОСА", "ЛЕНТА")
-    thick = F.when(flat, _number(_part(x, dim, 1, "(?uU)")))
-    wide = F.when(flat, _number(_part(x, dim, 2, "(?uU)")))
-    shape = F.concat_ws("x", *[_part(x, r"(\d+)[xх](\d+)(?:[xх](\d+))?", k, "(?uU)") for k in (1, 2, 3)])
+    thick = F.when(flat, _number(_part(x, R.FLAT_SIZE, 1, "(?uU)")))
+    wide = F.when(flat, _number(_part(x, R.FLAT_SIZE, 2, "(?uU)")))
+    shape = F.concat_ws("x", *[_part(x, R.SHAPED_SIZE, k, "(?uU)") for k in (1, 2, 3)])
     size = (
-        F.when(thread, F.concat(F.lit("M"), _part(x, r"М(\d+)(?:[xх](\d+))?", 1)))
-        .when(flat, F.coalesce(thick, _number(_part(x, r"(?:^|\s)(\d+(?:[.,]\d+)?)\b", 1, "(?uU)"))))
-        .when(t.isin("КРУГ", "ПРУТОК", "ПРОВОЛОКА"), _number(_part(x, r"(?:^|\s|Ø|D|d)(\d+(?:[,\.]\d+)?)\b", 1, "(?uU)")))
+        F.when(thread, F.concat(F.lit("M"), _part(x, R.THREAD_SIZE, 1)))
+        .when(flat, F.coalesce(thick, _number(_part(x, R.FIRST_NUMBER, 1, "(?uU)"))))
+        .when(t.isin("КРУГ", "ПРУТОК", "ПРОВОЛОКА"), _number(_part(x, R.ROUND_SIZE, 1, "(?uU)")))
         .when(t.isin("УГОЛОК", "ШВЕЛЛЕР", "ДВУТАВР", "ПРОФИЛЬ"), F.nullif(shape, F.lit("")))
     )
-    said = _number(_part(x, r"шир(?:\.|ина)?\s*[:=]?\s*(\d+(?:[.,]\d+)?)\s*(?:мм|mm)\b"))
+    said = _number(_part(x, R.WIDTH_SAID))
     fields = {
-        "form": t, "size": size, "length": F.when(thread, _part(x, r"М(\d+)(?:[xх](\d+))?", 2)), "thickness": thick, "width": F.coalesce(said, wide),
-        "gost": F.array_distinct(F.regexp_extract_all(x, F.lit(C.GOST), 2)), "tu": _part(x, r"ТУ\s*([\d\-\.]+)"), "ost": F.trim(_part(x, r"ОСТ\s*([\d\s\-]+)")),
-        "din": _part(x, r"DIN\s*(\d+)"), "iso": _part(x, r"ISO\s*(\d+(?:[-\.]\d+)?)"), "material": F.col("material"), "material_code": F.col("material_code"),
-        "surface": _has(x, r"\b(?:шлифован|полирован|матов)\w*\b"), "heat_treatment": _has(x, r"\b(?:закален|отожжен|норм(?:ализ)?)\w*\b"),
-        "coating": _has(x, r"\b(?:оцинкован|хромирован|никелирован|кадмирован)\w*\b"),
+        "form": t, "size": size, "length": F.when(thread, _part(x, R.THREAD_SIZE, 2)), "thickness": thick, "width": F.coalesce(said, wide),
+        "gost": F.array_distinct(F.regexp_extract_all(x, F.lit(C.GOST), 2)), "tu": _part(x, R.TU), "ost": F.trim(_part(x, R.OST)),
+        "din": _part(x, R.DIN), "iso": _part(x, R.ISO), "material": F.col("material"), "material_code": F.col("material_code"),
+        "surface": _has(x, R.SURFACE), "heat_treatment": _has(x, R.HEAT_TREATMENT),
+        "coating": _has(x, R.COATING),
     }
     return bound(d, **{f"_{n}": fields[n] for n in INFO}).select(*items.columns, *[f"_{n}" for n in INFO])
 

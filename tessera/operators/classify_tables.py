@@ -181,6 +181,22 @@ GRADES = [
 #: Case-sensitive patterns of grades that aren't listed; the group is the grade.
 OTHER_GRADES = [r"\b([А-Я]{1,3}\d+[А-Я]*(?:-[А-Я]+)?)\b", r"\b(\d{4}[А-Я]?)\b", r"\b(\d{1,2}[ХX][\dА-Я]+)\b"]
 
+# Patterns of sizes, standards and finishes
+STEEL = r"\b(Ст\.?\s*\d+\w*)\b"
+FLAT_SIZE = r"(\d+(?:[.,]\d+)?)\s*[xх×]\s*(\d+(?:[.,]\d+)?)"
+SHAPED_SIZE = r"(\d+)[xх](\d+)(?:[xх](\d+))?"
+THREAD_SIZE = r"М(\d+)(?:[xх](\d+))?"
+FIRST_NUMBER = r"(?:^|\s)(\d+(?:[.,]\d+)?)\b"
+ROUND_SIZE = r"(?:^|\s|Ø|D|d)(\d+(?:[,\.]\d+)?)\b"
+WIDTH_SAID = r"шир(?:\.|ина)?\s*[:=]?\s*(\d+(?:[.,]\d+)?)\s*(?:мм|mm)\b"
+TU = r"ТУ\s*([\d\-\.]+)"
+OST = r"ОСТ\s*([\d\s\-]+)"
+DIN = r"DIN\s*(\d+)"
+ISO = r"ISO\s*(\d+(?:[-\.]\d+)?)"
+SURFACE = r"\b(?:шлифован|полирован|матов)\w*\b"
+HEAT_TREATMENT = r"\b(?:закален|отожжен|норм(?:ализ)?)\w*\b"
+COATING = r"\b(?:оцинкован|хромирован|никелирован|кадмирован)\w*\b"
+
 FAMILY_NAMES = {"AL": "алюминий", "CU": "медь/латунь", "SS": "нерж. сталь", "FE": "сталь", "NI": "Ni-сплав", "FEA": "легир. сталь"}
 #: Product code by material family and form.
 FAMILY_FORMS = {
