@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values -------------------------------------------------------------------------------------
 CODE_STRICT = r"(?<![\d,])(\d{2}(?:\.\d{2}){1,2}\.\d{1,2}(?:\.\d{3})?)(?![\d,])"
 CODE = r"(?<![\d,])(\d{2}(?:\.\d{1,2}){1,3}(?:\.\d{3})?)(?![\d,])"
-CODE_INLINE = r"(?iuU)\bОКПД2?\s*[:#=\-]?\s*([0-9]{2}(?:\.[0-9]{1,2}){1,3}(?:\.\d{3})?)"
+# the first branch keeps a whole code with three digits at its end, of which the rule (the second branch) cuts the last off
+CODE_INLINE = r"(?iuU)\bОКПД2?\s*[:#=\-]?\s*([0-9]{2}(?:\.[0-9]{1,2}){2}\.\d{3}(?!\d)|[0-9]{2}(?:\.[0-9]{1,2}){1,3}(?:\.\d{3})?)"
 GOST = r"(?iuU)\bГОСТ(?:\s*(Р))?\s*(?:ИСО\s*)?([0-9]+(?:\.[0-9]+)*)\s*(?:[-–—]\s*(\d{2,4}))?\b"
 OST = r"(?iuU)\bОСТ\b\s*([A-ZА-Я0-9][\w\.\-\s]*)"
 TU = r"(?iuU)(?<!\w)ТУ[-\s]*([A-ZА-Я0-9][\w\.\-]*)"

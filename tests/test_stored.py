@@ -80,8 +80,8 @@ def test_tagging_over_stored_tables(spark, tmp_path):
 
 
 def test_inline_codes_end_as_the_rule_says(spark):
-    got = spark.createDataFrame([("ОКПД2: 24.10.311",), ("окпд 01.2.3",)], "t string").select(codes.code_of(F.col("t")).alias("c")).collect()
-    assert [r.c for r in got] == ["24.10.31", "01.02.3"]
+    got = spark.createDataFrame([("ОКПД2: 24.10.311",), ("окпд 01.2.3",), ("ОКПД2 25.94.11.110",)], "t string").select(codes.code_of(F.col("t")).alias("c")).collect()
+    assert [r.c for r in got] == ["24.10.31", "01.02.3", "25.94.11.110"]
 
 
 def chunks(df):
