@@ -110,12 +110,12 @@ class Shard:
 _SCHEMA = "doc_id long, text string, n_words long, spans array<struct<lo:long,hi:long>>, items array<long>"
 
 
-def _search(phrases, shard_symbols: int, first: bool, last: bool):
-    """Adds the hits of a block to what the blocks before have found; the last one drops the texts."""
+def _search(phrases, shard_symbols: int, held_chars: int, first: bool, last: bool):
+    """Adds the hits of a block to what the blocks before have found; the last one drops the texts, the others hold ``held_chars`` of them."""
     kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = Shard(phrases.value), []
+        shard, rows, held = Shard(phrases.value), [], 0
 
         def out() -> pa.RecordBatch:
             found = shard.search()
@@ -135,33 +135,34 @@ def _search(phrases, shard_symbols: int, first: bool, last: bool):
             for i, t, (old_spans, old_items) in zip(b.column(0), b.column(1), before, strict=not first):
                 text = t.as_py()
                 rows.append((i.as_py(), None if last else text, shard.add(text), [(s["lo"], s["hi"]) for s in old_spans], old_items))
-                if shard.size >= shard_symbols or len(rows) >= 50_000:
+                held += 0 if last or text is None else len(text)
+                if shard.size >= shard_symbols or len(rows) >= 50_000 or held >= held_chars:
                     yield out()
-                    shard, rows = Shard(phrases.value), []
+                    shard, rows, held = Shard(phrases.value), [], 0
         if rows:
             yield out()
 
     return run
 
 
-def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block_items: int = 20_000, shard_symbols: int = 1_000_000) -> DataFrame:
+def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block_items: int = 20_000, shard_symbols: int = 1_000_000, block_bytes: int = 32 << 20, held_chars: int = 8 << 20) -> DataFrame:
     """(doc_id, n_words, n_hit, spans, items) for every row of ``docs``; ``spans`` are merged [lo, hi) of words.
 
-    The query set is gathered ``block_items`` items at a time; each block is searched by a step of
+    The query set is gathered in blocks of about ``block_items`` items or ``block_bytes`` of text; each block is searched by a step of
     its own, and rows go through all steps with what was found so far, so the number of blocks changes
-    nothing. Null texts have no words; items without words have no windows; null item ids are left out.
+    nothing. A step before the last holds ``held_chars`` of texts, and one text more. Null texts have no words; items without words have no windows; null item ids are left out.
     Rows with null or repeated ids are searched each for itself.
     """
     small_batches(spark)
-    n = benchmark.where("item_id IS NOT NULL").count()
-    blocks = max(1, -(-n // block_items))
+    n, size = benchmark.where("item_id IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-size // block_bytes))
     block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = rows
     for k in range(blocks):
         items = benchmark.where(F.col("item_id").isNotNull() & (block_of == k)).select("item_id", "text").collect()
         phrases = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["text"]) for r in items], window))
-        found = found.mapInArrow(_search(phrases, shard_symbols, k == 0, k == blocks - 1), _SCHEMA)
+        found = found.mapInArrow(_search(phrases, shard_symbols, held_chars, k == 0, k == blocks - 1), _SCHEMA)
     size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.hi - s.lo)
     return found.select("doc_id", "n_words", size.alias("n_hit"), "spans", "items")
 

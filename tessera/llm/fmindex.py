@@ -69,7 +69,9 @@ class WaveletMatrix:
         # where each symbol's block starts after the last level
         self.base = np.zeros(1 << bits, dtype=np.int64)
         count = np.bincount(s, minlength=1 << bits)
-        order = np.argsort([int(f"{v:0{bits}b}"[::-1], 2) for v in range(1 << bits)], kind="stable") if bits else np.array([0])
+        order = np.zeros(1, dtype=np.int64)  # symbols by their reversed bits, as the levels leave them
+        for _ in range(bits):
+            order = np.concatenate([2 * order, 2 * order + 1])
         self.base[order] = np.concatenate([[0], np.cumsum(count[order])[:-1]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:

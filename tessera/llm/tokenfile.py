@@ -140,14 +140,50 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _encode(path: str, end_id: int, width: int):
+def _ends(file_bytes: int):
+    """The last id of each file, from rows (doc_id, bytes) in order of id. Rows of one id are never parted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, one, last = 0, 0, None  # bytes of the file's whole ids; bytes of the id that is being read
+
+        for b in batches:
+            out = []
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != last:
+                    if last is not None and (held := held + one) + n > file_bytes:
+                        out.append(last)
+                        held = 0
+                    last, one = i, 0
+                one += n
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["last"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], ["last"])
+
+    return run
+
+
+def _cuts(spark: SparkSession, rows: DataFrame, file_bytes: int) -> np.ndarray:
+    """Ids that end all files but the last: a long for each file, found by tasks that each cut a range of ids of some eight files."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("bytes")
+    sizes = Table(spark, rows.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), size), "text-sizes")
+    total = sizes.df.agg(F.sum("bytes")).first()[0] or 0
+    if total <= file_bytes:
+        return np.array([], dtype=np.int64)
+    ranges = sizes.df.repartitionByRange(math.ceil(total / (8 * file_bytes)), "doc_id").sortWithinPartitions("doc_id")
+    ends = sorted(r["last"] for r in ranges.mapInArrow(_ends(file_bytes), "last long").collect())
+    sizes.drop()
+    return np.array(ends[:-1], dtype=np.int64)
+
+
+def _encode(path: str, end_id: int, width: int, cuts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path).batch, end_id.to_bytes(width, "little")
         for b in batches:
             every, cut = encode(b.column(1))
             raw, cut = every.astype(f"<u{width}").tobytes(), (width * cut).tolist()
             ids = [raw[lo:hi] + end for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], ["doc_id", "bucket", "ids"])
+            bucket = np.searchsorted(cuts.value, b.column(0).fill_null(_NO_ID).to_numpy()).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bucket), pa.array(ids, pa.binary())], ["doc_id", "bucket", "ids"])
 
     return run
 
@@ -188,21 +224,17 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     """Write all rows' ids, each with ``end_id``, in ascending order of doc_id; returns the manifest.
 
     The manifest (a row per file, in order of ``bucket``) is written beside the files. Null texts
-    have their end id only; null ids come first; rows of one id go by their ids' bytes. An empty
-    table writes no file. ``file_bytes`` is of text.
+    have their end id only; null ids come first; rows of one id go by their ids' bytes and stay in one file. An empty
+    table writes no file. ``file_bytes`` is of text and index (16 bytes a row); a longer text has a file and a frame to itself, and is encoded whole.
     """
     small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     width = 2 if max(_vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    files = max(1, math.ceil(total / file_bytes))
-    cuts = []
-    if files > 1:  # one bound for each file, whatever the number of rows
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 10 * files)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.coalesce("doc_id", F.lit(_NO_ID)))) if len(cuts) else F.lit(0)
-    ids = rows.select("doc_id", "text", bucket.cast("int").alias("bucket")).mapInArrow(_encode(tokenizer, end_id, width), "doc_id long, bucket int, ids binary")
-    placed = ids.repartition(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    cuts = _cuts(spark, rows, file_bytes)
+    ids = rows.mapInArrow(_encode(tokenizer, end_id, width, spark.sparkContext.broadcast(cuts)), "doc_id long, bucket int, ids binary")
+    # a partition for each file, by its number: hashed numbers would put several files into one task
+    placed = ids.repartitionById(len(cuts) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     return Table(spark, placed.select("doc_id", "bucket", "ids").mapInArrow(_write(folder, frame_bytes, level, width), _MANIFEST), "manifest").df
 
 

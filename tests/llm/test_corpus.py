@@ -144,8 +144,8 @@ def naive_hits(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block,shard", [(20_000, 1_000_000), (4, 50)])
-def test_decontamination_brute_force(spark, block, shard):
+@pytest.mark.parametrize("block,shard,bounds", [(20_000, 1_000_000, {}), (4, 50, {}), (20_000, 1_000_000, {"block_bytes": 600, "held_chars": 900})])
+def test_decontamination_brute_force(spark, block, shard, bounds):
     rng = random.Random(5)
     long = lambda n: " ".join(f"W{rng.randrange(60)}" for _ in range(n))
     items = [(i, long(rng.choice([1, 3, 12, 13, 20, 45]))) for i in range(10, 24)] + [(30, None), (31, "  -- "), (32, "ünïcode WORD"), (33, "ünïcode WORD")]
@@ -155,7 +155,7 @@ def test_decontamination_brute_force(spark, block, shard):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("items", F.lit(2))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.report(decontam.hits(spark, df, bench, block_items=block, shard_symbols=shard)).collect()
+    got = decontam.report(decontam.hits(spark, df, bench, block_items=block, shard_symbols=shard, **bounds)).collect()
     want = naive_hits(docs, items)
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == want
     kept = decontam.clean(spark, df, bench, block_items=block)

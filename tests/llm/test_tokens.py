@@ -117,6 +117,27 @@ def test_files(spark, tmp_path):
     assert tokenfile.read_tokens(tokenfile.write_tokens(spark, X.empty(spark), WORD)).count() == 0
 
 
+def test_many_files(spark, tmp_path):
+    docs = spark.range(0, 4000, 1, 6).select((F.col("id") * F.col("id")).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(docs.where("doc_id = 100").crossJoin(spark.range(50).select()))
+    manifest = tokenfile.write_tokens(spark, docs, WORD, str(tmp_path / "t"), file_bytes=500)
+    files = manifest.orderBy("bucket").collect()
+    assert len(files) >= 200 and [m["bucket"] for m in files] == list(range(len(files)))
+    assert all(a["last_id"] < b["first_id"] for a, b in zip(files, files[1:]))
+    # all files but that of the repeated id are near their size
+    assert sorted(m["n_docs"] for m in files)[-2] <= 25
+    assert sum(m["n_docs"] for m in files) == 4050
+    got = tokenfile.read_tokens(manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted([i * i for i in range(4000)] + [100] * 50)
+
+
+def test_ends_of_files():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "bytes"]) for x, n in (([1, 2, 2], [6, 3, 3]), ([2, 3], [9, 4]), ([], []), ([5], [30]), ([9], [1]))]
+    assert [e for b in tokenfile._ends(10)(iter(batches)) for e in b.column(0).to_pylist()] == [2, 3, 5, 9]
+
+
 def test_reader_skips_frames(tmp_path):
     path = tmp_path / "x.zst"
     with open(path, "wb") as f:
