@@ -706,6 +706,13 @@ def recent_history(spark, d):
     return analytics.history(_log(spark, d), "user_id", 3).select("user_id", "id", "pos")
 
 
+@query(f"""WITH {LOG} SELECT md5('d' || user_id % 7 || '_' || user_id) AS user_hash, id, pos::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS pos FROM log WHERE NOT is_hide) WHERE pos <= 50""")
+def user_history(spark, d):
+    who = load(spark, d, "events").select("user_id", F.concat(F.lit("d"), F.col("user_id") % 7).alias("domain"), F.col("user_id").cast("string").alias("computer_name")).distinct()
+    users = who.select(F.col("user_id").alias("id"), analytics.user_hash(F.col("domain"), F.col("computer_name")).alias("user_hash"))
+    return analytics.user_history(_log(spark, d), users, who).select("user_hash", "id", "pos")
+
+
 @query(f"WITH {LOG} SELECT id FROM log WHERE NOT is_hide AND session_id <> 'click'")
 def hidden_filter(spark, d):
     gone = spark.range(1).select(F.lit("click").alias("session_id"))
@@ -753,6 +760,24 @@ def top_topics(spark, d):
     return analytics.top_topics(analytics.topics(_chat_log(spark, d)))
 
 
+@query(_PHRASES + """, l AS (SELECT conv_id * 1000 + turn AS id, conv_id AS ts, text AS question, length(text)::DOUBLE AS pt, CASE WHEN conv_id % 4 = 0 THEN turn % 5 + 1 END AS rating FROM conversations WHERE role = 'user'),
+t AS (SELECT topic, sum(score) AS score FROM ((SELECT topic, total_weight AS score FROM topics ORDER BY total_weight DESC, last_used DESC, topic LIMIT 15)
+ UNION ALL SELECT topic, sum(weight)::DOUBLE FROM p WHERE conv_id % 10 = 0 GROUP BY 1) GROUP BY 1 ORDER BY score DESC, topic LIMIT 15)
+SELECT count(*) AS n, coalesce(round(avg(pt), 6), 0) AS avg_time, coalesce(round(median(pt), 6), 0) AS median_time, count(rating) AS n_rated, coalesce(round(avg(rating), 6), 0) AS avg_rating,
+(SELECT string_agg(topic || '=' || score::VARCHAR, ';' ORDER BY score DESC, topic) FROM t) AS popular_topics,
+(SELECT string_agg(question, chr(10) ORDER BY ts DESC, id DESC) FROM (SELECT * FROM l ORDER BY ts DESC, id DESC LIMIT 10)) AS recent_queries
+FROM (SELECT * FROM l ORDER BY ts DESC, id DESC LIMIT 5000)""")
+def stats_snapshot(spark, d):
+    extra = [(F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("conv_id") % 4 == 0, F.col("turn") % 5 + 1).alias("rating")]
+    user = load(spark, d, "conversations").where("role = 'user'")
+    log = user.select(*extra, F.col("text").alias("question"), (F.col("turn") / 10.0).alias("confidence"), F.length("text").cast("double").alias("processing_time"), F.col("conv_id").alias("ts"))
+    # weights of questions that a writer still holds
+    held = analytics.topics(log.where("ts % 10 = 0")).select("topic", F.col("total_weight").alias("weight"))
+    shown = F.array_join(F.transform("popular_topics", lambda t: F.concat(t.topic, F.lit("="), t.score.cast("string"))), ";")
+    x = analytics.snapshot(log, analytics.topics(log), held)
+    return x.withColumn("popular_topics", shown).withColumn("recent_queries", F.array_join("recent_queries", "\n"))
+
+
 @query(_PHRASES + """, h AS (SELECT text, max(conv_id) AS ts FROM conversations WHERE role = 'user' GROUP BY 1 ORDER BY ts DESC, text LIMIT 100),
 s AS (SELECT text AS suggestion, 'history' AS source, 0 AS part, -(ts * 1000000)::DOUBLE AS key FROM h WHERE contains(lower(text), 'the')
  UNION ALL (SELECT topic, 'topic', 1, -total_weight FROM topics WHERE contains(lower(topic), 'the') ORDER BY total_weight DESC, topic LIMIT 10))

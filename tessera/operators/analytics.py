@@ -85,6 +85,16 @@ def history(log: DataFrame, by: str, n: int = 10, tie: str = "id") -> DataFrame:
     return visible(log).withColumn("pos", rank).where(F.col("pos") <= n)
 
 
+def user_history(log: DataFrame, users: DataFrame, wanted: DataFrame, n: int = 50, include_hidden: bool = False) -> DataFrame:
+    """(user_hash, pos, columns of ``log``): the newest ``n`` rows of every wanted user (domain, computer_name), whose hash names a row
+    of ``users`` (id, user_hash), whose id is the log's user_id. Users without rows, and rows without a user, give none."""
+    asked = wanted.select(user_hash(F.col("domain"), F.col("computer_name")).alias("user_hash")).distinct()
+    known = users.join(asked, "user_hash", "left_semi").select(F.col("id").alias("_user"), "user_hash").distinct()
+    rows = (log if include_hidden else visible(log)).join(known, F.col("user_id") == F.col("_user")).drop("_user")
+    rank = F.row_number().over(W.partitionBy("user_hash").orderBy(F.desc("ts"), F.desc("id")))
+    return rows.withColumn("pos", rank).where(F.col("pos") <= n).select("user_hash", "pos", *log.columns)
+
+
 def page_after(rows: DataFrame, after, size: int, key: str = "id") -> DataFrame:
     """The next ``size`` rows beyond the key ``after`` (None: from the start), in order: paging that reads no row twice."""
     rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
@@ -118,6 +128,25 @@ def stats(log: DataFrame, last: int = 5000) -> DataFrame:
     return x.agg(F.count("*").alias("n"), F.round(F.avg("processing_time"), 6).alias("avg_time"), F.round(F.median("processing_time"), 6).alias("median_time"), F.count("rating").alias("n_rated"), F.round(F.avg("rating"), 6).alias("avg_rating"))
 
 
+def snapshot(log: DataFrame, topics: DataFrame, held: DataFrame | None = None, n_topics: int = 15, n_recent: int = 10, last: int = 5000) -> DataFrame:
+    """One row: ``stats`` (averages 0 where there is nothing to average), popular_topics (topic, score) and recent_queries, newest first.
+
+    ``held`` (topic, weight) are weights that aren't stored yet; they are added to the stored ``n_topics`` best before these are ranked again.
+    """
+    numbers = stats(log, last).select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_time", "median_time", "avg_rating")], "n_rated")
+    best = top_topics(topics, n_topics).select("topic", F.col("total_weight").cast("double").alias("score"))
+    if held is not None:
+        best = best.unionByName(held.select("topic", F.col("weight").cast("double").alias("score"))).groupBy("topic").agg(F.sum("score").alias("score"))
+    best = best.orderBy(F.desc("score"), "topic").limit(n_topics)
+    best = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("key"), "topic"))).alias("t"))
+    best = best.select(F.transform("t", lambda x: F.struct(x.topic.alias("topic"), (-x.key).alias("score"))).alias("popular_topics"))
+    newest = log.orderBy(F.desc("ts"), F.desc("id")).limit(n_recent).agg(F.sort_array(F.collect_list(F.struct("ts", "id", "question")), False).alias("r"))
+    newest = newest.select(F.transform("r", lambda x: x.question).alias("recent_queries"))
+    # three single rows become one without a join
+    parts = numbers.unionByName(best, allowMissingColumns=True).unionByName(newest, allowMissingColumns=True)
+    return parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
+
+
 def suggestions(log: DataFrame, topics: DataFrame, term: str, n: int = 10, last: int = 100) -> DataFrame:
     """(suggestion, source, pos): of the newest ``last`` distinct questions those that contain ``term``, then topics."""
     q = log.groupBy("question").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "question").limit(last)

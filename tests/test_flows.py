@@ -260,3 +260,26 @@ def test_rate_limit(spark):
         want[r["event_id"]] = tokens[u] >= 1
         tokens[u] -= want[r["event_id"]]
     assert {r["event_id"]: r["allowed"] for r in out} == want and set(want.values()) == {True, False}
+
+
+def test_history_of_wanted_users(spark):
+    log = spark.createDataFrame([(1, 7, 10, False), (2, 7, 30, True), (3, 7, 20, None), (4, 8, 5, False), (5, None, 50, False), (6, 9, 60, False)], "id long, user_id long, ts long, is_hide boolean")
+    who = spark.createDataFrame([("d", "a"), ("d", "a"), (None, None), ("no", "body")], "domain string, computer_name string")
+    known = spark.createDataFrame([(7, "d", "a"), (8, "d", "b"), (9, None, None)], "id long, domain string, computer_name string")
+    known = known.select("id", analytics.user_hash(F.col("domain"), F.col("computer_name")).alias("user_hash"))
+    found = lambda **kw: sorted((r["user_id"], r["pos"], r["id"]) for r in analytics.user_history(log, known, who, **kw).collect())
+    assert found() == [(7, 1, 3), (7, 2, 1), (9, 1, 6)]
+    assert found(include_hidden=True, n=2) == [(7, 1, 2), (7, 2, 3), (9, 1, 6)]
+    assert found(n=1) == [(7, 1, 3), (9, 1, 6)]
+
+
+def test_snapshot_adds_what_is_not_stored(spark):
+    log = spark.createDataFrame([(1, "old", 10, 2.0, None), (2, "new", 20, 4.0, None), (3, None, 30, 9.0, None)], "id long, question string, ts long, processing_time double, rating int")
+    topics = spark.createDataFrame([("a", 3.0, 1), ("b", 2.0, 1), ("c", 1.0, 1)], "topic string, total_weight double, last_used long")
+    held = spark.createDataFrame([("b", 2.0), ("z", 3.5)], "topic string, weight double")
+    r = analytics.snapshot(log, topics, held, n_topics=3, n_recent=2).first()
+    assert [tuple(t) for t in r["popular_topics"]] == [("b", 4.0), ("z", 3.5), ("a", 3.0)]
+    assert (r["n"], r["avg_time"], r["median_time"], r["avg_rating"], r["n_rated"]) == (3, 5.0, 4.0, 0.0, 0)
+    assert list(r["recent_queries"]) == [None, "new"]
+    e = analytics.snapshot(log.limit(0), topics.limit(0)).first()
+    assert (e["n"], e["avg_time"], list(e["popular_topics"]), list(e["recent_queries"])) == (0, 0.0, [], [])
