@@ -363,7 +363,19 @@ def label_boost(spark, d):
     return retrieval.label_boost(scored, _bridge(spark, d), wanted, digits=8)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS ({_UNIT}), s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.v, b.label AS grp, list_cosine_similarity(a.v, b.v) AS near FROM e a, e b WHERE a.vec_id % 50 = 0),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(near, 6) DESC, doc_id) AS pos FROM s) WHERE pos <= 50),
+sim AS (SELECT query_id, a.doc_id, b.doc_id AS other, least(1, greatest(-1, list_cosine_similarity(a.v, b.v))) AS sim FROM pool a JOIN pool b USING (query_id)),
+pick(query_id, n, chosen, groups) AS (
+ SELECT query_id, 1, [arg_min(doc_id, pos)], [arg_min(grp, pos)] FROM (SELECT *, max(round(near, 9)) OVER (PARTITION BY query_id) AS most FROM pool) WHERE round(near, 9) = most GROUP BY query_id
+ UNION ALL
+ SELECT query_id, n + 1, list_append(chosen, best.doc_id), list_append(groups, best.grp) FROM (
+  SELECT query_id, n, chosen, groups, min({{'key': -value, 'pos': pos, 'doc_id': doc_id, 'grp': grp}}) AS best FROM (
+   SELECT k.query_id, k.n, k.chosen, k.groups, c.pos, c.doc_id, c.grp, round(0.7 * c.near - 0.3 * max(sim.sim) - CASE WHEN list_contains(k.groups, c.grp) THEN 0.2 ELSE 0 END, 9) AS value
+   FROM pick k JOIN pool c ON c.query_id = k.query_id JOIN sim ON sim.query_id = k.query_id AND sim.doc_id = c.doc_id AND list_contains(k.chosen, sim.other)
+   WHERE k.n < 10 AND NOT list_contains(k.chosen, c.doc_id) GROUP BY k.query_id, k.n, k.chosen, k.groups, c.pos, c.doc_id, c.grp, c.near)
+  GROUP BY query_id, n, chosen, groups))
+SELECT query_id, unnest(chosen) AS doc_id, unnest(range(1, 11)) AS mmr_rank FROM pick WHERE n = 10""")
 def mmr_diversify(spark, d):
     e = load(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))

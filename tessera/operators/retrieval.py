@@ -467,7 +467,7 @@ def lexical_reranker(query: Column, title: Column, text: Column) -> Column:
 
 
 def mmr_pick(sim_q: np.ndarray, sims: np.ndarray, groups: list, base: np.ndarray, k: int, lam: float = 0.7, penalty: float = 0.2, base_weight: float = 0.1) -> list[int]:
-    """Greedy maximal marginal relevance; ties go to the earlier row."""
+    """Greedy maximal marginal relevance; values equal to nine digits are ties, which go to the earlier row."""
     base = base / base.max() if len(base) and base.max() > 1e-9 else np.zeros(len(base))
     relevance = lam * sim_q + base_weight * base
     near = np.full(len(sim_q), -np.inf)
@@ -476,7 +476,7 @@ def mmr_pick(sim_q: np.ndarray, sims: np.ndarray, groups: list, base: np.ndarray
     codes = pd.factorize(pd.Series(groups, dtype=object), use_na_sentinel=False)[0]
     while len(out) < min(k, len(sim_q)):
         value = relevance - (1 - lam) * near - penalty * dup if out else sim_q + base_weight * base
-        i = int(np.argmax(np.where(free, value, -np.inf)))
+        i = int(np.argmax(np.where(free, np.round(value, 9), -np.inf)))
         out.append(i)
         free[i] = False
         near = np.maximum(near, sims[:, i])
