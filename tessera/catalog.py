@@ -840,9 +840,20 @@ def grounding_score(spark, d):
     return answers.grounding(a, _hits(spark, d))
 
 
-@query()
+@query(f"""WITH {HITS}, x AS (SELECT *, CASE WHEN id % 11 <> 0 THEN id % 7 END AS page FROM hits),
+b AS (SELECT query_id, book, section, max(score) AS best, bool_and(is_parent) AS only_parents FROM x GROUP BY 1, 2, 3),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, book, section) AS grp FROM b) WHERE grp <= 5),
+o AS (SELECT x.*, grp, CASE WHEN page - lag(page) OVER w <= 1 THEN 0 ELSE 1 END AS opens FROM x JOIN g USING (query_id, book, section) WHERE only_parents OR NOT is_parent WINDOW w AS (PARTITION BY query_id, grp ORDER BY page NULLS LAST, id)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY query_id, grp ORDER BY page NULLS LAST, id) AS island FROM o),
+t AS (SELECT query_id, grp, book, section, island, list(coalesce(text, '') ORDER BY page NULLS LAST, id) AS t FROM i GROUP BY ALL),
+p AS (SELECT query_id, grp, book, section, island, left(list_reduce(t, lambda a, x: CASE WHEN a = '' THEN x
+ WHEN coalesce(list_max(list_filter(range(51, least(200, length(a), length(x)) + 1), lambda n: right(a, n) = left(x, n))), 0) > 50
+ THEN a || substr(x, list_max(list_filter(range(51, least(200, length(a), length(x)) + 1), lambda n: right(a, n) = left(x, n))) + 1) ELSE a || chr(10) || chr(10) || x END), 1500) AS part FROM t),
+s AS (SELECT query_id, grp, chr(10) || '### ' || book || ' - ' || section || chr(10) || chr(10) || string_agg(part || chr(10), chr(10) ORDER BY island) AS s FROM p GROUP BY query_id, grp, book, section)
+SELECT query_id, left(string_agg(s, chr(10) ORDER BY grp), 12000) AS context FROM s GROUP BY 1""")
 def context_assembly(spark, d):
-    return answers.context(_hits(spark, d))
+    page = F.when(F.col("id") % 11 != 0, (F.col("id") % 7).cast("int"))
+    return answers.context(_hits(spark, d).withColumn("page", page))
 
 
 @query(f"""WITH {HITS} SELECT query_id, string_agg(rnk || '. ' || book || ' - ' || section || chr(10) || left(text, 500) || CASE WHEN length(text) > 500 THEN '...' ELSE '' END, chr(10) || chr(10) ORDER BY rnk) AS answer FROM hits WHERE rnk <= 5 GROUP BY 1""")
