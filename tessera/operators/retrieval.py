@@ -522,9 +522,10 @@ def inline_filters(queries: DataFrame) -> DataFrame:
     return x.select("query_id", ns.alias("ns"), F.when(ns != "okpd", F.col("value")).alias("code"), F.when(ns == "okpd", F.col("value")).alias("prefix"))
 
 
-def expanded(queries: DataFrame, synonyms: DataFrame | None = None, most: int = 3) -> DataFrame:
+def expanded(queries: DataFrame, synonyms: DataFrame | None = None, most: int = 3, letters: str = "") -> DataFrame:
     """(query_id, variant, text): the normalized query, then with synonyms (longest key first; ``stem*`` keys
-    match beginnings), then two paraphrases; distinct, at most ``most``.
+    match beginnings), then two paraphrases; distinct, at most ``most``. Words are of Unicode's letters, digits and ``_``, or of
+    the ``letters`` (as in a pattern's brackets) that the caller names.
 
     ``synonyms`` (key, synonym): up to BROADCAST_ROWS of them make an automaton that finds all keys in one pass; of a larger
     dictionary a query joins only the keys that share a word's first three letters with it.
@@ -535,11 +536,12 @@ def expanded(queries: DataFrame, synonyms: DataFrame | None = None, most: int =
         s = synonyms.where("key IS NOT NULL AND synonym IS NOT NULL").withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("synonym"))).withColumn("synonym", T.normalize_query(F.col("synonym")))
         rows = s.select("key", "n", "synonym").limit(BROADCAST_ROWS + 1).collect()
         if len(rows) <= BROADCAST_ROWS:
-            m = Y.substituted(q, rows)
+            m = Y.substituted(q, rows, letters)
         else:
             s = s.select("key", "n", "synonym", F.substring("key", 1, 3).alias("block"), F.regexp_replace("key", r"\*$", "").alias("stem"), F.endswith("key", F.lit("*")).alias("open"))
-            words = q.select("query_id", "q", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(r"(?U)\w+"), 0), lambda w: F.substring(w, 1, 3)))).alias("block"))
-            word = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("stem"), F.lit(r"\E"), F.when(F.col("open"), r"\w*").otherwise(r"(?!\w)"))
+            one = f"[{letters}]" if letters else r"\w"
+            words = q.select("query_id", "q", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("q", F.lit(f"(?U){one}+"), 0), lambda w: F.substring(w, 1, 3)))).alias("block"))
+            word = F.concat(F.lit(rf"(?U)(?<!{one})\Q"), F.col("stem"), F.lit(r"\E"), F.when(F.col("open"), f"{one}*").otherwise(f"(?!{one})"))
             m = words.join(s, "block").where(F.regexp_like("q", word)).select("query_id", "key", "n", F.regexp_replace("q", word, F.col("synonym")).alias("text"))
         out = out.unionByName(m.select("query_id", F.lit(1).alias("step"), (-F.length("key")).alias("len"), "key", "n", "text"))
     same = [F.lit(0).alias("len"), F.lit("").alias("key"), F.lit(0).alias("n")]

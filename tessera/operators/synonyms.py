@@ -7,8 +7,9 @@ keys there are.
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,11 +54,16 @@ def _letter(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def letter_of(letters: str = "") -> Callable[[str], object]:
+    """Whether a character is one of ``letters`` (as in a pattern's brackets); without these, of Unicode's letters, digits and ``_``."""
+    return re.compile(f"[{letters}]").match if letters else _letter
+
+
 class Automaton:
     """Finds all keys in a text in one pass."""
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    def __init__(self, keys: list[str], letters: str = ""):
+        self.keys, self.letter = keys, letter_of(letters)
         self.step: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]  # keys that end in a state, those of its suffixes too
         for number, key in enumerate(keys):
@@ -93,12 +99,12 @@ class Automaton:
                 key = self.keys[number]
                 open_ = key.endswith("*")
                 lo, hi = i + 1 - len(key) + open_, i + 1
-                if lo and _letter(text[lo - 1]):
+                if lo and self.letter(text[lo - 1]):
                     continue
                 if open_:
-                    while hi < len(text) and _letter(text[hi]):
+                    while hi < len(text) and self.letter(text[hi]):
                         hi += 1
-                elif hi < len(text) and _letter(text[hi]):
+                elif hi < len(text) and self.letter(text[hi]):
                     continue
                 places = out.setdefault(number, [])
                 if not places or places[-1][1] <= lo:  # of places that overlap, the first
@@ -114,7 +120,7 @@ def replaced(text: str, places: list[tuple[int, int]], by: str) -> str:
     return "".join([*out, text[last:]])
 
 
-def substituted(queries: DataFrame, dictionary: list) -> DataFrame:
+def substituted(queries: DataFrame, dictionary: list, letters: str = "") -> DataFrame:
     """(query_id, key, n, text): ``queries`` (query_id, q) with each key that they have replaced by each of its synonyms.
 
     ``dictionary``: rows (key, n, synonym), a bounded list; the automaton is built once for each task.
@@ -126,7 +132,7 @@ def substituted(queries: DataFrame, dictionary: list) -> DataFrame:
         of.setdefault(r["key"], []).append((r["n"], r["synonym"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(keys)
+        automaton = Automaton(keys, letters)
         for b in batches:
             row, key, n, text = [], [], [], []
             for i, q in enumerate(b.column(1).to_pylist()):

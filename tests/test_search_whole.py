@@ -24,3 +24,14 @@ def test_trigram_list_sees_whole_chunks(spark, monkeypatch):
         search.search(q, c, expand=False)
     want = whole(q, c.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "section", "text").alias("text"))).first()["score"]
     assert [r["score"] for r in lists[0]] == [want] and want > 0.5
+
+
+def test_words_end_where_the_named_letters_do(spark, monkeypatch):
+    """A letter outside the named ones stands between two words, by the automaton and by the join."""
+    q = spark.createDataFrame([(1, "erenßpfad und eren")], "query_id int, text string")
+    syn = spark.createDataFrame([("eren", "und"), ("pfa*", "den")], "key string, synonym string")
+    texts = lambda **kw: sorted(r.text for r in retrieval.expanded(q, syn, **kw).collect())
+    for _ in range(2):
+        assert texts(letters="a-z0-9_") == ["erenßden und eren", "erenßpfad und eren", "undßpfad und und"]
+        assert texts() == ["erenßpfad und eren", "erenßpfad und und"]
+        monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 1)
