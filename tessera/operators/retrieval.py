@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from tessera.functions import fuzzy as Z
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import phrases as P
 from tessera.operators import synonyms as Y
-from tessera.sources.tables import written
+from tessera.sources.tables import small_batches, written
 
 # Depths, weights and gates of the ranking --------------------------------------------
 DEPTH = {"vec": 100, "fts": 100, "trgm": 60}
@@ -185,26 +186,38 @@ def websearch(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     """(query_id, doc_id) of documents that satisfy a query in web-search syntax: words (all), "phrases",
     ``or`` between words, and ``-word`` to exclude.
 
-    Each query becomes groups of alternatives (any of a group, all groups). Candidates come from the
-    terms by an equi-join; only they are checked.
+    Each query becomes groups of alternatives (any of a group, all groups). Documents are tokenized once; a pass over them for
+    each block of queries finds all alternatives and lets through only documents that satisfy a query. Rows of one id
+    are one document; no phrase goes from one row to the next.
     """
-    raw = F.lower(F.coalesce("text", F.lit("")))
-    items = F.regexp_extract_all(raw, F.lit(r'(?U)-?"[^"]+"|-?[\w]+'), 0)
-    q = queries.select("query_id", F.posexplode(items).alias("pos", "item"))
-    order = W.partitionBy("query_id").orderBy("pos")
-    q = q.withColumn("linked", (F.lag("item").over(order) == "or")).where("item <> 'or'")
-    q = q.withColumn("grp", F.sum(F.when(F.coalesce("linked", F.lit(False)), 0).otherwise(1)).over(order))
-    word = F.regexp_replace("item", '^-|"', "")
-    q = q.select("query_id", "grp", F.startswith("item", F.lit("-")).alias("out"), T.all_tokens(word).alias("terms")).where(F.size("terms") > 0)
-    d = docs.select(F.col(id_col).alias("doc_id"), T.all_tokens(F.col(text_col)).alias("toks"))
-    rare = q.select("query_id", "grp", "out", "terms", F.explode(F.array_distinct("terms")).alias("term"))
-    seen = d.select("doc_id", F.explode(F.array_distinct("toks")).alias("term")).join(_small(rare), "term")
-    hit = seen.groupBy("query_id", "grp", "out", "terms", "doc_id").agg(F.count("*").alias("n")).where(F.col("n") == F.size(F.array_distinct("terms")))
-    phrase = F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" "))
-    hit = hit.join(d, "doc_id").where((F.size("terms") == 1) | F.contains(F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")), phrase))
-    want = q.where("NOT out").groupBy("query_id").agg(F.countDistinct("grp").alias("n_grp"))
-    good = hit.where("NOT out").groupBy("query_id", "doc_id").agg(F.countDistinct("grp").alias("n")).join(want, "query_id").where("n = n_grp")
-    return good.select("query_id", "doc_id").join(hit.where("out").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    small_batches(docs.sparkSession)
+    q = P.wanted(P.parsed(queries))
+    d = written(docs.select(F.col(id_col).alias("doc_id"), _hashes(T.all_tokens(F.col(text_col))).alias("h")), "tokens")
+    again = written(d.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if again.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col("id"))
+        many = d.join(again, same, "left_semi").groupBy("doc_id").agg(F.flatten(F.collect_list(F.concat("h", F.array(F.lit(0).cast("long"))))).alias("h"))
+        d = written(d.join(again, same, "left_anti").unionByName(many), "tokens-by-id")
+    kinds = dict(d.dtypes) | dict(q.dtypes)
+
+    def one(block: list) -> DataFrame:
+        phrases, spark = P.Phrases(block), docs.sparkSession
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h, row, size = _flat(b.column(1))
+                at, phrase, _ = phrases.found(h, row, np.arange(len(h)))
+                order = np.argsort(row[at], kind="stable")
+                hit, phrase = row[at[order]], phrase[order]
+                for lo, hi in phrases.parts(hit, phrase, b.num_rows):
+                    x, y = np.searchsorted(hit, [lo, hi])
+                    r, q = np.nonzero(phrases.satisfied(hit[x:y] - lo, phrase[x:y], hi - lo))
+                    yield pa.record_batch([pa.array(q, pa.int32()), b.column(0).take(pa.array(r + lo))], names=["_q", "doc_id"])
+
+        names = spark.createDataFrame([(j, r["query_id"]) for j, r in enumerate(block)], f"_q int, query_id {kinds['query_id']}")
+        return d.mapInArrow(run, f"_q int, doc_id {kinds['doc_id']}").join(F.broadcast(names), "_q").select("query_id", "doc_id")
+
+    return _in_blocks(q, one, q.limit(0).select("query_id").crossJoin(d.limit(0).select("doc_id")))
 
 
 # Vectors ------------------------------------------------------------------------------------------

@@ -73,3 +73,12 @@ def step_path(spark: SparkSession, name: str) -> str:
         _OPEN.add(path)
         atexit.register(_delete, spark, path)
     return f"{path}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Whole texts go to Python ``rows`` at a time, not 10,000: a worker's memory is that of a batch, however large a partition is.
+
+    Sets the session's Arrow batch size, unless it is set below that already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

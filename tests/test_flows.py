@@ -283,3 +283,11 @@ def test_snapshot_adds_what_is_not_stored(spark):
     assert list(r["recent_queries"]) == [None, "new"]
     e = analytics.snapshot(log.limit(0), topics.limit(0)).first()
     assert (e["n"], e["avg_time"], list(e["popular_topics"]), list(e["recent_queries"])) == (0, 0.0, [], [])
+
+
+def test_websearch_takes_rows_of_one_id_as_one_document(spark):
+    """Rows of an id were counted twice, and so left out; a phrase doesn't go from one row to the next."""
+    d = spark.createDataFrame([(1, "red apple"), (1, "red pie"), (2, "red pie"), (2, "cold"), (None, "red pie"), (None, "pie")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "red"), (2, '"apple red"'), (3, "red -cold"), (4, "apple pie"), (5, "-red"), (6, None)], "query_id int, text string")
+    got = {(r["query_id"], r["doc_id"]) for r in retrieval.websearch(q, d).collect()}
+    assert got == {(1, 1), (1, 2), (1, None), (3, 1), (3, None), (4, 1)}
