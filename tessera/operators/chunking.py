@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.tables import small_batches
 
 # Header patterns with levels, sizes ----------------------------------------------------
 HEADERS = [
@@ -194,6 +195,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     Sections are made by windows; then each document's ordered sections are packed by a small function
     (Arrow), since what a section joins depends on what came before.
     """
+    small_batches(docs.sparkSession)
     split = pack_chars if mode == "chars" else pack_tokens
     s = sections(docs, id_col, text_col)
     kind = dict(s.dtypes)["doc_id"]
