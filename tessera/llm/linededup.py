@@ -13,9 +13,10 @@ least and greatest line. A pair counts only if the exact Jaccard similarity of t
 reaches the threshold. A line is first compared with its least partner; of the other pairs only those that
 are not connected yet are compared too. Lines of larger buckets that this has not connected as a whole (a
 passage that many lines share makes such buckets) meet once more by bands of five least shingles in
-twenty tables, which only similar lines share often. Verified pairs go to distributed union-find; the
-least line (by doc_id, then line number) of a component stays. No step makes all pairs of a bucket of
-more than 16 lines.
+twenty tables, which only similar lines share often. What is then not connected is compared in full: every
+pair of a large bucket's lines of different components goes by the bounds of their sizes and maps, in
+parts, and by the exact check if these allow it. So every pair that shares a band and holds is linked. Verified pairs go
+to distributed union-find; the least line (by doc_id, then line number) of a component stays.
 
 Lines travel by a 64-bit hash; texts are fetched for candidates alone. (Lines that share that hash
 but not a second one are told apart and keep their own.) Hot buckets: least and greatest are
@@ -43,6 +44,8 @@ from .windows import Polynomial, mix, slices, texts
 WIDTH = 9
 #: Bits of the map of a line's shingles that stands before the exact check.
 MAP = 256
+#: Lines of a large bucket that a task takes against all of it.
+PART = 1000
 #: The widest set of keys that is broadcast; beyond it, a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: The largest measured table of dropped lines that is broadcast to the texts; beyond it, they meet in a shuffle.
@@ -265,11 +268,36 @@ def linked(spark: SparkSession, lines: DataFrame, keyed: DataFrame, threshold: f
     if many.limit(1).count():  # large buckets: their lines that aren't connected meet again
         again = candidates(spark, _longer(spark, many, known, text))[0]
         found = _more(spark, again, known, text, threshold, "edges-3")
+        if found.limit(1).count():
+            edges = edges.unionByName(found)
+            known = components(spark, edges).df
+        found = _rest(spark, many, known, text, threshold)  # what neither connects: every pair of a bucket
         if found.limit(1).count():
             known = components(spark, edges.unionByName(found)).df
     return known
 
 
+def _rest(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of lines of large buckets (band, h1) that hold and that ``known`` (node, root) doesn't connect. None is left out.
+
+    Lines meet by bucket and size class (a partner's class is the same or the next), a bucket's lines in parts against all, so no
+    task has a whole bucket's pairs. Sketches decide within the join: only pairs that can reach the threshold are written.
+    """
+    rooted = Table(spark, many.join(known, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("root", "h1").alias("root")), "rest-rooted").df
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo < hi")
+    size = F.get("sketch", 0)
+    kind = F.floor(F.log(size.cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
+    rows = rooted.join(split.select("band", "parts"), "band").join(text.select("h1", "sketch"), "h1")
+    rows = Table(spark, rows.select("band", "parts", "root", "h1", "sketch", size.alias("size"), kind.alias("kind")), "rest-rows").df
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "sketch", "size")]
+    large = rows.select("band", "kind", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), *side("y"))
+    lesser = rows.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "kind", "part", *side("x"))
+    once = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_h1") < F.col("y_h1")))
+    met = lesser.join(large, ["band", "kind", "part"]).where(once & (F.col("x_root") != F.col("y_root")) & _possible(F.col("x_sketch"), F.col("y_sketch"), threshold))
+    pairs = Table(spark, met.select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).distinct(), "rest-pairs").df
+    return _verified(spark, pairs, text, threshold, "edges-4")
+
+
 def _longer(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFrame) -> DataFrame:
     """(h1, bands), written: longer bands of lines of large buckets (band, h1) that ``known`` (node, root) doesn't connect as a whole."""
     rooted = Table(spark, many.join(known, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("root", "h1").alias("root")), "large-rooted").df

@@ -88,3 +88,21 @@ def test_recall_on_whole_table(spark, capsys):
     with capsys.disabled():
         print(f"\nline dedup on sf0.01: {found} of {len(truth)} pairs share a component")
     assert truth and found >= 0.98 * len(truth)
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """A bucket of 60 lines, in pairs that its ends don't connect, and that longer bands don't find."""
+    from tessera.llm.common import Table
+
+    rng = random.Random(4)
+    lines = []
+    for _ in range(30):
+        x = "".join(rng.choices("abcdefghij", k=80))
+        lines += [x, x + "!"]
+    monkeypatch.setattr(linededup, "longer_bands", lambda line: F.array(F.xxhash64(line)))
+    monkeypatch.setattr(linededup, "PART", 7)
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    keyed = Table(spark, df.select(F.xxhash64("line").alias("h1"), F.array(F.lit(1).cast("long")).alias("bands")), "keyed").df
+    of = {r.node: r.root for r in linededup.linked(spark, df, keyed).collect()}
+    h = [r.h for r in df.select(F.xxhash64("line").alias("h")).collect()]
+    assert len(of) == 60 and all(of[a] == of[b] for a, b in zip(h[::2], h[1::2])) and len(set(of.values())) == 30
