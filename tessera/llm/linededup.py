@@ -44,6 +44,8 @@ from .windows import Polynomial, mix, slices, texts
 WIDTH = 9
 #: Bits of the map of a line's shingles that stands before the exact check.
 MAP = 256
+#: And of the map that stands before it where every pair of a bucket meets.
+WIDE_MAP = 2048
 #: Lines of a large bucket that a task takes against all of it.
 PART = 1000
 #: The widest set of keys that is broadcast; beyond it, a shuffle.
@@ -206,16 +208,16 @@ def candidates(spark: SparkSession, keyed: DataFrame, small: int = 16) -> tuple[
     return Table(spark, pairs.distinct(), "pairs").df, Table(spark, many.select("band", "h1"), "large-buckets").df
 
 
-def sketch(line: Column) -> Column:
-    """The number of a line's distinct shingles, then a map of 256 bits that they set."""
+def sketch(line: Column, size: int = MAP) -> Column:
+    """The number of a line's distinct shingles, then a map of ``size`` bits that they set."""
 
     def run(x):
         h, edge = _hashes(x)
         n = len(x)
         h, row = _distinct(h, np.repeat(np.arange(n), np.diff(edge)))
-        bits = np.zeros(n * MAP, dtype=bool)
-        bits[row * MAP + (mix(h) % _U(MAP)).astype(np.int64)] = True
-        words = np.packbits(bits.reshape(n, MAP), axis=1).view(np.int64)
+        bits = np.zeros(n * size, dtype=bool)
+        bits[row * size + (mix(h) % _U(size)).astype(np.int64)] = True
+        words = np.packbits(bits.reshape(n, size), axis=1).view(np.int64)
         out = np.concatenate([np.bincount(row, minlength=n)[:, None], words], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
@@ -229,11 +231,11 @@ def _texts(spark: SparkSession, lines: DataFrame, keys: DataFrame) -> DataFrame:
     return Table(spark, once.select("h1", "line", sketch(F.col("line")).alias("sketch")), "candidate-lines").df
 
 
-def _possible(a: Column, b: Column, threshold: float) -> Column:
+def _possible(a: Column, b: Column, threshold: float, size: int = MAP) -> Column:
     """Whether two sketches allow the threshold. Sets of x and y shingles that reach t have sizes in proportion and differ in (1 - t) / (1 + t) (x + y) of
     them at most, and the bits in which their maps differ are no more than that: no pair that reaches it is lost."""
     x, y = F.get(a, 0), F.get(b, 0)
-    off = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, 1 + MAP // 64)), F.lit(0))
+    off = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, 1 + size // 64)), F.lit(0))
     return (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9) & (off <= (1 - threshold) / (1 + threshold) * (x + y) + 1e-9)
 
 
@@ -287,13 +289,15 @@ def _rest(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFram
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo < hi")
     size = F.get("sketch", 0)
     kind = F.floor(F.log(size.cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
-    rows = rooted.join(split.select("band", "parts"), "band").join(text.select("h1", "sketch"), "h1")
-    rows = Table(spark, rows.select("band", "parts", "root", "h1", "sketch", size.alias("size"), kind.alias("kind")), "rest-rows").df
-    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "sketch", "size")]
+    rows = Table(spark, rooted.join(split.select("band", "parts"), "band"), "rest-keys").df
+    of = Table(spark, text.join(_light(rows.select("h1").distinct()), "h1", "left_semi").select("h1", "sketch", sketch(F.col("line"), WIDE_MAP).alias("wide")), "rest-sketches").df
+    rows = rows.join(of, "h1").select("band", "parts", "root", "h1", "sketch", "wide", size.alias("size"), kind.alias("kind"))
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "sketch", "wide", "size")]
     large = rows.select("band", "kind", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), *side("y"))
     lesser = rows.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "kind", "part", *side("x"))
     once = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_h1") < F.col("y_h1")))
-    met = lesser.join(large, ["band", "kind", "part"]).where(once & (F.col("x_root") != F.col("y_root")) & _possible(F.col("x_sketch"), F.col("y_sketch"), threshold))
+    may = _possible(F.col("x_sketch"), F.col("y_sketch"), threshold) & _possible(F.col("x_wide"), F.col("y_wide"), threshold, WIDE_MAP)
+    met = lesser.join(large, ["band", "kind", "part"]).where(once & (F.col("x_root") != F.col("y_root")) & may)
     pairs = Table(spark, met.select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).distinct(), "rest-pairs").df
     return _verified(spark, pairs, text, threshold, "edges-4")
 
