@@ -18,6 +18,12 @@ def by_id(table: DataFrame, value, id_col: str = "id") -> DataFrame:
     return table.where(F.col(id_col) == value)
 
 
+def spread(rows: DataFrame, each: int = 5_000) -> DataFrame:
+    """``rows`` (of a stored table) dealt to tasks of about ``each`` rows: for narrow tables, few files of which hold much work."""
+    n = -(-rows.count() // each)
+    return rows.repartition(n) if n > 1 else rows
+
+
 def append_new(spark: SparkSession, rows: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose keys the table lacks; of rows with one key in the batch, one."""
     new = rows.dropDuplicates(keys)
