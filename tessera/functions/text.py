@@ -83,13 +83,22 @@ def unaccent_exact(x: pd.Series) -> pd.Series:
     return x.map(lambda s: s if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c) != "Mn"))
 
 
+def is_ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.char_length(x)
+
+
 def normalize(x: Column, exact: bool = False) -> Column:
-    """Lower case, ё as е, no marks, plain single spaces, no invisible characters. Null stays null."""
-    low = F.translate(F.lower(x), "ё", "е")
-    base = (unaccent_exact if exact else unaccent)(low)
+    """Lower case, ё as е, no marks, plain single spaces, no invisible characters. Null stays null.
+
+    One pass maps all characters, since each is judged by itself; texts of ASCII need none."""
     spaces, gone = "".join(map(chr, EXOTIC_SPACES)), "".join(map(chr, INVISIBLES))
-    plain = F.translate(base, spaces + gone, " " * len(spaces))
-    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    low = F.lower(x)
+    if exact:
+        plain = F.translate(unaccent_exact(F.replace(low, F.lit("ё"), F.lit("е"))), spaces + gone, " " * len(spaces))
+        return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    src, dst = _FOLD
+    plain = F.regexp_replace(F.translate(low, src + spaces + gone, dst + " " * len(spaces)), r"\p{Mn}+", "")
+    return F.trim(F.when(is_ascii(x), F.regexp_replace(low, r"\s+", " ")).otherwise(F.regexp_replace(plain, r"(?U)\s+", " ")))
 
 
 def normalize_query(x: Column) -> Column:
@@ -110,7 +119,7 @@ def group_key(book: Column, title: Column) -> Column:
 
 def all_tokens(x: Column) -> Column:
     """Tokens of three or more letters and digits, in order, with repeats."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(x, F.lit(""))), "ё", "е"), F.lit(TOKEN), 0)
+    return F.regexp_extract_all(F.replace(F.lower(F.coalesce(x, F.lit(""))), F.lit("ё"), F.lit("е")), F.lit(TOKEN), 0)
 
 
 def tokens(x: Column) -> Column:
@@ -287,17 +296,31 @@ def drop_repeated_paragraphs(x: Column, short: int = 200) -> Column:
     return F.transform(_keyed(F.split(x, r"\n\s*\n+")), lambda s: F.array_join(keep(s), "\n\n"))[0]
 
 
-def clean(x: Column, keep_paragraphs: bool = False) -> Column:
-    """The cleaning pipeline in its order; lines are joined over white space unless ``keep_paragraphs``."""
-    s = F.translate(x, " ​﻿", "   ")
-    for p, to in [
-        (r"\r\n|\r", "\n"), (r"\n{4,}", "\n\n\n"), (r"[ \t]+", " "), (r"[ \t]+\n", "\n"),
-        (r"(?iuU)Стр(?:аница)?\.?\s*\d+\s*(?:из\s*\d+)?", ""), (r"_{10,}", ""), (r"-{10,}", ""),
-        (r"(?iu)([а-яё])\s*-\s*\n\s*([а-яё])", "$1$2"),
-    ]:
+#: Letters that the patterns over Cyrillic words can match, in either case.
+_CYRILLIC = r"[\u0400-\u052F\u1C80-\u1C8F\uA640-\uA69F]"
+_RULES_OFF = [(r"_{10,}", ""), (r"-{10,}", "")]
+_PAGE, _HYPHEN = (r"(?iuU)Стр(?:аница)?\.?\s*\d+\s*(?:из\s*\d+)?", ""), (r"(?iu)([а-яё])\s*-\s*\n\s*([а-яё])", "$1$2")
+
+
+def _replaced(s: Column, steps: list[tuple[str, str]]) -> Column:
+    for p, to in steps:
         s = F.regexp_replace(s, p, to)
+    return s
+
+
+def clean(x: Column, keep_paragraphs: bool = False) -> Column:
+    """The cleaning pipeline in its order; lines are joined over white space unless ``keep_paragraphs``.
+
+    Texts without Cyrillic letters skip the patterns over them."""
+    s = x
+    for c, to in (("\u200b", " "), ("\ufeff", " "), ("\r\n", "\n"), ("\r", "\n")):
+        s = F.replace(s, F.lit(c), F.lit(to))
+    s = _replaced(s, [(r"\n{4,}", "\n\n\n"), (r"[ \t]{2,}|\t", " ")])
+    s = F.replace(s, F.lit(" \n"), F.lit("\n"))  # no longer run of blanks is left
+    s = F.transform(F.array(s), lambda s: F.when(s.rlike(_CYRILLIC), _replaced(s, [_PAGE, *_RULES_OFF, _HYPHEN])).otherwise(_replaced(s, _RULES_OFF)))[0]
     if not keep_paragraphs:
         s = F.regexp_replace(s, r"(?U)(\w)\s*\n\s*(\w)", "$1 $2")
     return F.trim(drop_repeated_paragraphs(collapse_lines(strip_quotes(s))))
 
 
+

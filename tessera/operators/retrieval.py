@@ -310,7 +310,9 @@ def trigrams(x: Column) -> Column:
 
 def _spaced(x: Column) -> Column:
     """A normalized text's words, each with two blanks before and one after."""
-    return F.concat(F.lit("  "), F.trim(F.regexp_replace(T.normalize(x), r"(?U)[^\w]+", "   ")), F.lit(" "))
+    n = T.normalize(x)
+    words = F.when(T.is_ascii(x), F.regexp_replace(n, r"\W+", "   ")).otherwise(F.regexp_replace(n, r"(?U)[^\w]+", "   "))
+    return F.concat(F.lit("  "), F.trim(words), F.lit(" "))
 
 
 def _codes(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
