@@ -36,6 +36,8 @@ HEAD_CHARS = 420
 
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 BLOCK, ROWS, TERMS = 500, 256, 50_000
+#: Multiplications that a matrix product makes in the time that counting a hit takes.
+STEP = 300
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,12 +91,22 @@ class _Vocabulary:
         key, times = np.unique(row[hit] * len(self.hashes) + spot[hit], return_counts=True)
         return key // len(self.hashes), key % len(self.hashes), times.astype(float)
 
+    def steps(self, spot: np.ndarray) -> np.ndarray:
+        """The number of queries that have each hit."""
+        return self.first[spot + 1] - self.first[spot]
+
+    def _cells(self, row: np.ndarray, spot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[spot], n)
+        return np.repeat(row, n) * len(self.sizes) + self.queries[at]
+
+    def counts(self, row: np.ndarray, spot: np.ndarray, rows: int) -> np.ndarray:
+        """Counts of hits as a matrix rows x queries."""
+        return np.bincount(self._cells(row, spot, self.steps(spot)), minlength=rows * len(self.sizes)).reshape(rows, len(self.sizes))
+
     def spread(self, row: np.ndarray, spot: np.ndarray, weight: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums of weights, and counts of hits, as matrices rows x queries: a step for each hit and query that has it."""
-        n = self.first[spot + 1] - self.first[spot]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[spot], n)
-        cell = np.repeat(row, n) * len(self.sizes) + self.queries[at]
-        shape = (rows, len(self.sizes))
+        n = self.steps(spot)
+        cell, shape = self._cells(row, spot, n), (rows, len(self.sizes))
         return np.bincount(cell, np.repeat(weight, n), minlength=rows * shape[1]).reshape(shape), np.bincount(cell, minlength=rows * shape[1]).reshape(shape)
 
 
@@ -116,14 +128,17 @@ def _best(rows: DataFrame, block: list, kind: str, k: int, score: Callable) -> D
     n = len(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((k, n), -np.inf)
+        best, least = np.full((k, n), -np.inf), np.full(n, -np.inf)
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 part = pa.record_batch([pa.concat_arrays([c.slice(lo, ROWS)]) for c in b.columns], names=b.schema.names)
                 s = score(part)
-                both = np.concatenate([best, s])
-                best = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
-                row, q = np.nonzero((s >= best.min(axis=0) - 1e-6) & (s > -np.inf))
+                up = np.flatnonzero((s > least).any(axis=0))  # queries whose best rows change
+                if len(up):
+                    both = np.concatenate([best[:, up], s[:, up]])
+                    best[:, up] = both = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+                    least[up] = both.min(axis=0)
+                row, q = np.nonzero((s >= least - 1e-6) & (s > -np.inf))
                 cols = [ids.take(pa.array(q)), pa.array(s[row, q]), *[part.column(c).take(pa.array(row)) for c in names]]
                 yield pa.record_batch(cols, names=["_q", "raw", *names])
 
@@ -145,6 +160,34 @@ def _hashes(terms: Column) -> Column:
     return F.transform(terms, lambda t: F.xxhash64(t))
 
 
+def _together(d: DataFrame) -> DataFrame:
+    """``d`` (doc_id, h), a written table, with the rows of one id as one document; a 0 ends each of them."""
+    again = written(d.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if not again.limit(1).count():
+        return d
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    many = d.join(again, same, "left_semi").groupBy("doc_id").agg(F.flatten(F.collect_list(F.concat("h", F.array(F.lit(0).cast("long"))))).alias("h"))
+    return written(d.join(again, same, "left_anti").unionByName(many), "tokens-by-id")
+
+
+def _frequencies(d: DataFrame, vocab: _Vocabulary) -> np.ndarray:
+    """How many rows of ``d`` (doc_id, h) have each hash of the vocabulary: counted within tasks, a row for each hash and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(vocab.hashes), np.int64)
+        for b in batches:
+            h, row, _ = _flat(b.column(0))
+            n += np.bincount(vocab.hits(h, row)[1], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at, pa.int64()), pa.array(n[at])], names=["at", "n"])
+
+    small_batches(d.sparkSession)
+    out = np.zeros(len(vocab.hashes))
+    for r in d.select("h").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # hashes of one block
+        out[r["at"]] = r["n"]
+    return out
+
+
 # Lexical ------------------------------------------------------------------------------------------
 
 
@@ -160,13 +203,11 @@ def lexical(queries: DataFrame, docs: DataFrame, k: int = 10, match_all: bool =
     kinds = dict(d.dtypes) | dict(q.dtypes)
     whole = d.agg(F.count("*").alias("n"), F.avg(F.size("h")).alias("len")).first()
     mean = whole["len"] or 1.0
+    by_id = _together(d)
 
     def one(block: list) -> DataFrame:
         vocab = _Vocabulary(block)
-        want = docs.sparkSession.createDataFrame([(int(h),) for h in vocab.hashes], "term long")
-        each = d.select(F.explode("h").alias("term"), "doc_id").join(F.broadcast(want), "term", "left_semi").distinct()
-        df = {r["term"]: r["df"] for r in each.groupBy("term").agg(F.count("*").alias("df")).collect()}  # terms of one block
-        have = np.array([df.get(int(h), 0) for h in vocab.hashes], float)
+        have = _frequencies(by_id, vocab)
         idf = np.log(1 + (whole["n"] - have + 0.5) / (have + 0.5))
 
         def score(part: pa.RecordBatch) -> np.ndarray:
@@ -194,11 +235,7 @@ def websearch(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     small_batches(docs.sparkSession)
     q = P.wanted(P.parsed(queries))
     d = written(docs.select(F.col(id_col).alias("doc_id"), _hashes(T.all_tokens(F.col(text_col))).alias("h")), "tokens")
-    again = written(d.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
-    if again.limit(1).count():
-        same = F.col("doc_id").eqNullSafe(F.col("id"))
-        many = d.join(again, same, "left_semi").groupBy("doc_id").agg(F.flatten(F.collect_list(F.concat("h", F.array(F.lit(0).cast("long"))))).alias("h"))
-        d = written(d.join(again, same, "left_anti").unionByName(many), "tokens-by-id")
+    d = _together(d)
     kinds = dict(d.dtypes) | dict(q.dtypes)
 
     def one(block: list) -> DataFrame:
@@ -323,11 +360,23 @@ def _codes(spaced: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(texts)), size)
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    code = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
     within = (row[:-2] == row[2:]) & ~((c[1:-1] == 32) & (c[2:] == 32))  # not from one word to the next
-    code, row = code[within], row[:-2][within]
-    order = np.lexsort((code, row))
-    code, row = code[order], row[order]
+    row = row[:-2][within]
+    points = np.unique(c) if len(c) < 1 << 16 else np.flatnonzero(np.bincount(c))
+    bits = max(1, (len(points) - 1).bit_length())
+    if 3 * bits + len(texts).bit_length() > 63:  # as good as never
+        code = ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[within]
+        order = np.lexsort((code, row))
+        code, row = code[order], row[order]
+    else:  # row and ranks of the three code points in one number: one sort
+        rank = np.zeros(points[-1] + 1, np.int64)
+        rank[points] = np.arange(len(points))
+        r = rank[c]
+        key = (row << 3 * bits) | (((r[:-2] << 2 * bits) | (r[1:-1] << bits) | r[2:])[within])
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+        row, low = key >> 3 * bits, (1 << bits) - 1
+        code = (points[key >> 2 * bits & low] << 42) | (points[key >> bits & low] << 21) | points[key & low]
     new = np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])) if len(code) else np.zeros(0, bool)
     return code[new], row[new], np.bincount(row[new], minlength=len(texts))
 
@@ -358,9 +407,12 @@ def trigram(queries: DataFrame, docs: DataFrame, k: int = 60, threshold: float |
                 place[fits] = np.arange(len(fits))
                 stays = place[row] >= 0
                 at, spot, _ = vocab.hits(code[stays], place[row[stays]])
-                have = np.zeros((len(fits), len(vocab.hashes)), np.float32)
-                have[at, spot] = 1
-                met[fits] = have @ ones  # counts below 2^24 are exact
+                if vocab.steps(spot).sum() * STEP < len(fits) * ones.size:
+                    met[fits] = vocab.counts(at, spot, len(fits))
+                else:
+                    have = np.zeros((len(fits), len(vocab.hashes)), np.float32)
+                    have[at, spot] = 1
+                    met[fits] = have @ ones  # counts below 2^24 are exact
             s = met / np.maximum(vocab.sizes + n[:, None] - met, 1)
             return np.where((met > 0) & (s >= least), s, -np.inf)
 
@@ -462,11 +514,16 @@ def label_boost(scored: DataFrame, labels: DataFrame, wanted: DataFrame, factor:
     """``scored`` with its score times ``factor`` for each of a document's labels that the query wants.
 
     ``labels`` (doc_id, ns, code, path), ``wanted`` (query_id, ns, code): a label counts by its code or an ancestor.
+    A document's labels and a query's wishes meet on the scored rows alone, never each with each.
     """
-    each = labels.select("doc_id", "ns", F.col("code").alias("own"), F.explode(F.array_distinct(F.concat(F.array("code"), F.coalesce("path", F.array().cast("array<string>"))))).alias("code"))
-    hits = each.join(_small(wanted.distinct()), ["ns", "code"]).select("query_id", "doc_id", "ns", "own").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("n_hits"))
-    out = scored.join(hits, ["query_id", "doc_id"], "left")
-    return out.withColumn("score", F.round(F.col("score") * F.pow(F.lit(factor), F.coalesce("n_hits", F.lit(0))), digits)).drop("n_hits")
+    codes = F.filter(F.array_distinct(F.concat(F.array("code"), F.coalesce("path", F.array().cast("array<string>")))), lambda c: c.isNotNull())
+    of = labels.where("ns IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.struct("ns", F.col("code").alias("own"), codes.alias("codes"))).alias("_labels"))
+    want = wanted.where("ns IS NOT NULL AND code IS NOT NULL").groupBy("query_id").agg(F.collect_set(F.struct("ns", "code")).alias("_wanted"))
+    out = scored.join(of, "doc_id", "left").join(_small(want), "query_id", "left")
+    hit = F.filter("_labels", lambda x: F.exists(x.codes, lambda c: F.array_contains("_wanted", F.struct(x.ns.alias("ns"), c.alias("code")))))
+    n = F.when(F.col("_labels").isNotNull() & F.col("_wanted").isNotNull(), F.size(F.array_distinct(F.transform(hit, lambda x: F.struct(x.ns.alias("ns"), x.own.alias("own")))))).otherwise(0)
+    out = out.withColumn("score", F.round(F.col("score") * F.pow(F.lit(factor), n), digits))
+    return out.select("query_id", "doc_id", *[c for c in scored.columns if c not in ("query_id", "doc_id")])
 
 
 def rerank_snippet(query: Column, text: Column, most: int = 700) -> Column:
