@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.binding import bound
+from tessera.sources.tables import written
 
 KEYWORD = r"(?U)\b[а-яёА-ЯЁa-zA-Z]{4,}\b"
 #: Words that are never keywords.
@@ -41,10 +43,36 @@ def token_stats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 def keywords(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", top: int = 20, least: int = 4, keep: int = 10) -> DataFrame:
     """(id, keywords): of a document's ``top`` most frequent words those with ``least`` uses, the first ``keep``.
 
-    Ties go by first use. Documents without any are left out. The shuffle carries a row for each
-    distinct word of a document, counted before it.
+    Ties go by first use. Documents without any are left out. Words are counted within their row and not
+    shuffled; only rows that share an id are, by a row for each distinct word of a document, counted before it.
     """
-    words = docs.select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(KEYWORD), 0)).alias("pos", "word"))
+    rows = docs.select(id_col, F.col(text_col).alias("_text"))
+    ids = rows.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_id"))
+    again = written(ids, "repeated-ids")
+    if not again.limit(1).count():
+        return _keywords_in_place(rows, id_col, top, least, keep)
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    once, many = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+    return _keywords_in_place(once, id_col, top, least, keep).unionByName(_keywords_by_id(many, id_col, top, least, keep))
+
+
+def _keywords_in_place(rows: DataFrame, id_col: str, top: int, least: int, keep: int) -> DataFrame:
+    """``keywords`` of rows (id, _text) with ids of their own: a text's words in order, runs of equal words counted there."""
+    words = F.transform(F.regexp_extract_all("_text", F.lit(KEYWORD), 0), lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("pos")))
+    d = bound(rows, _s=F.array_sort(words)).select(id_col, "_s")
+    # a word with `least` uses begins where the word before differs and the one `least` - 1 further on doesn't
+    before, on = lambda i: F.get("_s", i - 1)["w"], lambda i: F.get("_s", i + (least - 1))["w"]
+    begins = F.filter(F.transform("_s", lambda x, i: F.struct(x.w.alias("w"), x.pos.alias("pos"), i.alias("i"))), lambda x: (on(x.i) == x.w) & ~before(x.i).eqNullSafe(x.w))
+    ends = F.filter(F.transform("_s", lambda x, i: F.struct(x.w.alias("w"), i.alias("i"))), lambda x: (F.get("_s", x.i - (least - 1))["w"] == x.w) & ~F.get("_s", x.i + 1)["w"].eqNullSafe(x.w))
+    d = bound(d, _b=begins, _e=ends).select(id_col, "_b", "_e")
+    ranked = F.transform("_b", lambda x, k: F.struct((x.i - F.get("_e", k)["i"]).alias("n"), x.pos.alias("pos"), x.w.alias("word")))
+    best = F.filter(F.slice(F.array_sort(ranked), 1, top), lambda x: ~x.word.isin(NOT_KEYWORDS))
+    return d.select(id_col, F.slice(F.transform(best, lambda x: x.word), 1, keep).alias("keywords")).where(F.size("keywords") > 0)
+
+
+def _keywords_by_id(rows: DataFrame, id_col: str, top: int, least: int, keep: int) -> DataFrame:
+    """``keywords`` of rows (id, _text), those of one id together."""
+    words = rows.select(id_col, F.posexplode(F.regexp_extract_all(F.col("_text"), F.lit(KEYWORD), 0)).alias("pos", "word"))
     n = words.groupBy(id_col, F.lower("word").alias("word")).agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(W.partitionBy(id_col).orderBy(F.desc("n"), "pos"))
     best = n.withColumn("rank", rank).where((F.col("rank") <= top) & (F.col("n") >= least) & ~F.col("word").isin(NOT_KEYWORDS))
