@@ -15,6 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The widest set of keys that is broadcast; beyond it, a shuffle.
+BROADCAST_KEYS = 1_000_000
 _RUN = uuid.uuid4().hex[:12]
 _FALLBACK = "/tmp/checkpoints"
 _CLEAN: set[str] = set()
@@ -86,6 +88,11 @@ class Table:
         drop_path(self.spark, self.path)
 
 
+def light(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """With a broadcast hint if the (written) table has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def lower_ascii(col):
     """A-Z to a-z; all other characters stay."""
     return F.translate(col, UPPER, LOWER)

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import SPACES, Table, fresh, row_key, scratch, small_batches
+from .common import SPACES, Table, fresh, light, row_key, scratch, small_batches
 from .components import components
 from .windows import Polynomial, mix, slices, texts
 
@@ -45,13 +45,9 @@ WIDTH = 9
 #: Bits of the map of a line's shingles that stands before the exact check.
 MAP = 256
 #: And of the map that stands before it where every pair of a bucket meets.
-WIDE_MAP = 2048
+WIDE_MAP = 1024
 #: Lines of a large bucket that a task takes against all of it.
 PART = 1000
-#: The widest set of keys that is broadcast; beyond it, a shuffle.
-BROADCAST_KEYS = 1_000_000
-#: The largest measured table of dropped lines that is broadcast to the texts; beyond it, they meet in a shuffle.
-BROADCAST_BYTES = 16 << 20
 
 _U = np.uint64
 _LONGS = ArrayType(LongType())
@@ -183,11 +179,6 @@ def longer_bands(line: Column, tables: int = 20, rows: int = 5) -> Column:
     return F.arrow_udf(lambda x: _in_parts(run, x), _LONGS)(line)
 
 
-def _light(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """With a broadcast hint if the (written) table has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def candidates(spark: SparkSession, keyed: DataFrame, small: int = 16) -> tuple[DataFrame, DataFrame]:
     """(a, b), a < b: keys (h1) of lines that share a bucket: all pairs of a bucket of at most ``small`` distinct
     keys, else each line with the bucket's ends; and (band, h1) of these larger buckets. ``keyed`` (h1, bands)
@@ -196,7 +187,7 @@ def candidates(spark: SparkSession, keyed: DataFrame, small: int = 16) -> tuple[
     ends = banded.groupBy("band").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.count("*").alias("n")).where("least < most")
     ends = Table(spark, ends, "buckets").df
     wide = Table(spark, ends.where("n > 2"), "wide-buckets").df
-    met = Table(spark, banded.join(_light(wide.select("band")), "band").select("band", "h1").distinct(), "bucket-keys").df
+    met = Table(spark, banded.join(light(wide.select("band")), "band").select("band", "h1").distinct(), "bucket-keys").df
     size = Table(spark, met.groupBy("band").agg(F.count("*").alias("size"), F.min("h1").alias("least"), F.max("h1").alias("most")), "bucket-sizes").df
     # bounded groups: their pairs are made in place
     group = met.join(size.where(F.col("size") <= small).select("band"), "band", "left_semi").groupBy("band").agg(F.sort_array(F.collect_list("h1")).alias("g"))
@@ -226,7 +217,7 @@ def sketch(line: Column, size: int = MAP) -> Column:
 
 def _texts(spark: SparkSession, lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(h1, line, sketch): the lines of ``keys``, written."""
-    text = lines.select("line", F.xxhash64("line").alias("h1")).join(_light(keys), "h1", "left_semi")
+    text = lines.select("line", F.xxhash64("line").alias("h1")).join(light(keys), "h1", "left_semi")
     once = text.groupBy("h1").agg(F.min_by("line", F.xxhash64(F.lit(1), "line")).alias("line"))
     return Table(spark, once.select("h1", "line", sketch(F.col("line")).alias("sketch")), "candidate-lines").df
 
@@ -244,6 +235,8 @@ def _verified(spark: SparkSession, pairs: DataFrame, text: DataFrame, threshold:
     brief = lambda n: text.select(F.col("h1").alias(n), F.col("sketch").alias(f"{n}_sketch"))
     pairs = pairs.join(brief("a"), "a").join(brief("b"), "b").where(_possible(F.col("a_sketch"), F.col("b_sketch"), threshold)).select("a", "b")
     pairs = Table(spark, pairs, f"{name}-possible").df
+    met = Table(spark, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), f"{name}-keys").df
+    text = text.join(light(met), "h1", "left_semi")
     side = lambda n: text.select(F.col("h1").alias(n), F.col("line").alias(f"{n}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(similar(F.col("a_line"), F.col("b_line"), threshold))
     return Table(spark, both.select("a", "b"), name).df
@@ -287,17 +280,24 @@ def _rest(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFram
     """
     rooted = Table(spark, many.join(known, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("root", "h1").alias("root")), "rest-rooted").df
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo < hi")
-    size = F.get("sketch", 0)
-    kind = F.floor(F.log(size.cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
     rows = Table(spark, rooted.join(split.select("band", "parts"), "band"), "rest-keys").df
-    of = Table(spark, text.join(_light(rows.select("h1").distinct()), "h1", "left_semi").select("h1", "sketch", sketch(F.col("line"), WIDE_MAP).alias("wide")), "rest-sketches").df
-    rows = rows.join(of, "h1").select("band", "parts", "root", "h1", "sketch", "wide", size.alias("size"), kind.alias("kind"))
-    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "sketch", "wide", "size")]
+    keys = Table(spark, rows.select("h1").distinct(), "rest-lines").df
+    of = text.join(light(keys), "h1", "left_semi").select("h1", sketch(F.col("line"), WIDE_MAP).alias("wide"))
+    # the map as plain columns that are never null: the join's condition stays short enough to be compiled
+    words = [f"w{i}" for i in range(WIDE_MAP // 64)]
+    of = Table(spark, of, "rest-sketches").df.select("h1", *[F.coalesce(F.get("wide", i), F.lit(0)).alias(c) for i, c in enumerate(["size", *words])])
+    kind = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
+    rows = rows.join(of, "h1").withColumn("kind", kind)
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "size", *words)]
     large = rows.select("band", "kind", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), *side("y"))
     lesser = rows.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "kind", "part", *side("x"))
     once = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_h1") < F.col("y_h1")))
-    may = _possible(F.col("x_sketch"), F.col("y_sketch"), threshold) & _possible(F.col("x_wide"), F.col("y_wide"), threshold, WIDE_MAP)
-    met = lesser.join(large, ["band", "kind", "part"]).where(once & (F.col("x_root") != F.col("y_root")) & may)
+    fits = once & (F.col("x_root") != F.col("y_root")) & (F.col("x_size") >= threshold * F.col("y_size") - 1e-9)
+    # a bound as in _possible; most pairs are over it after a part of the map
+    off = [F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words]
+    for n in (len(words) // 4, len(words) // 2, len(words)):
+        fits = fits & (sum(off[1:n], off[0]) <= (1 - threshold) / (1 + threshold) * (F.col("x_size") + F.col("y_size")) + 1e-9)
+    met = lesser.join(large, ["band", "kind", "part"]).where(fits)
     pairs = Table(spark, met.select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).distinct(), "rest-pairs").df
     return _verified(spark, pairs, text, threshold, "edges-4")
 
@@ -307,7 +307,7 @@ def _longer(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFr
     rooted = Table(spark, many.join(known, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("root", "h1").alias("root")), "large-rooted").df
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     keys = Table(spark, rooted.join(split.select("band"), "band", "left_semi").select("h1").distinct(), "large-keys").df
-    return Table(spark, text.join(_light(keys), "h1", "left_semi").select("h1", longer_bands(F.col("line")).alias("bands")), "longer-bands").df
+    return Table(spark, text.join(light(keys), "h1", "left_semi").select("h1", longer_bands(F.col("line")).alias("bands")), "longer-bands").df
 
 
 def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, kept: int = 8, rows: int = 2) -> DataFrame:
@@ -347,8 +347,8 @@ def without_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     key, gone = fresh(docs, "_id"), fresh(docs, "_gone")
     off = lines.where("NOT kept").groupBy(F.col("row").alias(key)).agg(F.collect_set("line_no").alias(gone))
     off = Table(spark, off, "dropped-lines").df
-    size = off.agg(F.sum(F.size(gone).cast("long") * 8 + 64)).first()[0] or 0
-    joined = docs.join(F.broadcast(off) if size <= BROADCAST_BYTES else off, F.when(F.col(id_col).isNotNull(), row_key(id_col, text_col)) == F.col(key), "left")
+    # the table grows with the texts, so it is never broadcast: they meet in one shuffle at any size
+    joined = docs.join(off.hint("merge"), F.when(F.col(id_col).isNotNull(), row_key(id_col, text_col)) == F.col(key), "left")
     # dropped lines as a map: one lookup for each line
     left = F.map_from_arrays(F.col(gone), F.transform(F.col(gone), lambda _: F.lit(True)))
     joined = joined.withColumn(gone, left)

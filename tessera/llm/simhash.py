@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import Table, fresh, row_key, scratch, small_batches
+from .common import Table, fresh, light, row_key, scratch, small_batches
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -164,9 +164,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     find = near_duplicates if similarity is None else partial(similar, similarity=similarity)
     with scratch():
         judged = _stays(spark, keyed, find(spark, keyed.select(name, text_col), id_col=name, text_col=text_col, **kw).distinct(), id_col, name)
-    drop = judged.where("NOT stays").select(F.col("key").alias(num))
+    # written, so that their own size decides whether they are broadcast or the texts are shuffled
+    drop = light(Table(spark, judged.where("NOT stays").select(F.col("key").alias(num)), "near-dropped").df)
     rest = keyed.join(drop, F.col(name) == F.col(num), "left_anti")
-    again = judged.where("stays AND copies > 1").select(F.col("key").alias(num))
+    again = light(Table(spark, judged.where("stays AND copies > 1").select(F.col("key").alias(num)), "near-again").df)
     if not again.limit(1).count():
         return rest.select(*docs.columns)
     # rows equal in id and text: any one, combined before the shuffle
