@@ -5,8 +5,9 @@ signature is a bottom-k MinHash: the ``kept`` least hashes of a line's shingles.
 in it are a band. Two lines of Jaccard similarity 0.8 share a band unless no two neighbours of eight
 survive: they meet with probability 0.99.
 
-Before texts are fetched for a pair, the numbers of shingles and maps of 256 bits of them rule out pairs that can't reach
-the threshold: a bound, not an estimate, so none is lost.
+Before texts are fetched for a pair, the numbers of shingles and 256 parities of them rule out pairs that can't reach
+the threshold: a bound, not an estimate, so none is lost. (A parity is odd if an odd number of a line's shingles
+falls to it. Shared shingles cancel out, so a parity shows a difference whatever else falls to it.)
 
 The lines of a small bucket are all paired; in a larger one every line is paired with the bucket's
 least and greatest line. A pair counts only if the exact Jaccard similarity of the full shingle sets
@@ -33,7 +34,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -42,13 +42,17 @@ from .components import components
 from .windows import Polynomial, mix, slices, texts
 
 WIDTH = 9
-#: Bits of the map of a line's shingles that stands before the exact check.
+#: Parities of a line's shingles that stand before the exact check.
 MAP = 256
-#: And of the map that stands before it where every pair of a bucket meets.
+#: And those that stand before it where every pair of a bucket meets.
 WIDE_MAP = 1024
 #: Lines of a large bucket that a task takes against all of it.
 PART = 1000
 
+#: Lines that are hashed at once, so that one number has a line's place and the upper bits of a shingle's hash.
+ROWS = 1 << 15
+_HASH_BITS = 49
+
 _U = np.uint64
 _LONGS = ArrayType(LongType())
 _HASH = Polynomial(WIDTH)
@@ -64,15 +68,24 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hashes(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the lines, in order and with repeats, and where each line's begin (and the last one's end)."""
+    """Hashes of all shingles of the lines, in order and with repeats (a shingle is short enough to be a plain polynomial), and where each line's begin (and the last one's end)."""
     data, starts = texts(lines)
     chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
     at = np.searchsorted(chars, starts)
     count = np.diff(at)
     n = np.maximum(count - WIDTH + 1, np.minimum(count, 1))
-    edge = np.append(0, np.cumsum(n))
-    first = np.arange(edge[-1]) + np.repeat(at[:-1] - edge[:-1], n)
-    return _HASH(data, chars[first], chars[np.minimum(first + WIDTH, np.repeat(at[1:], n))]), edge
+    # one for each character that has WIDTH of them from it on, over all lines at once; then those go that cross a line's end
+    run, inverse = (x[chars] for x in _HASH.sums(data))
+    h = np.zeros(len(chars) - 1, dtype=_U)
+    np.subtract(run[WIDTH:], run[:-WIDTH], out=h[: max(0, len(run) - WIDTH)])
+    h *= inverse[:-1]
+    stays = np.ones(len(h), dtype=bool)
+    for k in range(1, WIDTH):
+        stays[(at[1:] - k)[count >= k]] = False
+    short = np.flatnonzero((count > 0) & (count < WIDTH))
+    h[at[short]] = (run[at[short + 1]] - run[at[short]]) * inverse[at[short]]
+    stays[at[short]] = True
+    return mix(h[stays]), np.append(0, np.cumsum(n))
 
 
 def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,18 +97,26 @@ def _distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], row[new]
 
 
+def _brief(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_distinct``, with the upper 49 bits of the hashes: one sort of plain numbers, which takes a fraction of the time."""
+    key = row.astype(_U) << _U(_HASH_BITS) | h >> _U(64 - _HASH_BITS)
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    return key & _U((1 << _HASH_BITS) - 1), (key >> _U(_HASH_BITS)).astype(np.int64)
+
+
 def _least(h: np.ndarray, edge: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``kept`` least distinct hashes of each line, and where each line's begin."""
+    """The ``kept`` least distinct hashes (their upper bits) of each line, and where each line's begin."""
     n = np.diff(edge)
     row = np.repeat(np.arange(len(n)), n)
     # only hashes that can be among the least are sorted: those below a bound that some 4 * kept pass, or all if too few do
     bound = np.where(n > 4 * kept, _U(2**64 - 1) // np.maximum(n, 1).astype(_U) * _U(4 * kept), _U(2**64 - 1))
     low = h <= bound[row]
-    x, r = _distinct(h[low], row[low])
+    x, r = _brief(h[low], row[low])
     few = (np.bincount(r, minlength=len(n)) < kept)[row] & ~low
     if few.any():
         low |= (np.bincount(r, minlength=len(n)) < kept)[row]
-        x, r = _distinct(h[low], row[low])
+        x, r = _brief(h[low], row[low])
     first = np.searchsorted(r, np.arange(len(n)))
     stays = np.arange(len(r)) - first[r] < kept
     return x[stays], np.searchsorted(r[stays], np.arange(len(n) + 1))
@@ -106,8 +127,9 @@ def _arrays(h: np.ndarray, edge: np.ndarray) -> pa.Array:
 
 
 def _in_parts(run, *columns: pa.Array) -> pa.Array:
-    """``run`` over parts of about a megabyte of each column."""
-    parts = [pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])]
+    """``run`` over parts of about a megabyte of each column, and of ``ROWS`` rows at most."""
+    whole = pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])
+    parts = [whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)]
     for i in range(len(columns)):
         parts = [x for p in parts for x in slices(p, i)]
     return pa.concat_arrays([run(*p.columns) for p in parts] or [run(*columns)])
@@ -200,15 +222,15 @@ def candidates(spark: SparkSession, keyed: DataFrame, small: int = 16) -> tuple[
 
 
 def sketch(line: Column, size: int = MAP) -> Column:
-    """The number of a line's distinct shingles, then a map of ``size`` bits that they set."""
+    """The number of a line's distinct shingles, then ``size`` parities of them (a power of two)."""
 
     def run(x):
         h, edge = _hashes(x)
         n = len(x)
-        h, row = _distinct(h, np.repeat(np.arange(n), np.diff(edge)))
-        bits = np.zeros(n * size, dtype=bool)
-        bits[row * size + (mix(h) % _U(size)).astype(np.int64)] = True
-        words = np.packbits(bits.reshape(n, size), axis=1).view(np.int64)
+        h, row = _brief(h, np.repeat(np.arange(n), np.diff(edge)))
+        cell = (h >> _U(_HASH_BITS + 1 - size.bit_length())).astype(np.int64)
+        odd = np.bincount(row * size + cell, minlength=n * size).astype(np.uint8) & 1
+        words = np.packbits(odd.reshape(n, size), axis=1).view(np.int64)
         out = np.concatenate([np.bincount(row, minlength=n)[:, None], words], axis=1)
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
 
@@ -224,7 +246,7 @@ def _texts(spark: SparkSession, lines: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _possible(a: Column, b: Column, threshold: float, size: int = MAP) -> Column:
     """Whether two sketches allow the threshold. Sets of x and y shingles that reach t have sizes in proportion and differ in (1 - t) / (1 + t) (x + y) of
-    them at most, and the bits in which their maps differ are no more than that: no pair that reaches it is lost."""
+    them at most. A parity in which they differ has such a shingle of its own, so no more parities differ than that: no pair that reaches it is lost."""
     x, y = F.get(a, 0), F.get(b, 0)
     off = sum((F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(1, 1 + size // 64)), F.lit(0))
     return (F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9) & (off <= (1 - threshold) / (1 + threshold) * (x + y) + 1e-9)
@@ -276,29 +298,30 @@ def _rest(spark: SparkSession, many: DataFrame, known: DataFrame, text: DataFram
     """The pairs of lines of large buckets (band, h1) that hold and that ``known`` (node, root) doesn't connect. None is left out.
 
     Lines meet by bucket and size class (a partner's class is the same or the next), a bucket's lines in parts against all, so no
-    task has a whole bucket's pairs. Sketches decide within the join: only pairs that can reach the threshold are written.
+    task has a whole bucket's pairs. Sketches decide within the join: only pairs that can reach the threshold are written, each
+    in the first bucket alone that has both.
     """
     rooted = Table(spark, many.join(known, F.col("h1") == F.col("node"), "left").select("band", "h1", F.coalesce("root", "h1").alias("root")), "rest-rooted").df
     split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("lo < hi")
     rows = Table(spark, rooted.join(split.select("band", "parts"), "band"), "rest-keys").df
-    keys = Table(spark, rows.select("h1").distinct(), "rest-lines").df
-    of = text.join(light(keys), "h1", "left_semi").select("h1", sketch(F.col("line"), WIDE_MAP).alias("wide"))
-    # the map as plain columns that are never null: the join's condition stays short enough to be compiled
+    keys = Table(spark, rows.groupBy("h1").agg(F.collect_set("band").alias("bands")), "rest-lines").df
+    of = text.join(light(keys), "h1").select("h1", "bands", sketch(F.col("line"), WIDE_MAP).alias("wide"))
+    # the parities as plain columns that are never null: the join's condition stays short enough to be compiled
     words = [f"w{i}" for i in range(WIDE_MAP // 64)]
-    of = Table(spark, of, "rest-sketches").df.select("h1", *[F.coalesce(F.get("wide", i), F.lit(0)).alias(c) for i, c in enumerate(["size", *words])])
+    of = Table(spark, of, "rest-sketches").df.select("h1", "bands", *[F.coalesce(F.get("wide", i), F.lit(0)).alias(c) for i, c in enumerate(["size", *words])])
     kind = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(-np.log(threshold)))).cast("int")
-    rows = rows.join(of, "h1").withColumn("kind", kind)
-    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "size", *words)]
+    rows = rows.join(of, "h1").withColumn("kind", kind).withColumn("before", F.filter("bands", lambda b: b < F.col("band")))
+    side = lambda n: [F.col(c).alias(f"{n}_{c}") for c in ("h1", "root", "size", "before", *words)]
     large = rows.select("band", "kind", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("part"), *side("y"))
     lesser = rows.withColumn("kind", F.explode(F.array(F.col("kind"), F.col("kind") + 1))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "kind", "part", *side("x"))
     once = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_h1") < F.col("y_h1")))
     fits = once & (F.col("x_root") != F.col("y_root")) & (F.col("x_size") >= threshold * F.col("y_size") - 1e-9)
-    # a bound as in _possible; most pairs are over it after a part of the map
+    # a bound as in _possible; most pairs are over it after a part of the parities
     off = [F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in words]
     for n in (len(words) // 4, len(words) // 2, len(words)):
         fits = fits & (sum(off[1:n], off[0]) <= (1 - threshold) / (1 + threshold) * (F.col("x_size") + F.col("y_size")) + 1e-9)
-    met = lesser.join(large, ["band", "kind", "part"]).where(fits)
-    pairs = Table(spark, met.select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")).distinct(), "rest-pairs").df
+    met = lesser.join(large, ["band", "kind", "part"]).where(fits & ~F.arrays_overlap("x_before", "y_before"))
+    pairs = Table(spark, met.select(F.least("x_h1", "y_h1").alias("a"), F.greatest("x_h1", "y_h1").alias("b")), "rest-pairs").df
     return _verified(spark, pairs, text, threshold, "edges-4")
 
 
@@ -327,13 +350,19 @@ def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     with scratch():
         root = Table(spark, linked(spark, lines, keyed, threshold), "line-roots", stays=True).df
     where = F.struct("doc_id", "row", "line_no")
-    groups = of.groupBy("h1", "h2").agg(F.min(where).alias("id"))
-    groups = groups.withColumn("n", F.row_number().over(W.partitionBy("h1").orderBy("h2"))).join(root, F.col("h1") == F.col("node"), "left")
-    name = F.when(F.col("n") == 1, F.struct(F.coalesce("root", "h1").alias("x"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.col("h1").alias("x"), F.col("h2").alias("y")))
+    groups = of.groupBy("h1", "h2").agg(F.min(where).alias("id"), F.count("*").alias("copies"))
+    # lines that share h1 but not h2: the first one has the key's component, the others have their own
+    clash = of.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least < most").select("h1", "least")
+    clash = light(Table(spark, clash, "line-clashes").df)
+    groups = groups.join(light(root), F.col("h1") == F.col("node"), "left").join(clash, "h1", "left")
+    first = F.col("least").isNull() | (F.col("h2") == F.col("least"))
+    # a line of one copy and of no component is kept, whatever the others are: only the rest is gathered
+    groups = groups.where((F.col("copies") > 1) | (first & F.col("root").isNotNull()))
+    name = F.when(first, F.struct(F.coalesce("root", "h1").alias("x"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.col("h1").alias("x"), F.col("h2").alias("y")))
     groups = Table(spark, groups.select("h1", "h2", "id", name.alias("name")), "line-groups").df
     keep = Table(spark, groups.groupBy("name").agg(F.min("id").alias("keep")), "kept-lines").df
     keep = Table(spark, groups.join(keep, "name").select("h1", "h2", "keep"), "line-keep").df
-    out = of.join(keep, ["h1", "h2"])
+    out = of.join(light(keep), ["h1", "h2"], "left").withColumn("keep", F.coalesce("keep", where))
     return out.select("doc_id", "row", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), (F.col("keep") == where).alias("kept"))
 
 

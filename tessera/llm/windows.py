@@ -69,12 +69,17 @@ class Polynomial:
         self.table, self.p = _table(seed), _odd(seed)
         self.p_inv = _U(pow(int(self.p), -1, 1 << 64))
 
-    def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums and what a run's difference of them is multiplied with, for each place of a buffer and its end."""
         run = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.take(self.table, data, out=run[1:])
+        np.take(self.table, data, out=run[1:], mode="clip")
         run[1:] *= _powers(self.p, len(data))
         np.cumsum(run, out=run)
-        h = (run[last] - run[first]) * _powers(self.p_inv, len(data))[first]
+        return run, _powers(self.p_inv, len(data) + 1)
+
+    def __call__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        run, inverse = self.sums(data)
+        h = (run[last] - run[first]) * inverse[first]
         for i in np.flatnonzero(last - first > _LONG):
             h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8, salt=int(self.p).to_bytes(8, "little")).digest(), "little")
         return mix(h)

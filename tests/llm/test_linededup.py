@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -106,3 +107,55 @@ def test_large_buckets_lose_no_pair(spark, monkeypatch):
     of = {r.node: r.root for r in linededup.linked(spark, df, keyed).collect()}
     h = [r.h for r in df.select(F.xxhash64("line").alias("h")).collect()]
     assert len(of) == 60 and all(of[a] == of[b] for a, b in zip(h[::2], h[1::2])) and len(set(of.values())) == 30
+
+
+def test_parities_rule_out_what_cannot_reach_and_lose_nothing(spark):
+    """Pairs of long lines at 0.6 go before texts are fetched (a map of 256 bits was full at that length); those at 0.8 or more stay."""
+    rng = random.Random(5)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows = []
+    for share in (0.6, 0.8, 0.9):
+        for _ in range(20):
+            same, own = name(8 + round(400 * share)), round(200 * (1 - share))
+            rows.append((same + name(own), name(own) + same))
+        rows.append(("x" * 300, "x" * 300 + "y"))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", linededup._possible(linededup.sketch(F.col("a")), linededup.sketch(F.col("b")), 0.8).alias("may")).collect()
+    alike = lambda r: len(grams(r.a) & grams(r.b)) / len(grams(r.a) | grams(r.b))
+    assert all(r.may for r in got if alike(r) >= 0.8) and sum(alike(r) >= 0.8 for r in got) >= 20
+    low = [r.may for r in got if 0.55 < alike(r) < 0.65]
+    assert len(low) == 20 and sum(low) <= 2
+
+
+def test_a_pair_of_several_large_buckets_is_made_once(spark, monkeypatch):
+    """Forty lines that share three buckets, and sketches that allow every pair."""
+    from tessera.llm.common import Table
+
+    rng = random.Random(6)
+    lines = ["".join(rng.choices("abcdefghij", k=80)) for _ in range(40)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h1", F.xxhash64("line"))
+    many = Table(spark, df.select(F.explode(F.array(*[F.lit(i).cast("long") for i in (3, 4, 5)])).alias("band"), "h1"), "many").df
+    none = spark.createDataFrame([], "node long, root long")
+    monkeypatch.setattr(linededup, "sketch", lambda line, size=0: F.array(F.lit(90).cast("long"), *[F.lit(0).cast("long")] * (linededup.WIDE_MAP // 64)))
+    seen = []
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: df)  # nothing is merged after the join
+    monkeypatch.setattr(linededup, "_verified", lambda spark, pairs, *a: seen.append(pairs) or pairs)
+    linededup._rest(spark, many, none, df.select("h1", "line"), 0.8)
+    found = [(r.a, r.b) for r in seen[0].collect()]
+    assert len(found) == len(set(found)) == 40 * 39 // 2
+
+
+def test_lines_without_partners_are_not_gathered(spark):
+    """Their own place is their result: no shuffle brings it to them, whatever Spark thinks of the tables' sizes."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"line {i} of its own and at some length\nthe same in all") for i in range(9)], "doc_id long, text string")
+        got = linededup.judged(spark, docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hash" not in plan
+        rows = {(r.doc_id, r.line_no): (r.keep_doc_id, r.keep_line_no, r.kept) for r in got.collect()}
+        assert rows[5, 1] == (0, 1, False) and rows[0, 1] == (0, 1, True) and len(rows) == 18
+    finally:
+        spark.conf.set(key, before)
