@@ -15,8 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The widest set of keys that is broadcast; beyond it, a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: The widest set of keys that is broadcast, and its bytes as JSON; beyond either, a shuffle.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 32 << 20
 _RUN = uuid.uuid4().hex[:12]
 _FALLBACK = "/tmp/checkpoints"
 _CLEAN: set[str] = set()
@@ -89,8 +89,11 @@ class Table:
 
 
 def light(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
-    """With a broadcast hint if the (written) table has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
+    """With a broadcast hint if the (written) table has at most ``most`` rows of ``BROADCAST_BYTES`` together: the driver holds it whole."""
+    if df.count() > most:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
 
 
 def lower_ascii(col):

@@ -354,7 +354,8 @@ def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     # lines that share h1 but not h2: the first one has the key's component, the others have their own
     clash = of.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least < most").select("h1", "least")
     clash = light(Table(spark, clash, "line-clashes").df)
-    groups = groups.join(light(root), F.col("h1") == F.col("node"), "left").join(clash, "h1", "left")
+    # roots and kept lines are as many as the lines allow, and both sides are narrow: they meet in a shuffle, not on the driver
+    groups = groups.join(root.hint("merge"), F.col("h1") == F.col("node"), "left").join(clash, "h1", "left")
     first = F.col("least").isNull() | (F.col("h2") == F.col("least"))
     # a line of one copy and of no component is kept, whatever the others are: only the rest is gathered
     groups = groups.where((F.col("copies") > 1) | (first & F.col("root").isNotNull()))
@@ -362,7 +363,7 @@ def judged(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     groups = Table(spark, groups.select("h1", "h2", "id", name.alias("name")), "line-groups").df
     keep = Table(spark, groups.groupBy("name").agg(F.min("id").alias("keep")), "kept-lines").df
     keep = Table(spark, groups.join(keep, "name").select("h1", "h2", "keep"), "line-keep").df
-    out = of.join(light(keep), ["h1", "h2"], "left").withColumn("keep", F.coalesce("keep", where))
+    out = of.join(keep.hint("merge"), ["h1", "h2"], "left").withColumn("keep", F.coalesce("keep", where))
     return out.select("doc_id", "row", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"), (F.col("keep") == where).alias("kept"))
 
 

@@ -2,7 +2,9 @@ import tracemalloc
 
 import numpy as np
 
-from tessera.llm import bitmap, neardup
+from pyspark.sql import functions as F
+
+from tessera.llm import bitmap, common, linededup, neardup
 
 
 def _sets(spark):
@@ -30,3 +32,17 @@ def test_maps_are_destroyed_once_their_tables_are_written(spark, monkeypatch):
     found = neardup.near_duplicates(spark, docs)
     assert found.count() == 9 and len(made) == 1 + len(neardup.CLASSES)
     assert not any(b._jbroadcast.isValid() for b in made)
+
+
+def test_few_wide_rows_are_not_broadcast(spark):
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(40).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    assert not hinted(common.light(wide)) and hinted(common.light(wide.select("id")))
+
+
+def test_kept_lines_meet_in_a_shuffle(spark):
+    """The tables of roots and kept lines grow with the texts: the driver never holds them."""
+    docs = spark.createDataFrame([(i, f"a line that all of the documents share {i % 2}\nand another one, of its own, {i * 7919}") for i in range(20)], "doc_id long, text string")
+    out = linededup.judged(spark, docs)
+    assert "rightHint=(strategy=broadcast)" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 40 and out.where("kept").count() < 40
