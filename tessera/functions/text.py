@@ -87,18 +87,23 @@ def is_ascii(x: Column) -> Column:
     return F.octet_length(x) == F.char_length(x)
 
 
+def folded(x: Column) -> Column:
+    """Lower case, ё as е, no marks, plain spaces, no invisible characters; runs of white space stay. One pass maps all characters, since each is judged by itself."""
+    spaces, gone = "".join(map(chr, EXOTIC_SPACES)), "".join(map(chr, INVISIBLES))
+    src, dst = _FOLD
+    return F.regexp_replace(F.translate(F.lower(x), src + spaces + gone, dst + " " * len(spaces)), r"\p{Mn}+", "")
+
+
 def normalize(x: Column, exact: bool = False) -> Column:
     """Lower case, ё as е, no marks, plain single spaces, no invisible characters. Null stays null.
 
-    One pass maps all characters, since each is judged by itself; texts of ASCII need none."""
-    spaces, gone = "".join(map(chr, EXOTIC_SPACES)), "".join(map(chr, INVISIBLES))
+    Texts of ASCII need no folding."""
     low = F.lower(x)
     if exact:
+        spaces, gone = "".join(map(chr, EXOTIC_SPACES)), "".join(map(chr, INVISIBLES))
         plain = F.translate(unaccent_exact(F.replace(low, F.lit("ё"), F.lit("е"))), spaces + gone, " " * len(spaces))
         return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    src, dst = _FOLD
-    plain = F.regexp_replace(F.translate(low, src + spaces + gone, dst + " " * len(spaces)), r"\p{Mn}+", "")
-    return F.trim(F.when(is_ascii(x), F.regexp_replace(low, r"\s+", " ")).otherwise(F.regexp_replace(plain, r"(?U)\s+", " ")))
+    return F.trim(F.when(is_ascii(x), F.regexp_replace(low, r"\s+", " ")).otherwise(F.regexp_replace(folded(x), r"(?U)\s+", " ")))
 
 
 def normalize_query(x: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache, partial
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 
 def doubles(v: Column) -> Column:
@@ -38,22 +40,49 @@ def repair(v: Column, dim: int, tolerance: float = 1e-3) -> Column:
     return fixed[0]
 
 
+class _Places(dict):
+    """Place and sign of each word, 2 * place + (1 if positive): hashed once while it is remembered."""
+
+    def __init__(self, dim: int, most: int = 300_000):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        self[word] = out = h % self.dim * 2 + (h >> 63)
+        return out
+
+
+@cache
+def _places(dim: int) -> _Places:
+    """A worker's own, for all of its tasks."""
+    return _Places(dim)
+
+
+def hashed_terms(texts: list, dim: int) -> np.ndarray:
+    """A row for each text: signed hashed term counts, of length one; zeros for a text without words."""
+    words = [(t or "").lower().split() for t in texts]
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    at = np.fromiter(map(_places(dim).__getitem__, chain.from_iterable(words)), np.int64, len(row))
+    v = np.bincount(row * dim + (at >> 1), (at & 1) * 2.0 - 1, minlength=len(words) * dim).reshape(len(words), dim)
+    n = np.sqrt((v * v).sum(axis=1).astype(np.float32))[:, None]  # sums of whole numbers
+    return v.astype(np.float32) / np.where(n > 0, n, np.float32(1))
+
+
 def hashing_embedder(dim: int = 256):
     """A default embedder without a model: signed hashed term counts, of length one (Arrow).
 
-    Any ``pandas_udf`` from strings to arrays of floats can stand in its place.
+    Any ``pandas_udf`` or ``arrow_udf`` from strings to arrays of floats can stand in its place. Its attribute ``rows``, a function of
+    a list of texts, spares vectors the way through a column where texts are scored at once; others need none.
     """
 
-    @pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> np.ndarray:
-            v = np.zeros(dim, dtype=np.float32)
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1 if h >> 63 else -1
-            n = float(np.linalg.norm(v))
-            return v / n if n else v
-
-        return texts.map(one)
+    @arrow_udf("array<float>")
+    def embed(texts: pa.Array) -> pa.Array:
+        parts = [hashed_terms(texts.slice(lo, 512).to_pylist(), dim) for lo in range(0, len(texts), 512)]
+        flat = np.concatenate([np.zeros((0, dim), np.float32), *parts]).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(flat))
 
+    embed.rows = partial(hashed_terms, dim=dim)
     return embed

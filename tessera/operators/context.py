@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import retrieval
 from tessera.sources.tables import written
 
 # Lengths of what is added ------------------------------------------------------------
@@ -52,10 +53,13 @@ def children_preview(chunks: DataFrame, first: int = 2) -> DataFrame:
 def widened(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     """``hits`` (query_id, rnk, id) with ``text`` widened for each query's first hits; others keep theirs.
 
-    Neighbours are computed once for all chunks of the groups that hits are in, not once for each hit.
+    Neighbours are computed once for all chunks of the groups that hits are in, not once for each hit. These chunks are
+    written: two passes over all chunks find them, and none is shuffled while hits are few.
     """
-    groups = hits.join(chunks.select("id", "parent_group"), "id").select("parent_group").distinct()
-    near = chunks.join(groups, "parent_group", "left_semi")
+    ids = retrieval._small(hits.select("id").distinct())
+    groups = written(chunks.select("id", "parent_group").join(ids, "id", "left_semi").select("parent_group").distinct(), "groups")
+    near = chunks.select("id", "text", "parent_group", "child_index", "is_parent", "parent_title", "section").join(retrieval._small(groups), "parent_group", "left_semi")
+    near = written(near, "near-chunks")
     side = neighbours(near.where("NOT coalesce(is_parent, false)"), window)
     x = hits.join(near.select("id", "text", "parent_group", "is_parent", "parent_title", "section"), "id").join(side, "id", "left")
     x = x.join(parents(near), "parent_group", "left").join(children_preview(near).withColumnRenamed("parent_group", "_g"), (F.col("parent_group") == F.col("_g")) & F.col("is_parent"), "left")

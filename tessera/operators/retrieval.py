@@ -272,13 +272,17 @@ def _units(lists: pa.Array, dim: int) -> np.ndarray:
         for i in range(n):
             x = flat[ends[i] : min(ends[i + 1], ends[i] + dim)]
             out[i, : len(x)] = x
+    return _of_length_one(out)
+
+
+def _of_length_one(out: np.ndarray) -> np.ndarray:
     out = np.where(np.isfinite(out), out, 0.0)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(size > 0, size, 1)
 
 
-def _cosines(queries: DataFrame, rows: DataFrame, k: int, bonus: Callable | None = None) -> DataFrame:
-    """``_best`` of rows (doc_id, v, ..) by cosine similarity to the queries (query_id, v, ..) of each block."""
+def _cosines(queries: DataFrame, rows: DataFrame, k: int, bonus: Callable | None = None, made: Callable | None = None) -> DataFrame:
+    """``_best`` of rows (doc_id, v, ..) by cosine similarity to the queries (query_id, v, ..) of each block. ``made`` makes rows of vectors of texts in v."""
     kind = dict(queries.dtypes)["query_id"]
 
     def one(block: list) -> DataFrame:
@@ -286,7 +290,8 @@ def _cosines(queries: DataFrame, rows: DataFrame, k: int, bonus: Callable | None
         at = _units(pa.array([r["v"] for r in block], pa.list_(pa.float64())), dim).T
 
         def score(part: pa.RecordBatch) -> np.ndarray:
-            s = _units(part.column("v"), dim) @ at
+            v = _units(part.column("v"), dim) if made is None else _of_length_one(made(part.column("v").to_pylist()).astype(float))
+            s = v @ at
             return s if bonus is None else bonus(s, part, block)
 
         return _best(rows, block, kind, k, score)
@@ -296,16 +301,23 @@ def _cosines(queries: DataFrame, rows: DataFrame, k: int, bonus: Callable | None
     return _in_blocks(queries, one, empty)
 
 
-def vector(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def _floats(table: DataFrame) -> Column:
+    """Its column ``vec``: floats go to Python as they are, at half the bytes of doubles."""
+    v = F.col("vec")
+    return v if dict(table.dtypes)["vec"] == "array<float>" else V.doubles(v)
+
+
+def vector(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int = 6, made: Callable | None = None) -> DataFrame:
     """(query_id, doc_id, similarity, score, rnk): exact cosine neighbours.
 
     ``queries`` (query_id, vec), ``vectors`` (doc_id, vec [, importance]); rows and queries without a vector
-    are left out. The order is by distance; ``score`` weighs the similarity with the importance.
+    are left out. The order is by distance; ``score`` weighs the similarity with the importance. With ``made`` (as an embedder's
+    ``rows``) the vectors' ``vec`` holds texts, which become vectors within the pass that scores them.
     """
     q = queries.where("vec IS NOT NULL").select("query_id", V.doubles(F.col("vec")).alias("v"))
     imp = F.coalesce(F.col("importance"), F.lit(1.0)) if "importance" in vectors.columns else F.lit(1.0)
-    d = vectors.where("vec IS NOT NULL").select("doc_id", V.doubles(F.col("vec")).alias("v"), imp.cast("double").alias("importance"))
-    scored = _cosines(q, d, k).select("query_id", "doc_id", F.round("raw", digits).alias("similarity"), "importance")
+    d = vectors.where("vec IS NOT NULL").select("doc_id", (F.col("vec") if made else _floats(vectors)).alias("v"), imp.cast("double").alias("importance"))
+    scored = _cosines(q, d, k, made=made).select("query_id", "doc_id", F.round("raw", digits).alias("similarity"), "importance")
     best = _top(scored, k, F.desc("similarity"), F.col("doc_id"))
     return best.select("query_id", "doc_id", "similarity", F.round(F.col("similarity") * (0.8 + 0.2 * F.col("importance")), digits).alias("score"), "rnk")
 
@@ -346,9 +358,8 @@ def trigrams(x: Column) -> Column:
 
 
 def _spaced(x: Column) -> Column:
-    """A normalized text's words, each with two blanks before and one after."""
-    n = T.normalize(x)
-    words = F.when(T.is_ascii(x), F.regexp_replace(n, r"\W+", "   ")).otherwise(F.regexp_replace(n, r"(?U)[^\w]+", "   "))
+    """A normalized text's words, each with two blanks before and one after. White space needs no step of its own: no word has any."""
+    words = F.when(T.is_ascii(x), F.regexp_replace(F.lower(x), r"\W+", "   ")).otherwise(F.regexp_replace(T.folded(x), r"(?U)[^\w]+", "   "))
     return F.concat(F.lit("  "), F.trim(words), F.lit(" "))
 
 

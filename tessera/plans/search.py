@@ -17,7 +17,8 @@ from tessera.sources.tables import written
 def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, min_score: float | None = None, rerank: bool = True, diversify: bool = True, context_window: int = 0, label_filters: list[dict] = (), bridge: DataFrame | None = None, wanted: DataFrame | None = None, expand: bool = True, synonyms: DataFrame | None = None, fuzzy: bool | str = False) -> DataFrame:
     """(query_id, rnk, id, book, section, page, text, score, vec, fts, trgm, rerank, importance, is_parent).
 
-    ``queries`` (query_id, text); ``chunks`` as ``plans.ingest`` makes them, with ``emb`` for vectors. Filters
+    ``queries`` (query_id, text); ``chunks`` as ``plans.ingest`` makes them. Without ``emb`` their vectors are made as they
+    are needed, of all chunks for the vector list, then of a query's pool. Filters
     apply before any list is cut. ``embed`` is the query embedder that the chunks were embedded with; without
     it there is no vector list. ``min_score`` None adapts to each query. ``fuzzy`` lets the gate
     of trigram hits count misspelt tokens, within an edit or two or, with "ratio", by their edit ratio. ``synonyms``
@@ -30,6 +31,7 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     queries = written(queries, "queries")
     synonyms = Y.table(queries.sparkSession) if synonyms is None else synonyms
     variants = written(retrieval.expanded(queries, synonyms), "variants") if expand else queries.select("query_id", F.lit(1).alias("variant"), T.normalize_query(F.col("text")).alias("text"))
+    stored, passage = "emb" in chunks.columns, F.concat(F.lit("passage: "), "text")
     # each variant is a query of its own until the best score of each document is taken
     v = variants.select(F.struct("query_id", "variant").alias("query_id"), "text")
     body = chunks.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "section", "text").alias("text"))
@@ -39,11 +41,15 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     lists = lists.unionByName(back(retrieval.trigram(grams, body, retrieval.DEPTH["trgm"]), "trgm"))
     if embed is not None:
         qv = v.select("query_id", embed(F.concat(F.lit("query: "), "text")).alias("vec"))
-        near = retrieval.vector(qv, chunks.select(F.col("id").alias("doc_id"), F.col("emb").alias("vec"), F.col("importance_score").alias("importance")), retrieval.DEPTH["vec"])
+        made = None if stored else getattr(embed, "rows", None)
+        vec = F.col("emb") if stored else F.coalesce(passage, F.lit("")) if made else embed(passage)
+        near = retrieval.vector(qv, chunks.select(F.col("id").alias("doc_id"), vec.alias("vec"), F.col("importance_score").alias("importance")), retrieval.DEPTH["vec"], made=made)
         lists = lists.unionByName(back(near, "vec"))
     # the lists are short (a few hundred rows a query) and used many times: kept, so that no plan holds them twice
     lists = written(retrieval.ranked(lists), "lists")
-    info = chunks.select(F.col("id").alias("doc_id"), "book", "section", "page", "text", F.col("importance_score").alias("importance"), "is_parent", "parent_group", *(["emb"] if embed is not None else []))
+    # chunks meet the listed ids where they are read: no text is shuffled but those of the lists
+    listed = chunks.withColumnRenamed("id", "doc_id").join(retrieval._small(lists.select("doc_id").distinct()), "doc_id", "left_semi")
+    info = listed.select("doc_id", "book", "section", "page", "text", F.col("importance_score").alias("importance"), "is_parent", "parent_group", *(["emb"] if stored and embed is not None else []))
     wide = lists.groupBy("query_id", "doc_id").pivot("signal", ["vec", "fts", "trgm"]).agg(F.max("score"))
     x = written(wide.join(info, "doc_id").join(queries.withColumnRenamed("text", "q"), "query_id"), "candidates")
     head = F.concat_ws(" ", "section", F.substring("text", 1, retrieval.HEAD_CHARS))
@@ -61,7 +67,8 @@ def search(queries: DataFrame, chunks: DataFrame, embed=None, top_k: int = 10, m
     x = written(x, "pool")
     if diversify and top_k >= 3 and embed is not None:
         qvec = queries.select("query_id", embed(F.concat(F.lit("query: "), "text")).alias("query_vec"))
-        picks = retrieval.mmr(x.select("query_id", "doc_id", "pos", F.col("emb").alias("vec"), F.col("parent_group").alias("group")).join(qvec, "query_id"), top_k)
+        vec = F.col("emb") if stored else embed(passage)
+        picks = retrieval.mmr(x.select("query_id", "doc_id", "pos", vec.alias("vec"), F.col("parent_group").alias("group")).join(qvec, "query_id"), top_k)
         x = x.join(picks, ["query_id", "doc_id"]).withColumn("pos", F.col("mmr_rank"))
     floor = F.lit(min_score) if min_score is not None else retrieval.T.adaptive_min_score(F.size(T.stem_tokens(F.col("q"))))
     x = x.where((F.col("pos") <= top_k) & (F.col("score") >= floor)).withColumn("rnk", F.row_number().over(W.partitionBy("query_id").orderBy("pos")))
