@@ -1,7 +1,6 @@
 import tracemalloc
 
 import numpy as np
-
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap, common, linededup, neardup
